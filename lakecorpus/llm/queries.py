@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id
 from .common import table
 from .quality_rules import quality_rules
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    profiles = language_id.train_profiles(docs.where(~F.col("held_out")).select("text", "lang"))
+    return language_id.identify(docs, profiles, keep=("doc_id", "held_out"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -25,7 +31,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe}
+    return {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
