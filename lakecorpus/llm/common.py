@@ -42,7 +42,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # shuffle files go once the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, language_id
 from .common import table
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
 
 
@@ -30,8 +31,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe}
+    return {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
