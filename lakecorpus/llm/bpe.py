@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Rows that are encoded together.
 ROWS = 512
@@ -198,7 +199,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
     Special tokens of the file are recognised inside texts; none are added. Null and empty texts give an empty list. Rows
     with a null id or repeated rows are encoded like others; other columns are ignored.
     """
-    schema = docs.select(id_column).schema.add("ids", "array<int>")
+    schema = docs.select(id_column).schema.add("ids", ArrayType(IntegerType()))
     return docs.select(id_column, "text").mapInArrow(_encoder(path, [id_column, "ids"]), schema)
 
 

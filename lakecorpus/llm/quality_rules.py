@@ -40,11 +40,11 @@ class QualityConfig:
     min_words: int = 20
     max_repeat_percent: int = 30
     #: Rule: (least upper fence). Word length is fenced on both sides.
-    least_high: dict = field(default_factory=lambda: {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.15, "word_length": 12.0})
+    least_high: dict = field(default_factory=lambda: {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "stutter_ratio": 0.20, "word_length": 12.0})
     word_length_slack: float = 1.0
 
 
-RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "stutter_ratio", "word_length")
 
 
 def _window_hashes(hashes: Column, n: Column) -> Column:
@@ -87,6 +87,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_again"), _covered(F.col("_starts"))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
+        F.size(F.filter("_h", lambda h, i: h == F.get(F.col("_h"), i - 1))).cast("long").alias("n_stutters"),
     )
     return d.withColumn("_q", counts).select(*[F.col(f"`{c}`") for c in docs.columns], "_q")
 
@@ -101,6 +102,7 @@ def rule_values() -> dict[str, Column]:
         "symbol_ratio": _ratio("_q.n_symbols", "_q.n_words"),
         "dup_line_ratio": _ratio("_q.n_dup_lines", "_q.n_lines"),
         "repeat_ratio": _ratio("_q.n_repeat_words", "_q.n_words"),
+        "stutter_ratio": _ratio("_q.n_stutters", "_q.n_words"),
         "word_length": _ratio("_q.word_chars", "_q.n_words"),
     }
 
@@ -114,7 +116,7 @@ def fences(measured: DataFrame, config: QualityConfig = QualityConfig()) -> Data
     values = rule_values()
     sound = measured.where(~base_failed(config)).select("_lang", "_source", *[v.alias(r) for r, v in values.items()])
     k = F.lit(config.sketch_k)
-    by_source = sound.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_docs"), *[F.kll_sketch_agg_double(r, k).alias(r) for r in RULES])
+    by_source = sound.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_docs"), *[F.kll_sketch_agg_double(r, k).alias(r) for r in RULES]).withColumn("_corpus", F.lit(1))
     by_source = cut(by_source, "quality-sketches")
     merged = lambda *keys: by_source.groupBy(*keys).agg(F.sum("_docs").alias("_docs"), *[F.kll_merge_agg_double(r, k).alias(r) for r in RULES])
 
@@ -127,10 +129,10 @@ def fences(measured: DataFrame, config: QualityConfig = QualityConfig()) -> Data
                 out[f"{r}_low"] = q25 - config.spread * (q75 - q25) - config.word_length_slack
         return sketches.select(*keys, F.struct("_docs", *[v.alias(n) for n, v in out.items()]).alias(tag))
 
-    top = fenced(merged(), "_all")
+    top = fenced(merged("_corpus"), "_all", "_corpus")
     lang = fenced(merged("_lang"), "_by_lang", "_lang")
-    source = fenced(by_source, "_by_source", "_lang", "_source")
-    both = source.join(lang, "_lang").withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    source = fenced(by_source, "_by_source", "_lang", "_source", "_corpus")
+    both = source.join(lang, "_lang").join(top, "_corpus")
     picks = []
     for r in (*[f"{x}_high" for x in RULES], "word_length_low"):
         wide = F.when(F.col("_by_lang._docs") >= config.least_docs, F.col(f"_by_lang.{r}")).otherwise(F.col(f"_all.{r}"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, language_id
 from .common import table
+from .decontaminate import leaks
 from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
 
@@ -20,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, profiles, keep=("doc_id", "held_out"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op10_line_dedup": op10_line_dedup}
+    return {"op1_language_id": op1_language_id, "op3_decontamination": op3_decontamination, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
