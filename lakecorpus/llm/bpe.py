@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: Rows that are encoded together.
-ROWS = 512
+ROWS = 256
 #: Distinct chunks that a worker keeps; the table starts anew at the next batch beyond it.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 100_000
 _BIG = np.iinfo(np.int32).max
 #: White space as the normalizer's ``\s`` has it; str.split() also splits at U+001C to U+001F.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -179,28 +179,30 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def _encoder(path: str, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                text = part.column("text").to_pylist()
-                ids, counts = bpe.encode(text)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], type=pa.int32()), pa.array(ids, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"], lists], names=schema)
-
-    return run
+def _encoded(bpe: WordBPE, batches: Iterator[pa.RecordBatch], decoded: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            ids, counts = bpe.encode(part.column("text").to_pylist())
+            ends = np.cumsum(counts)
+            columns = {n: c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"}
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], type=pa.int32()), pa.array(ids, type=pa.int32()))
+            if decoded:
+                columns["decoded"] = pa.array([bpe.decode(ids[e - n : e]) for e, n in zip(ends, counts, strict=True)], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
-    """(id_column, ids): the token ids of each whole text.
+def encode(docs: DataFrame, path: str, id_column: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(id_column, ids): the token ids of each whole text; with ``decoded`` also the text that these ids decode to.
 
     Special tokens of the file are recognised inside texts; none are added. Null and empty texts give an empty list. Rows
-    with a null id or repeated rows are encoded like others; other columns are ignored.
+    with a null id or repeated rows are encoded like others; other columns are ignored. ``path`` must
+    be there on every executor.
     """
     schema = docs.select(id_column).schema.add("ids", ArrayType(IntegerType()))
-    return docs.select(id_column, "text").mapInArrow(_encoder(path, [id_column, "ids"]), schema)
+    if decoded:
+        schema = schema.add("decoded", "string")
+    return docs.select(id_column, "text").mapInArrow(lambda batches: _encoded(tokenizer(path), batches, decoded), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
