@@ -1,3 +1,20 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+#: The escape of chat_format adds one character for each match.
+_CONTROL = r"[<\[]\\*(</SYS>>|<SYS>>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|/ROLE\]|/INST\]|ROLE\]|INST\]|/s>|s>)"
+
+SQL: dict[str, str] = {
+    "op9_chat_format": rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+}
