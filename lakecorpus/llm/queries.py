@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, chat_format, language_id, token_counts
 from .common import table
 from .decontaminate import leaks
+from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import similar_classes
 from .quality_rules import quality_rules
@@ -22,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, profiles, keep=("doc_id", "held_out"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup}
+    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
