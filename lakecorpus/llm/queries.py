@@ -14,6 +14,7 @@ from .decontaminate import leaks
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import similar_classes
+from .suffix_dedup import remove_repeats
 from .quality_rules import quality_rules
 
 
@@ -51,6 +52,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -64,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup}
+    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
