@@ -192,17 +192,17 @@ def _encoded(bpe: WordBPE, batches: Iterator[pa.RecordBatch], decoded: bool) ->
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", decoded: bool = False) -> DataFrame:
-    """(id_column, ids): the token ids of each whole text; with ``decoded`` also the text that these ids decode to.
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The columns ``keep`` and ids, the token ids of each whole text; with ``decoded`` also the text that these ids decode to.
 
     Special tokens of the file are recognised inside texts; none are added. Null and empty texts give an empty list. Rows
     with a null id or repeated rows are encoded like others; other columns are ignored. ``path`` must
     be there on every executor.
     """
-    schema = docs.select(id_column).schema.add("ids", ArrayType(IntegerType()))
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
-    return docs.select(id_column, "text").mapInArrow(lambda batches: _encoded(tokenizer(path), batches, decoded), schema)
+    return docs.select(*keep, "text").mapInArrow(lambda batches: _encoded(tokenizer(path), batches, decoded), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:

@@ -172,9 +172,9 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
 def keep_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    The texts are measured twice, once for the sketches and once for the filter, and never shuffled while the fences fit a broadcast.
+    The documents are written once with their counts, so each text is measured once, and never shuffled while the fences fit a broadcast.
     """
     keys = {"_lang": group_key("lang"), "_source": group_key("source")}
-    measured = cut(base_metrics(docs.select("text", *[v.alias(k) for k, v in keys.items()])).drop("text"), "quality-counts")
-    judged = base_metrics(docs.withColumns(keys)).join(fences(measured, config), ["_lang", "_source"], "left")
+    measured = cut(base_metrics(docs.withColumns(keys)), "quality-documents")
+    judged = measured.join(fences(measured, config), ["_lang", "_source"], "left")
     return judged.where(~base_failed(config) & passes()).select(*[F.col(f"`{c}`") for c in docs.columns])
