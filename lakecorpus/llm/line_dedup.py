@@ -1,6 +1,6 @@
 """Near-duplicate line removal by an exact set-similarity self-join, DataFrame functions only.
 
-A line is the set of its lower-case words. Each word becomes one 64-bit code whose high bits are the rank of
+A line is the set of its words. Each word becomes one 64-bit code whose high bits are the rank of
 its rarity, so sorted codes stand in order of rarity. Two sets with a Jaccard
 similarity of at least t share a code within their prefixes of n - ceil(t n) + 1 codes. Pairs that meet in a
 code pass the length filter, the positional filter and a bound from
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import SPACES, cut, drop_cut
 
 #: Words are counted in so many buckets; a fixed size, so the table of ranks fits any driver.
 BUCKETS = 4096
@@ -36,7 +36,7 @@ class LineConfig:
 
 
 def _line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), _SEPARATOR), lambda w: w != "")
+    return F.split(F.btrim(line, F.lit(SPACES)), _SEPARATOR)
 
 
 def rarity_ranks(docs: DataFrame) -> Column:
@@ -76,60 +76,71 @@ def _plausible(a: str, b: str, t: float) -> Column:
     """Length filter and bitmap bound: each bit in which the parities differ needs one code that one side lacks."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     short, long = F.least(n, m), F.greatest(n, m)
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (short >= _needed(long, t)) & (apart <= n + m - 2 * _alpha(n, m, t))
+    return (short >= _needed(long, t)) & (_apart(a, b) <= n + m - 2 * _alpha(n, m, t))
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
 
 
 def _band(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(1 / t)).cast("int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, t: float, tag: str) -> DataFrame:
-    """Of pairs (k1, k2, b_th, b_line, a_th, a_line), the keys (k1, k2) with a pair of similarity t or more."""
-    places = pairs.select(F.col("b_th").alias("_th"), F.col("b_line").alias("_line")).union(pairs.select("a_th", "a_line")).distinct()
-    sets = _lines(docs).join(places, ["_th", "_line"]).dropDuplicates(["_th", "_line"]).select("_th", "_line", _codes(F.col("_text"), ranks).alias("set"))
-    sets = cut(sets, f"{tag}-sets")
-    b = sets.select(F.col("_th").alias("b_th"), F.col("_line").alias("b_line"), F.col("set").alias("b_set"))
-    a = sets.select(F.col("_th").alias("a_th"), F.col("_line").alias("a_line"), F.col("set").alias("a_set"))
-    both = pairs.join(b, ["b_th", "b_line"]).join(a, ["a_th", "a_line"])
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: Column, t: float, tag: str) -> DataFrame:
+    """Of pairs (a, b) of ids in ``sets``, the ids b with a pair of similarity t or more, judged on the whole lines."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    places = sets.select("id", "_th", "_line").join(ids, "id")
+    codes = _lines(docs).drop("_doc").join(places, ["_th", "_line"]).dropDuplicates(["id"]).select("id", _codes(F.col("_text"), ranks).alias("set"))
+    codes = cut(codes, f"{tag}-sets")
+    both = pairs.join(codes.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").join(codes.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     k = round(t * 1000)
-    enough = 1000 * shared >= k * (F.size("a_set") + F.size("b_set") - shared)
-    return both.where(enough).select("k1", "k2").distinct()
+    found = cut(both.where(1000 * shared >= k * (F.size("a_set") + F.size("b_set") - shared)).select(F.col("b").alias("id")).distinct(), f"{tag}-found")
+    drop_cut(codes)
+    return found
 
 
 def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """(_doc, _th, removed): for each document with any, the indices of lines that an earlier line resembles."""
     t = config.similarity
     ranks = rarity_ranks(docs)
-    codes = _lines(docs).withColumn("c", _codes(F.col("_text"), ranks)).where(F.size("c") > 0)
+    codes = _lines(docs).where(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("c", _codes(F.col("_text"), ranks))
     n = F.size("c")
     bits = F.aggregate("c", F.lit(0).cast("bigint"), lambda x, c: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))))
     lines = cut(codes.select("_doc", "_th", "_line", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), n.alias("n"), bits.alias("bits"), F.slice("c", 1, n - _needed(n, t) + 1).alias("prefix")), "lines")
+    # one row for each set; ids follow the order of the first line that has it
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("_doc", "_th", "_line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = cut(sets, "line-sets")
+    sets = cut(sets.orderBy("at").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at._doc", "at._th", "at._line", "n", "bits", "prefix"), "line-sets")
+    first = F.struct("l._doc", "l._th", "l._line") == F.struct("s._doc", "s._th", "s._line")
+    slim = cut(lines.alias("l").join(sets.alias("s"), ["k1", "k2"]).select("l._doc", "l._th", "l._line", "s.id", first.alias("first")), "line-ids")
+    drop_cut(lines)
 
     # first round: the earliest line of the length class under each of the rarest codes
-    w = Window.partitionBy("code", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = sets.select(F.struct("k1", "k2", "at", "n", "bits").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"), F.col("at"))
-    met = met.withColumn("a", F.first("b").over(w)).where((F.col("a.at") != F.col("b.at")) & _plausible("a", "b", t))
-    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-    best = met.groupBy("b.k1", "b.k2").agg(F.min(F.struct(apart.alias("apart"), F.col("a.at").alias("a"), F.col("b.at").alias("b"))).alias("p"))
-    pair = ["k1", "k2", F.col("p.b._th").alias("b_th"), F.col("p.b._line").alias("b_line"), F.col("p.a._th").alias("a_th"), F.col("p.a._line").alias("a_line")]
-    settled = cut(_verified(cut(best.select(*pair), "leader-pairs"), docs, ranks, t, "leader"), "settled-lines")
-
-    # second round: the others ask all earlier lines
-    asked = sets.join(settled.withColumn("settled", F.lit(1)), ["k1", "k2"], "left").withColumn("ask", F.when(F.col("settled").isNull(), F.col("n")).otherwise(0)).drop("settled")
-    rows = asked.select("k1", "k2", "at", "n", "ask", "bits", F.posexplode("prefix").alias("i", "code"))
+    w = Window.partitionBy("code", "band").orderBy("b.id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sets.select(F.struct("id", "n", "bits").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
+    met = met.withColumn("a", F.first("b").over(w)).where((F.col("a.id") < F.col("b.id")) & _plausible("a", "b", t))
+    best = met.groupBy(F.col("b.id").alias("b")).agg(F.min_by("a.id", F.struct(_apart("a", "b"), F.col("a.id"))).alias("a"))
+    leaders = cut(best, "leader-pairs")
+    settled = _verified(leaders, sets, docs, ranks, t, "leader")
+
+    # second round: the others ask all earlier lines; what is settled only answers
+    asked = sets.join(settled.withColumn("settled", F.lit(1)), "id", "left")
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("ask"))
+    rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "bits", F.posexplode("prefix").alias("i", "code")).select("code", "id", "bits", packed.alias("p"))
+    size = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
+    rest = lambda x: size(x) - F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
     a, b = rows.alias("a"), rows.alias("b")
-    rest = lambda x: F.col(f"{x}.n") - F.col(f"{x}.i")
-    meets = (F.col("a.code") == F.col("b.code")) & (F.col("b.ask") >= _needed(F.col("a.n"), t)) & (F.col("a.at") < F.col("b.at")) & (F.least(rest("a"), rest("b")) >= _alpha(F.col("a.n"), F.col("b.n"), t)) & _plausible("a", "b", t)
-    pairs = a.join(b, meets).select("b.k1", "b.k2", F.col("b.at._th").alias("b_th"), F.col("b.at._line").alias("b_line"), F.col("a.at._th").alias("a_th"), F.col("a.at._line").alias("a_line")).distinct()
-    found = cut(_verified(cut(pairs, "line-pairs"), docs, ranks, t, "line"), "found-lines")
-
-    judged = sets.select("k1", "k2", "at").join(settled.union(found).withColumn("like", F.lit(True)), ["k1", "k2"], "left")
-    here = F.struct("_doc", "_th", "_line")
-    gone = lines.select("_doc", "_th", "_line", "k1", "k2").join(judged, ["k1", "k2"]).where(F.col("like").isNotNull() | (F.col("at") != here))
+    short, long = F.least(size("a"), size("b")), F.greatest(size("a"), size("b"))
+    alpha = _alpha(size("a"), size("b"), t)
+    # the length filter is never met by a line that doesn't ask: this keeps the condition in the join, so that both sides share one exchange
+    may = short * F.col("b.p").bitwiseAND(1) >= _needed(long, t)
+    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (F.least(rest("a"), rest("b")) >= alpha) & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
+    pairs = cut(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
+    found = _verified(pairs, sets, docs, ranks, t, "line")
+    drop_cut(sets)
+
+    gone = slim.join(settled.union(found).withColumn("like", F.lit(True)), "id", "left").where(F.col("like").isNotNull() | ~F.col("first"))
     return gone.groupBy("_doc", "_th").agg(F.collect_set("_line").alias("removed"))
 
 
