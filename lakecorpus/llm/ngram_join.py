@@ -334,7 +334,8 @@ def similar_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataF
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("blocks"))
     members = cut(clusters.join(sizes, "cluster").join(nodes.select("k", "at", "weight"), "k"), "cluster-members")
     wanted = members.select("k", "cluster", "blocks", "weight", F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_th"))
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(F.col("_d")) & (texts.th == F.col("_th"))).select("k", "cluster", "blocks", "weight", "text")
+    # merged at every size, so the need for disk grows in proportion
+    found = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(F.col("_d")) & (texts.th == F.col("_th"))).select("k", "cluster", "blocks", "weight", "text")
     schema = found.drop("text").schema.add("set", "binary")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
