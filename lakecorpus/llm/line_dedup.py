@@ -3,8 +3,8 @@
 A line is the set of its words. Each word becomes one 64-bit code whose high bits are the rank of
 its rarity, so sorted codes stand in order of rarity. Two sets with a Jaccard
 similarity of at least t share a code within their prefixes of n - ceil(t n) + 1 codes. Pairs that meet in a
-code pass the length filter, the positional filter and a bound from
-64-bit parity bitmaps before they are verified on the whole sets.
+code pass the length filter and a bound from 64-bit parity bitmaps; of those, the codes shared within the prefixes and their
+positions must leave room for the least overlap. What is left is verified on the whole sets.
 
 Lines in large groups of variants would meet in squares. So each line first meets only the earliest line of
 its length class under each of its rarest codes; what that settles no longer asks, it only answers. The other lines
@@ -129,14 +129,19 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("ask"))
     rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "bits", F.posexplode("prefix").alias("i", "code")).select("code", "id", "bits", packed.alias("p"))
     size = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
-    rest = lambda x: size(x) - F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
+    place = lambda x: F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
     a, b = rows.alias("a"), rows.alias("b")
     short, long = F.least(size("a"), size("b")), F.greatest(size("a"), size("b"))
     alpha = _alpha(size("a"), size("b"), t)
     # the length filter is never met by a line that doesn't ask: this keeps the condition in the join, so that both sides share one exchange
     may = short * F.col("b.p").bitwiseAND(1) >= _needed(long, t)
-    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (F.least(rest("a"), rest("b")) >= alpha) & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
-    pairs = cut(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
+    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
+    # codes that a pair must share within its prefixes: behind the last one, no more can follow than either line has left (positional filter),
+    # and beyond the prefixes no more than the longer rest
+    left = F.least(size("a") - place("a"), size("b") - place("b")) - 1
+    need = F.greatest(alpha - left, alpha - (_needed(long, t) - 1))
+    shared = a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need"))
+    pairs = cut(shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.col("need")).select("a", "b"), "line-pairs")
     found = _verified(pairs, sets, docs, ranks, t, "line")
     drop_cut(sets)
 
