@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecorpus.llm import bpe
-from lakecorpus.llm.common import cut, table
+from lakecorpus.llm.common import cut, drop_cut, drop_cuts, table
 from lakecorpus.llm.decontaminate import drop_contaminated
 from lakecorpus.llm.line_dedup import dedup_lines
 from lakecorpus.llm.ngram_join import keep_one_of_each
@@ -52,7 +52,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
+def _stage(f):
+    """A stage begins when the one before it is written, so what that one kept on disk for its own use can go."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_cuts(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("encoding", encode)]
+STAGES = [(name, _stage(f)) for name, f in STAGES]
 
 #: SQL has no quantile sketches, MinHash forest or merge rounds; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -60,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    docs = written = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), listed=False)
+        if k:
+            drop_cut(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)

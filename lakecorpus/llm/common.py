@@ -34,11 +34,15 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lakecorpus/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+#: Paths of the tables that ``cut`` made and nobody dropped, in order.
+_cuts: list[str] = []
+
+
+def cut(df: DataFrame, tag: str, listed: bool = True) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     Cuts the lineage with a table that survives lost executors. The schema is
-    given to the reader, so an empty table reads back as well.
+    given to the reader, so an empty table reads back as well. ``listed`` tables go with ``drop_cuts``.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
@@ -49,17 +53,27 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
+    if listed:
+        _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/lakecorpus/" in at:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, at)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes all listed tables: for use between jobs, when the results that were read from them are written."""
+    while _cuts:
+        _delete(spark, _cuts.pop())
 
 
 def group_key(column: str) -> Column:
