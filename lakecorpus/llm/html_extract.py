@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 BOILERPLATE, CONTENT, MIXED = range(3)
 #: Marks labelled content in training pages: a private-use character in front of each run.
-MARK = ""
+MARK = "\ue000"
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

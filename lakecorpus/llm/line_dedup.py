@@ -6,9 +6,9 @@ similarity of at least t share a code within their prefixes of n - ceil(t n) + 1
 code pass the length filter and a bound from 64-bit parity bitmaps; of those, the codes shared within the prefixes and their
 positions must leave room for the least overlap. What is left is verified on the whole sets.
 
-Lines in large groups of variants would meet in squares. So each line first meets only the earliest line of
-its length class under each of its rarest codes; what that settles no longer asks, it only answers. The other lines
-then meet all earlier ones.
+Lines in large groups of variants would meet in squares. So each line first meets only the earliest lines of
+its length class under each of its rarest codes, and the ones just before it; the likeliest of those is verified. What that settles no longer
+asks, it only answers. The other lines then meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 
 from .common import SPACES, cut, drop_cut
 
+_BITS = 16
 #: Words are counted in so many buckets; a fixed size, so the table of ranks fits any driver.
-BUCKETS = 4096
+BUCKETS = 1 << _BITS
 _LAST = (1 << 63) - 1
 _SEPARATOR = "[\\x20\\x09-\\x0D]+"
 
@@ -31,8 +32,10 @@ _SEPARATOR = "[\\x20\\x09-\\x0D]+"
 @dataclass(frozen=True)
 class LineConfig:
     similarity: float = 0.8
-    #: Codes of each line under which it meets the earliest line, in the first round.
+    #: Codes of each line under which it meets others in the first round.
     leader_codes: int = 4
+    #: So many first lines, and one less of those just before it.
+    leaders: int = 3
 
 
 def _line_words(line: Column) -> Column:
@@ -51,7 +54,7 @@ def rarity_ranks(docs: DataFrame) -> Column:
 def _codes(line: Column, ranks: Column) -> Column:
     """The set of a line's words as sorted codes. The code is a bijection of the word's 64-bit hash."""
     hashes = F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
-    coded = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), 52).bitwiseOR(F.shiftrightunsigned(h, 12)))
+    coded = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), 64 - _BITS).bitwiseOR(F.shiftrightunsigned(h, _BITS)))
     return F.sort_array(coded)
 
 
@@ -116,11 +119,14 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     slim = cut(lines.alias("l").join(sets.alias("s"), ["k1", "k2"]).select("l._doc", "l._th", "l._line", "s.id", first.alias("first")), "line-ids")
     drop_cut(lines)
 
-    # first round: the earliest line of the length class under each of the rarest codes
-    w = Window.partitionBy("code", "band").orderBy("b.id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # first round: a few lines of the length class under each of the rarest codes
+    order = Window.partitionBy("code", "band").orderBy("b.id")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = sets.select(F.struct("id", "n", "bits").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
-    met = met.withColumn("a", F.first("b").over(w)).where((F.col("a.id") < F.col("b.id")) & _plausible("a", "b", t))
-    best = met.groupBy(F.col("b.id").alias("b")).agg(F.min_by("a.id", F.struct(_apart("a", "b"), F.col("a.id"))).alias("a"))
+    others = [F.nth_value("b", k).over(w) for k in range(1, config.leaders + 1)] + [F.lag("b", k).over(order) for k in range(1, config.leaders)]
+    met = met.select("b", *[x.alias(f"a{k}") for k, x in enumerate(others)])
+    tried = [F.when((F.col(f"a{k}.id") < F.col("b.id")) & _plausible(f"a{k}", "b", t), F.struct(_apart(f"a{k}", "b").alias("apart"), F.col(f"a{k}.id").alias("id"))) for k in range(len(others))]
+    best = met.select(F.col("b.id").alias("b"), F.least(*tried).alias("a")).where(F.col("a").isNotNull()).groupBy("b").agg(F.min("a").alias("a")).select("b", F.col("a.id").alias("a"))
     leaders = cut(best, "leader-pairs")
     settled = _verified(leaders, sets, docs, ranks, t, "leader")
 

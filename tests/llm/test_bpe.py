@@ -6,8 +6,8 @@ from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
-    "", "Hello, World! it's I'LL don't", "a  b　c\x1cd<|endoftext|>Hi<|startoftext|> <|endoftext", "ΑΣ ΟΔΟΣ İstanbul ﬁ é",
-    "aaaaaaa aaaa aaa aa", "12345 \xbd ٣ 日本語 \U0001f600\U0001f600!!!???", "﻿\x00 \x85 x\xa0y", "'" * 50 + "a" * 999, "word " * 3000,
+    "", "Hello, World! it's I'LL don't", "a  b\u3000c\x1cd<|endoftext|>Hi<|startoftext|> <|endoftext", "ΑΣ ΟΔΟΣ İstanbul \ufb01 é",
+    "aaaaaaa aaaa aaa aa", "12345 \xbd ٣ 日本語 \U0001f600\U0001f600!!!???", "\ufeff\x00 \x85 x\xa0y", "'" * 50 + "a" * 999, "word " * 3000,
 ]
 
 
