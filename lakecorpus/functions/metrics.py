@@ -166,9 +166,9 @@ def token_proxy(text: Column) -> Column:
 def graphemes(text: str) -> list[str]:
     """Clusters of a base with the variation selectors and marks behind it; vowel separator and narrow space stand alone."""
     out: list[str] = []
-    alone = "᠎ "
+    alone = "\u180e\u202f"
     for c in text:
-        joins = c in "᠋᠌᠍᠏" or unicodedata.category(c) in ("Mn", "Mc", "Me")
+        joins = c in "\u180b\u180c\u180d\u180f" or unicodedata.category(c) in ("Mn", "Mc", "Me")
         if c not in alone and joins and out and out[-1] not in alone:
             out[-1] += c
         else:

@@ -46,7 +46,7 @@ def fold_answer(text: Column) -> Column:
 
 def fold_control(text: Column) -> Column:
     """Without variation selectors, vowel separator, joiners and byte order mark; the narrow no-break space as a space."""
-    return F.translate(text, " ᠋᠌᠍᠏᠎‌‍﻿", " ")
+    return F.translate(text, "\u202f\u180b\u180c\u180d\u180f\u180e\u200c\u200d\ufeff", " ")
 
 
 def lines(text: Column) -> Column:
@@ -99,7 +99,7 @@ def _printable(text: str, instead: str) -> str:
 
 def plain_document(text: str | None, keep_newlines: bool = True) -> str:
     """Compatibility form, ideographic and no-break spaces as spaces, category C out, lines squashed."""
-    t = unicodedata.normalize("NFKC", text or "").replace("　", " ").replace("\xa0", " ")
+    t = unicodedata.normalize("NFKC", text or "").replace("\u3000", " ").replace("\xa0", " ")
     rows = [" ".join(x.split()) for x in _printable(t, "").splitlines()]
     if not keep_newlines:
         return " ".join(x for x in rows if x)
@@ -108,7 +108,7 @@ def plain_document(text: str | None, keep_newlines: bool = True) -> str:
 
 def plain_line(text: str | None) -> str:
     """Canonical form on one line; category C as spaces; a nullish text is empty."""
-    t = unicodedata.normalize("NFC", (text or "").replace("﻿", ""))
+    t = unicodedata.normalize("NFC", (text or "").replace("\ufeff", ""))
     t = _printable(t, " ").replace("\n", " ").strip()
     return "" if t.lower() in NULLISH else t
 
@@ -122,7 +122,7 @@ def plain_value(value) -> str:
     if isinstance(value, dict):
         usual = [plain_value(value[k]) for k in ("role", "content", "from", "value", "text") if value.get(k)]
         return "\n".join(x for x in usual if x) or json.dumps(value, ensure_ascii=False)
-    t = unicodedata.normalize("NFC", str(value).replace("﻿", "")).replace("\r\n", "\n").replace("\r", "\n")
+    t = unicodedata.normalize("NFC", str(value).replace("\ufeff", "")).replace("\r\n", "\n").replace("\r", "\n")
     rows = [" ".join(x.split()) for x in _printable(t, " ").split("\n")]
     out = "\n".join(x for x in rows if x)
     return "" if out.lower() in NULLISH else out

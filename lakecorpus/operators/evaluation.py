@@ -69,7 +69,7 @@ def ocr_report(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     rejected = (F.col("confidence").isNull() | (F.col("confidence") < threshold)) if threshold is not None else F.lit(False)
     fold = lambda c: N.squash(N.fold_control(F.col(c)))
     d = pairs.withColumn("_out", rejected).withColumns({"_p": fold("pred"), "_r": fold("ref")})
-    parts = {"raw": ("pred", "ref", "codepoint"), "norm": ("_p", "_r", "codepoint"), "grapheme": ("_p", "_r", "grapheme"), "word": ("_p", "_r", "word")}
+    parts = {"raw": ("pred", "ref", "codepoint"), "norm": ("_p", "_r", "codepoint"), "grapheme": ("pred", "ref", "grapheme"), "word": ("_p", "_r", "word")}
     for name, (p, r, unit) in parts.items():
         d = d.withColumn(f"_{name}_d", distance_udf(unit)(p, r)).withColumn(f"_{name}_n", F.greatest(length_udf(unit)(r), F.lit(1)))
     kept = ~F.col("_out")
