@@ -3,7 +3,51 @@
 #: The escape of chat_format adds one character for each match.
 _CONTROL = r"[<\[]\\*(</SYS>>|<SYS>>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|/ROLE\]|/INST\]|ROLE\]|INST\]|/s>|s>)"
 
+_RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "stutter_ratio", "word_length")
+_LEAST_HIGH = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "stutter_ratio": 0.20, "word_length": 12.0}
+
+
+def _fences(keys: str, name: str) -> str:
+    """Fences of groups from exact quantiles: a sketch of 1024 items is exact on groups as small as those of the test tables."""
+    q = lambda r, x: f"list_sort(list({r}))[CAST(greatest(1, ceil({x} * count(*))) AS BIGINT)]"
+    high = ", ".join(f"greatest({_LEAST_HIGH[r]}::DOUBLE, {q(r, 0.75)} + 3.0::DOUBLE * ({q(r, 0.75)} - {q(r, 0.25)}) + {1.0 if r == 'word_length' else 0.0}::DOUBLE) AS {r}_high" for r in _RULES)
+    low = f"{q('word_length', 0.25)} - 3.0::DOUBLE * ({q('word_length', 0.75)} - {q('word_length', 0.25)}) - 1.0::DOUBLE AS word_length_low"
+    return f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) AS docs, {high}, {low} FROM sound {'GROUP BY ' + keys if keys else ''})"
+
+
+def _pick(c: str) -> str:
+    wide = f"(CASE WHEN l.docs >= 30 THEN l.{c} ELSE a.{c} END)"
+    near = f"s.{c}" if c.endswith("_low") else f"least(s.{c}, 1.5::DOUBLE * {wide})"
+    return f"CASE WHEN s.docs >= 30 THEN {near} ELSE {wide} END AS {c}"
+
+
+_PASSES = " AND ".join(f"{r} <= coalesce({r}_high, 'infinity'::DOUBLE)" for r in _RULES) + " AND word_length >= coalesce(word_length_low, 0.0)"
+_SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s"
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w"
+
 SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_SHINGLES} FROM (SELECT doc_id, {_WORDS} FROM documents)),
+i AS (SELECT DISTINCT item_id, {_SHINGLES} FROM (SELECT item_id, {_WORDS} FROM benchmark)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i ON d.s = i.s GROUP BY ALL)
+SELECT doc_id, m.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM m JOIN n ON m.item_id = n.item_id WHERE 10 * n_shared >= 8 * n_shingles
+""",
+    "op5_quality_rules": rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM x) WHERE k > 1),
+c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_ratio, CASE WHEN n_words > 0 THEN n_stutters / n_words ELSE 0.0 END AS stutter_ratio, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS word_length FROM m),
+sound AS (SELECT * FROM v WHERE NOT base_failed), {_fences("lang, source", "s")}, {_fences("lang", "l")}, {_fences("", "a")},
+f AS (SELECT s.lang, s.source, {", ".join(_pick(c) for c in (*[f"{r}_high" for r in _RULES], "word_length_low"))} FROM s JOIN l ON s.lang = l.lang CROSS JOIN a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSES} AS kept FROM v LEFT JOIN f ON v.lang = f.lang AND v.source = f.source
+""",
     "op9_chat_format": rf"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
