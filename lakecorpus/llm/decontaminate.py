@@ -62,9 +62,14 @@ def _shingles(w: str, k: int) -> Column:
     return F.when(F.size(c) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.array_join(F.slice(c, i, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+def _item() -> Column:
+    """Tells items apart, also those without an id."""
+    return F.xxhash64("item_id", "text")
+
+
 def item_sketches(items: DataFrame, config: ContainmentConfig) -> DataFrame:
     """(item, least, h): for each item of at least ``shingle_words`` words, the minima of its partition's hash functions."""
-    w = items.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w"))
+    w = items.select(_item().alias("item"), words(F.col("text")).alias("w"))
     s = w.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x))).withColumn("s", _shingle_hashes("hw", config.shingle_words)).where(F.size("s") > 0)
     n = F.size("s")
     width, least = F.lit(config.widths[-1]), F.lit(least_matches(config.widths[-1], config.containment, config.miss))
@@ -98,12 +103,12 @@ def contained(docs: DataFrame, items: DataFrame, config: ContainmentConfig = Con
     # exact verification on whole texts, one row for each text and item
     texts = docs.select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"), "text").join(found.select("_t1", "_t2").distinct(), ["_t1", "_t2"], "left_semi")
     mine = texts.withColumn("w", words(F.col("text"))).select("_t1", "_t2", F.explode(_shingles("w", k)).alias("s")).distinct()
-    theirs = items.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).select("item", _shingles("w", k).alias("s")).where(F.size("s") > 0)
-    theirs = theirs.select("item", F.size("s").alias("n_shingles"), F.explode("s").alias("s"))
-    shared = mine.join(theirs, "s").groupBy("_t1", "_t2", "item", "n_shingles").agg(F.countDistinct("s").alias("n_shared"))
+    theirs = items.select(_item().alias("item"), "item_id", words(F.col("text")).alias("w")).select("item", "item_id", _shingles("w", k).alias("s")).where(F.size("s") > 0)
+    theirs = theirs.select("item", "item_id", F.size("s").alias("n_shingles"), F.explode("s").alias("s"))
+    shared = mine.join(theirs, "s").groupBy("_t1", "_t2", "item", "item_id", "n_shingles").agg(F.countDistinct("s").alias("n_shared"))
     t = round(config.containment * 1000)
     sure = shared.where(1000 * F.col("n_shared") >= t * F.col("n_shingles")).join(found, ["_t1", "_t2", "item"], "left_semi")
-    return sure.select("_t1", "_t2", F.col("item").alias("item_id"), F.col("n_shingles").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"))
+    return sure.select("_t1", "_t2", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
@@ -112,7 +117,7 @@ def leaks(docs: DataFrame, items: DataFrame, config: ContainmentConfig = Contain
     A document contains an item if it has at least ``containment`` of the item's distinct shingles of five
     lower-case words (letters and digits). Items of fewer words, null texts and empty texts match nothing; a
     null id of either side is returned like others. Repeated rows of documents give repeated rows; items in several rows with one id and text
-    count once. Other columns are ignored. Empty tables give an empty result.
+    count once, those with one id and different texts each. Other columns are ignored. Empty tables give an empty result.
     """
     found = cut(contained(docs, items.select("item_id", "text").distinct(), config), "leaks")
     mine = docs.select("doc_id", F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))

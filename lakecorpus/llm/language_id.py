@@ -48,9 +48,13 @@ def train_profiles(docs: DataFrame, config: ProfileConfig = ProfileConfig()) ->
         .count()
     )
     padded = F.concat(F.lit("_"), "word", F.lit("_"))
-    of_length = [F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, 4)]
-    of_length += [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(4, config.longest + 1)]
-    grams = words.select("lang", "count", F.explode(F.concat(*of_length[: config.longest])).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
+
+    def of_length(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[of_length(n) for n in range(1, config.longest + 1)])
+    grams = words.select("lang", "count", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     part = F.pmod(F.xxhash64("gram"), F.lit(config.parts))
     first = grams.withColumn("_r", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("_r") <= config.profile_size)
