@@ -105,9 +105,9 @@ b AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, count(*) AS k FROM g WHE
 r AS (SELECT c.doc_id, CASE WHEN text = '' THEN 'empty' WHEN length(text) < 200 THEN 'too_short' WHEN len(regexp_extract_all(text, '[{M.SCRIPTS['latin']}]')) / {VISIBLE} < 0.55 THEN 'low_script'
  WHEN len(regexp_extract_all(text, '[0-9]')) / {VISIBLE} > 0.25 THEN 'digit_heavy' WHEN {REPEATED} > 0.30 THEN 'repeated_lines' WHEN top * 2 / length(c) > 0.10 THEN 'ngram_spam'
  WHEN (length(c) - 2 - k3) / (length(c) - 2) > 0.90 OR (length(c) - 3 - k4) / (length(c) - 3) > 0.75 THEN 'repetitive' ELSE '' END AS reason, length(text) AS n FROM c LEFT JOIN o ON c.doc_id = o.doc_id LEFT JOIN b ON c.doc_id = b.doc_id)
-SELECT doc_id, reason, CASE WHEN reason = '' THEN n END AS clean_chars FROM r""")
+SELECT doc_id, reason, CASE WHEN reason = '' THEN n ELSE 0 END AS clean_chars FROM r""")
 def web_gate(spark, sf_dir):
-    return quality.web_gate(docs(spark, sf_dir), WEB, normalize=N.tidy_web).select("doc_id", "reason", F.length("clean_text").cast("long").alias("clean_chars"))
+    return quality.web_gate(docs(spark, sf_dir), WEB, normalize=N.tidy_web).select("doc_id", "reason", F.coalesce(F.length("clean_text"), F.lit(0)).cast("long").alias("clean_chars"))
 
 
 @query("SELECT doc_id, md5(text) AS m FROM documents")
