@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
-from lakecorpus.operators import boxes, evaluation, training_rows
+from lakecorpus.operators import boxes, evaluation, tokens, training_rows
 from lakecorpus.operators import conversations as C
 from lakecorpus.streaming.ingest import history
 
@@ -218,3 +218,47 @@ def box_tokens(spark, sf_dir):
     size = F.lit(640)
     d = _read(spark, sf_dir, "events").select("event_id", boxes.box_token(x, x, x + 40, x + 40, size, size).alias("token"))
     return d.select("event_id", "token", F.round(boxes.box_of(F.col("token"), size, size)["x0"], 6).alias("x0"))
+
+
+@query(r"SELECT unnest(regexp_extract_all(text, '[^ \t\r\n\f\x0b]+')) AS word, count(*) AS n FROM documents GROUP BY word")
+def word_counts(spark, sf_dir):
+    return tokens.word_counts(docs(spark, sf_dir))
+
+
+@query(r"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\r\n\f\x0b]+')) AS word FROM documents) GROUP BY word), p AS (SELECT word, n, unnest(range(1, length(word))) AS i FROM w)
+SELECT substring(word, i, 1) AS left, substring(word, i + 1, 1) AS right, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""")
+def pair_counts(spark, sf_dir):
+    return tokens.pair_counts(tokens.word_counts(docs(spark, sf_dir)))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, ' +')) AS n_spaces, len(regexp_extract_all(text, '[^ ]+')) AS n_general, 0 AS n_mn FROM documents")
+def script_spans(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", tokens.segment(F.col("text")).alias("s"))
+    count = lambda lang: F.size(F.filter("s", lambda x: x["lang"] == lang)).cast("long")
+    return d.select("doc_id", count("space").alias("n_spaces"), count("general").alias("n_general"), count("mn").alias("n_mn"))
+
+
+@query("SELECT doc_id, 'unicode' AS encoding, md5(text) AS m FROM documents")
+def legacy_encoding(spark, sf_dir):
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", tokens.legacy_encoding(t).alias("encoding"), F.md5(tokens.nominal_unicode(t).cast("binary")).alias("m"))
+
+
+@query("""WITH a AS (SELECT lang AS token, min(doc_id) AS local_id FROM documents GROUP BY lang), b AS (SELECT * FROM (SELECT source AS token, min(doc_id) AS local_id FROM documents GROUP BY source) UNION ALL SELECT 'en', -1),
+s AS (SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT 'fr', 1), x AS (SELECT token, CAST(row_number() OVER (ORDER BY local_id, token) - 1 + 100 AS INTEGER) AS id FROM a WHERE token NOT IN (SELECT token FROM s)),
+y AS (SELECT token, CAST(row_number() OVER (ORDER BY local_id, token) - 1 + 200 AS INTEGER) AS id FROM b WHERE token NOT IN (SELECT token FROM s UNION ALL SELECT token FROM x))
+SELECT * FROM s UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y""")
+def vocabulary_union(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    first = d.groupBy(F.col("lang").alias("token")).agg(F.min("doc_id").alias("local_id"))
+    second = d.groupBy(F.col("source").alias("token")).agg(F.min("doc_id").alias("local_id")).union(spark.createDataFrame([("en", -1)], "token string, local_id long"))
+    specials = spark.createDataFrame([("<pad>", 0), ("fr", 1)], "token string, id int")
+    return tokens.vocabulary_union(first, second, specials, (100, 150), (200, 400))
+
+
+@query("SELECT doc_id, length(hex(encode(text))) // 2 + 22 + length(hex(encode(lang))) // 2 AS n_ids, length(hex(encode(text))) // 2 + 1 AS n_supervised, length(hex(encode(text))) // 2 AS n_target FROM documents WHERE length(text) > 0")
+def ocr_rows(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", training_rows.byte_ids(F.col("lang")).alias("instruction"), training_rows.byte_ids(F.col("text")).alias("target"))
+    built = tokens.ocr_rows(d, 18, 256, 258, 259, 260, 257)
+    back = tokens.split_ocr_rows(built.drop("target"), 257)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"), F.size("target").cast("long").alias("n_target"))
