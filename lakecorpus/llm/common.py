@@ -18,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    Only where the session has none (tests on one machine) a temporary folder stands in for it.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    global _own_dir
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own_dir = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
     return at.rstrip("/")
 
 
