@@ -6,12 +6,22 @@ documents count, the result is the first maximal independent set of that graph b
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecorpus.functions import hashing as H
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the session's checkpoint folder; where it has none (one machine), in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakecorpus-"))
+    return df.checkpoint()
+
+
 def first_of_each(docs: DataFrame, *keys: str, position: str = "doc_id") -> DataFrame:
     """The row of least position for each value of the keys.
 
@@ -51,7 +61,7 @@ def greedy_drops(pairs: DataFrame, checkpoint: bool = True) -> DataFrame:
     In each round the positions without an undecided earlier neighbour stay, and the later neighbours of those go. The rounds
     are as many as the longest chain of decisions.
     """
-    keep = lambda df: df.checkpoint() if checkpoint else df
+    keep = checkpointed if checkpoint else lambda df: df
     open_ = keep(pairs.select("earlier", "later").distinct())
     dropped = None
     while not open_.isEmpty():
@@ -75,7 +85,7 @@ def near_dedup(docs: DataFrame, threshold: int = 3, min_terms: int = 120, positi
     unique = exact_dedup(docs, position)
     size = F.size(dedup_terms(F.col("text"))) if metric == "terms" else F.length("text")
     signed = unique.withColumn("sig", F.when(size >= min_terms, H.simhash(F.col("text"))))
-    signed = signed.checkpoint()
+    signed = checkpointed(signed)
     drops = greedy_drops(near_pairs(signed.where(F.col("sig").isNotNull()).select(position, "sig"), threshold, position))
     return signed.join(drops.withColumnRenamed("dropped", position), position, "left_anti")
 

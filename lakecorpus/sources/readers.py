@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from lakecorpus.functions import textnorm as N
 from lakecorpus.functions.markup import html_parts
+from lakecorpus.operators.dedup import checkpointed
 
 _BOMS = ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8-sig"))
 
@@ -243,7 +244,7 @@ def read_zip(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ..
 
 def with_position(rows: DataFrame) -> DataFrame:
     """Adds input_pos, the place in the order of (path, pos): a global sort, then places counted from each partition's first."""
-    placed = rows.orderBy("path", "pos").withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    placed = checkpointed(rows.orderBy("path", "pos").withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

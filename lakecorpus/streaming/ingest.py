@@ -46,7 +46,7 @@ def clean_stream(docs: DataFrame, out: str, state: str, checkpoint: str, config:
             fresh = dedup.exact_dedup(passed, position).withColumn("sig", F.lit(None).cast("long"))
         old = "exact_key string, sig long, batch long"
         seen = spark.read.schema(old).parquet(state).where(F.col("batch") < number)
-        new = dedup.dedup_against(fresh, seen, threshold).checkpoint()
+        new = dedup.checkpointed(dedup.dedup_against(fresh, seen, threshold))
         mode = new.withColumn("batch", F.lit(number).cast("long"))
         for path, columns in ((out, [c for c in new.columns if c not in ("exact_key", "sig")]), (state, ["exact_key", "sig"])):
             mode.select(*columns, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
