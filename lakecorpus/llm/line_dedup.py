@@ -3,8 +3,7 @@
 A line is the set of its words. Each word becomes one 64-bit code whose high bits are the rank of
 its rarity, so sorted codes stand in order of rarity. Two sets with a Jaccard
 similarity of at least t share a code within their prefixes of n - ceil(t n) + 1 codes. Pairs that meet in a
-code pass the length filter and a bound from 64-bit parity bitmaps; of those, the codes shared within the prefixes and their
-positions must leave room for the least overlap. What is left is verified on the whole sets.
+code pass the length filter, the positional filter and a bound from 128-bit parity bitmaps before they are verified on the whole sets.
 
 Lines in large groups of variants would meet in squares. So each line first meets only the earliest lines of
 its length class under each of its rarest codes, and the ones just before it; the likeliest of those is verified. What that settles no longer
@@ -83,7 +82,7 @@ def _plausible(a: str, b: str, t: float) -> Column:
 
 
 def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
 
 
 def _band(n: Column, t: float) -> Column:
@@ -110,11 +109,16 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     ranks = rarity_ranks(docs)
     codes = _lines(docs).where(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("c", _codes(F.col("_text"), ranks))
     n = F.size("c")
-    bits = F.aggregate("c", F.lit(0).cast("bigint"), lambda x, c: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))))
-    lines = cut(codes.select("_doc", "_th", "_line", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), n.alias("n"), bits.alias("bits"), F.slice("c", 1, n - _needed(n, t) + 1).alias("prefix")), "lines")
+
+    def parity(half: int) -> Column:
+        """64 of 128 bits: the parity of the number of codes that fall on each."""
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
+        return F.aggregate("c", F.lit(0).cast("bigint"), lambda x, c: F.when(c.bitwiseAND(64) == 64 * half, x.bitwiseXOR(bit(c))).otherwise(x))
+
+    lines = cut(codes.select("_doc", "_th", "_line", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), n.alias("n"), parity(0).alias("low"), parity(1).alias("high"), F.slice("c", 1, n - _needed(n, t) + 1).alias("prefix")), "lines")
     # one row for each set; ids follow the order of the first line that has it
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("_doc", "_th", "_line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = cut(sets.orderBy("at").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at._doc", "at._th", "at._line", "n", "bits", "prefix"), "line-sets")
+    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("_doc", "_th", "_line")).alias("at"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
+    sets = cut(sets.orderBy("at").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at._doc", "at._th", "at._line", "n", "low", "high", "prefix"), "line-sets")
     first = F.struct("l._doc", "l._th", "l._line") == F.struct("s._doc", "s._th", "s._line")
     slim = cut(lines.alias("l").join(sets.alias("s"), ["k1", "k2"]).select("l._doc", "l._th", "l._line", "s.id", first.alias("first")), "line-ids")
     drop_cut(lines)
@@ -122,7 +126,7 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     # first round: a few lines of the length class under each of the rarest codes
     order = Window.partitionBy("code", "band").orderBy("b.id")
     w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = sets.select(F.struct("id", "n", "bits").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
+    met = sets.select(F.struct("id", "n", "low", "high").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
     others = [F.nth_value("b", k).over(w) for k in range(1, config.leaders + 1)] + [F.lag("b", k).over(order) for k in range(1, config.leaders)]
     met = met.select("b", *[x.alias(f"a{k}") for k, x in enumerate(others)])
     tried = [F.when((F.col(f"a{k}.id") < F.col("b.id")) & _plausible(f"a{k}", "b", t), F.struct(_apart(f"a{k}", "b").alias("apart"), F.col(f"a{k}.id").alias("id"))) for k in range(len(others))]
@@ -133,21 +137,17 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     # second round: the others ask all earlier lines; what is settled only answers
     asked = sets.join(settled.withColumn("settled", F.lit(1)), "id", "left")
     packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("ask"))
-    rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "bits", F.posexplode("prefix").alias("i", "code")).select("code", "id", "bits", packed.alias("p"))
+    rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "low", "high", F.posexplode("prefix").alias("i", "code")).select("code", "id", "low", "high", packed.alias("p"))
     size = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
-    place = lambda x: F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
+    rest = lambda x: size(x) - F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
     a, b = rows.alias("a"), rows.alias("b")
     short, long = F.least(size("a"), size("b")), F.greatest(size("a"), size("b"))
     alpha = _alpha(size("a"), size("b"), t)
     # the length filter is never met by a line that doesn't ask: this keeps the condition in the join, so that both sides share one exchange
     may = short * F.col("b.p").bitwiseAND(1) >= _needed(long, t)
-    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
-    # codes that a pair must share within its prefixes: behind the last one, no more can follow than either line has left (positional filter),
-    # and beyond the prefixes no more than the longer rest
-    left = F.least(size("a") - place("a"), size("b") - place("b")) - 1
-    need = F.greatest(alpha - left, alpha - (_needed(long, t) - 1))
-    shared = a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need"))
-    pairs = cut(shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.col("need")).select("a", "b"), "line-pairs")
+    # positional filter: from the first code that a pair shares, enough must be left of both lines
+    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (F.least(rest("a"), rest("b")) >= alpha) & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
+    pairs = cut(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
     found = _verified(pairs, sets, docs, ranks, t, "line")
     drop_cut(sets)
 
