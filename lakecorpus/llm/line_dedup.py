@@ -6,7 +6,7 @@ similarity of at least t share a code within their prefixes of n - ceil(t n) + 1
 code pass the length filter, the positional filter and a bound from 128-bit parity bitmaps before they are verified on the whole sets.
 
 Lines in large groups of variants would meet in squares. So each line first meets only the earliest lines of
-its length class under each of its rarest codes, and the ones just before it; the likeliest of those is verified. What that settles no longer
+its length class under each of its rarest codes, and the ones just before it; the likeliest of those are verified. What that settles no longer
 asks, it only answers. The other lines then meet all earlier ones.
 """
 
@@ -35,6 +35,8 @@ class LineConfig:
     leader_codes: int = 4
     #: So many first lines, and one less of those just before it.
     leaders: int = 3
+    #: So many of them, the likeliest, are verified.
+    tried: int = 3
 
 
 def _line_words(line: Column) -> Column:
@@ -130,14 +132,16 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     others = [F.nth_value("b", k).over(w) for k in range(1, config.leaders + 1)] + [F.lag("b", k).over(order) for k in range(1, config.leaders)]
     met = met.select("b", *[x.alias(f"a{k}") for k, x in enumerate(others)])
     tried = [F.when((F.col(f"a{k}.id") < F.col("b.id")) & _plausible(f"a{k}", "b", t), F.struct(_apart(f"a{k}", "b").alias("apart"), F.col(f"a{k}.id").alias("id"))) for k in range(len(others))]
-    best = met.select(F.col("b.id").alias("b"), F.least(*tried).alias("a")).where(F.col("a").isNotNull()).groupBy("b").agg(F.min("a").alias("a")).select("b", F.col("a.id").alias("a"))
+    best = met.select(F.col("b.id").alias("b"), F.least(*tried).alias("a")).where(F.col("a").isNotNull()).groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))
+    best = best.select("b", F.explode(F.slice("a", 1, config.tried)).alias("a")).select("b", "a.id").withColumnRenamed("id", "a")
     leaders = cut(best, "leader-pairs")
     settled = _verified(leaders, sets, docs, ranks, t, "leader")
 
     # second round: the others ask all earlier lines; what is settled only answers
     asked = sets.join(settled.withColumn("settled", F.lit(1)), "id", "left")
     packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("ask"))
-    rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "low", "high", F.posexplode("prefix").alias("i", "code")).select("code", "id", "low", "high", packed.alias("p"))
+    rows = asked.select("id", "n", F.col("settled").isNull().cast("bigint").alias("ask"), "low", "high", F.posexplode(F.arrays_zip(F.col("prefix").alias("code"), F.concat(F.array(F.lit(None).cast("bigint")), "prefix").alias("before"))).alias("i", "c"))
+    rows = rows.where(F.col("c.code").isNotNull()).select("c.code", "c.before", "id", "low", "high", packed.alias("p"))
     size = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
     rest = lambda x: size(x) - F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
     a, b = rows.alias("a"), rows.alias("b")
@@ -147,6 +151,8 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     may = short * F.col("b.p").bitwiseAND(1) >= _needed(long, t)
     # positional filter: from the first code that a pair shares, enough must be left of both lines
     meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (F.least(rest("a"), rest("b")) >= alpha) & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
+    # a pair that shares the code before as well has met there
+    meets = meets & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
     pairs = cut(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
     found = _verified(pairs, sets, docs, ranks, t, "line")
     drop_cut(sets)
