@@ -15,15 +15,12 @@ def measure(docs: DataFrame, source: str = "source", position: str = "doc_id", s
 
     The sample is the feature: counting tokens is dear. Documents and characters are counted over all.
     """
-    d = docs.select(source, position, F.length("text").cast("long").alias("c"), (token_proxy(F.col("text")) if tokens is None else tokens).alias("t"))
-    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy(source).orderBy(position)))
-    within = F.col("r") <= sample
-    out = ranked.groupBy(source).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum("c").alias("n_chars"),
-        F.sum(F.when(within, F.col("t")).otherwise(0)).alias("sample_tokens"),
-        F.sum(F.when(within, F.col("c")).otherwise(0)).alias("sample_chars"),
-    )
+    chars = F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long")
+    totals = docs.groupBy(source).agg(F.count(F.lit(1)).alias("n_docs"), chars.alias("n_chars"))
+    # the limit on the rank lets each task keep only its first rows of a source before they are dealt out
+    ranked = docs.select(source, position, "text").withColumn("r", F.row_number().over(Window.partitionBy(source).orderBy(position))).where(F.col("r") <= sample)
+    sampled = ranked.groupBy(source).agg(F.coalesce(F.sum(token_proxy(F.col("text")) if tokens is None else tokens), F.lit(0)).cast("long").alias("sample_tokens"), chars.alias("sample_chars"))
+    out = totals.join(sampled, totals[source].eqNullSafe(sampled[source])).select(totals[source], "n_docs", "n_chars", "sample_tokens", "sample_chars")
     est = F.when(F.col("sample_chars") > 0, F.bround(F.col("n_chars") * (F.col("sample_tokens") / F.col("sample_chars")))).otherwise(0)
     return out.withColumn("est_tokens", est.cast("long"))
 
