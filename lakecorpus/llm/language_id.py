@@ -123,7 +123,7 @@ class Profiles:
         full = full[begins]
         # by document, falling count, key
         fall = np.uint64((1 << 24) - 1) - np.minimum(n, (1 << 24) - 1).astype(np.uint64)
-        order = np.argsort((full & ~_MASK) | (fall << np.uint64(32)) | ((full & _MASK) >> np.uint64(24)), kind="stable")
+        order = np.argsort((full & ~_MASK) | (fall << np.uint64(32)) | ((full & _MASK) >> np.uint64(24)))
         full = full[order]
         doc = (full >> np.uint64(56)).astype(np.int64)
         begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
