@@ -1,6 +1,6 @@
 """Near-duplicate line removal by an exact set-similarity self-join, DataFrame functions only.
 
-A line is the set of its words. Each word becomes one 64-bit code whose high bits are the rank of
+A line is the set of its lower-case words. Each word becomes one 64-bit code whose high bits are the rank of
 its rarity, so sorted codes stand in order of rarity. Two sets with a Jaccard
 similarity of at least t share a code within their prefixes of n - ceil(t n) + 1 codes. Pairs that meet in a
 code pass the length filter, the positional filter and a bound from 128-bit parity bitmaps before they are verified on the whole sets.
@@ -40,7 +40,7 @@ class LineConfig:
 
 
 def _line_words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(SPACES)), _SEPARATOR)
+    return F.split(F.btrim(F.lower(line), F.lit(SPACES)), _SEPARATOR)
 
 
 def rarity_ranks(docs: DataFrame) -> Column:

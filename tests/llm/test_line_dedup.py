@@ -41,6 +41,18 @@ def test_removes_the_later_and_keeps_the_rest(docs_of):
     assert got == {1: f"{a}\n\nonly here", 2: "unique words of the second one", 3: ""}
 
 
+def test_case_is_folded(docs_of):
+    a = "The quick brown fox jumps over the lazy dog near the old river bank"
+    rows = [(1, a), (2, a.upper()), (3, a.title()), (4, "Élan Vital"), (5, "ÉLAN vital\nother words"), (6, "None of these")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: (a, 0), 2: ("", 1), 3: ("", 1), 4: ("Élan Vital", 0), 5: ("other words", 1), 6: ("None of these", 0)}
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(d, "\n".join(" ".join(rng.choice([str.upper, str.title, str.lower])(w) for w in rng.sample(words, rng.choice([1, 2, 5, 9]))) for _ in range(4))) for d in range(80)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == brute([(d, text.lower()) for d, text in rows])
+
+
 def test_odd_rows(odd_docs):
     got = dedup_lines(odd_docs)
     assert set(odd_docs.columns) < set(got.columns)
