@@ -10,22 +10,23 @@ from lakecorpus.functions.metrics import bound, graphemes
 
 
 def edit_distance(a, b) -> int:
-    """Insertions, deletions and substitutions between any two sequences."""
-    import numpy as np
-
-    if len(a) < len(b):
+    """Insertions, deletions and substitutions between any two sequences: a column of the table as bits, one for each step down or up."""
+    if len(a) > len(b):
         a, b = b, a
-    if not len(b):
-        return len(a)
-    ids: dict = {}
-    x = np.array([ids.setdefault(v, len(ids)) for v in a])
-    y = np.array([ids.setdefault(v, len(ids)) for v in b])
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for k, v in enumerate(x):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != v))
-        row = np.minimum.accumulate(np.r_[k + 1, best] - steps) + steps  # insertions run along the row
-    return int(row[-1])
+    at: dict = {}
+    for k, v in enumerate(a):
+        at[v] = at.get(v, 0) | 1 << k
+    mask = (1 << len(a)) - 1
+    up, down, of = mask, 0, at.get
+    for v in b:
+        same = of(v, 0)
+        x = same | down
+        diagonal = (((same & up) + up) ^ up) | same
+        right = ((down | mask & ~(diagonal | up)) << 1) | 1
+        left = (up & diagonal) << 1
+        up = mask & (left | ~(x | right))
+        down = right & x
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 def distance_udf(unit: str = "codepoint"):
@@ -38,7 +39,28 @@ def distance_udf(unit: str = "codepoint"):
     def run(a, b):
         import pandas as pd
 
-        return pd.Series([edit_distance(cut(x), cut(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        return pd.Series([None if x is None or y is None else edit_distance(cut(x), cut(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+    return run
+
+
+def grapheme_distance_udf():
+    """A UDF with the distances of two strings in code points and in graphemes; where no character joins another they are the same."""
+
+    @F.pandas_udf("codepoint long, grapheme long")
+    def run(a, b):
+        import pandas as pd
+
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append((None, None))
+                continue
+            d = edit_distance(x, y)
+            # a mark alone in front counts as a base, so the distinct characters tell only in one direction
+            parted = all(len(graphemes("a" + c)) == 2 for c in set(x) | set(y))
+            out.append((d, d if parted else edit_distance(graphemes(x), graphemes(y))))
+        return pd.DataFrame(out, columns=["codepoint", "grapheme"]).astype("Int64")
 
     return run
 
@@ -50,7 +72,7 @@ def length_udf(unit: str = "codepoint"):
     def run(a):
         import pandas as pd
 
-        return pd.Series([len(cut(x)) for x in a], dtype="int64")
+        return pd.Series([None if x is None else len(cut(x)) for x in a], dtype="Int64")
 
     return run
 
@@ -64,15 +86,17 @@ def error_rate(pairs: DataFrame, *keys: str) -> DataFrame:
 def ocr_report(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     """One row: raw, folded and grapheme error rates, word error rate, exact lines and rejections of (pred, ref, confidence).
 
-    With a threshold, rows of less or no confidence are rejected and count for nothing else.
+    With a threshold, rows of less or no confidence are rejected and count for nothing else. Null texts count as empty.
     """
     rejected = (F.col("confidence").isNull() | (F.col("confidence") < threshold)) if threshold is not None else F.lit(False)
     fold = lambda c: N.squash(N.fold_control(F.col(c)))
-    d = pairs.withColumn("_out", rejected).withColumns({"_p": fold("pred"), "_r": fold("ref")})
-    parts = {"raw": ("pred", "ref", "codepoint"), "norm": ("_p", "_r", "codepoint"), "grapheme": ("pred", "ref", "grapheme"), "word": ("_p", "_r", "word")}
-    for name, (p, r, unit) in parts.items():
-        d = d.withColumn(f"_{name}_d", distance_udf(unit)(p, r)).withColumn(f"_{name}_n", F.greatest(length_udf(unit)(r), F.lit(1)))
     kept = ~F.col("_out")
+    d = pairs.withColumn("_out", rejected).withColumns({c: F.when(kept, F.coalesce(c, F.lit(""))) for c in ("pred", "ref")})
+    d = d.withColumns({"_p": fold("pred"), "_r": fold("ref")})
+    parts = {"raw": ("ref", "codepoint"), "norm": ("_r", "codepoint"), "grapheme": ("ref", "grapheme"), "word": ("_r", "word")}
+    d = d.withColumn("_both", grapheme_distance_udf()("pred", "ref"))
+    d = d.withColumns({"_norm_d": distance_udf()("_p", "_r"), "_word_d": distance_udf("word")("_p", "_r"), "_raw_d": F.col("_both.codepoint"), "_grapheme_d": F.col("_both.grapheme")})
+    d = d.withColumns({f"_{name}_n": F.greatest(length_udf(unit)(r), F.lit(1)) for name, (r, unit) in parts.items()})
     total = lambda c: F.sum(F.when(kept, F.col(c)))
     rates = [F.coalesce(total(f"_{n}_d") / total(f"_{n}_n"), F.lit(0.0)).alias("wer" if n == "word" else f"{n}_cer") for n in parts]
     return d.agg(

@@ -9,6 +9,7 @@ from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
 from lakecorpus.operators import boxes, evaluation, tokens, training_rows
 from lakecorpus.operators import conversations as C
+from lakecorpus.sources.readers import with_position
 from lakecorpus.streaming.ingest import history
 
 from .corpus import PROXY, SP, docs
@@ -155,10 +156,23 @@ def error_rates(spark, sf_dir):
     return evaluation.error_rate(d.join(items, "item_id"), "lang")
 
 
+def whole_pairs(documents, items):
+    """(doc_id, lang, pred, ref): the whole text of each document beside that of the item whose rank is doc_id modulo the number of items. Null texts are empty."""
+    text = F.coalesce("text", F.lit(""))
+    ranked = with_position(items.select(F.lit("").alias("path"), F.col("item_id").alias("pos"), text.alias("ref"))).select(F.col("input_pos").alias("_rank"), "ref")
+    n = ranked.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("_n"))
+    d = documents.select("doc_id", "lang", text.alias("pred")).crossJoin(n).withColumn("_rank", F.pmod("doc_id", "_n"))
+    return d.join(ranked, "_rank").drop("_rank", "_n")
+
+
+@query()
+def error_rates_whole(spark, sf_dir):
+    return evaluation.error_rate(whole_pairs(docs(spark, sf_dir), _read(spark, sf_dir, "benchmark")), "lang")
+
+
 @query()
 def ocr_report(spark, sf_dir):
-    items = _read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("ref"))
-    d = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 80).alias("pred"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
+    d = whole_pairs(docs(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
     return evaluation.ocr_report(d.withColumn("confidence", (F.col("doc_id") % 10) / 10), 0.25)
 
 
