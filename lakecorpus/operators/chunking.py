@@ -95,14 +95,30 @@ def split_documents(docs: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
     return docs.select(*others, F.posexplode(cut(F.col("text"))).alias("chunk_index", "text"))
 
 
+def fill_words(words, budget: int) -> list[str]:
+    """Words filled greedily into lines of at most ``budget`` characters."""
+    out: list[str] = []
+    line: list[str] = []
+    size = 0
+    for w in words:
+        if size and size + 1 + len(w) > budget:
+            out.append(" ".join(line))
+            line, size = [], 0
+        size += len(w) + (1 if size else 0)
+        if size:
+            line.append(w)
+    if size:
+        out.append(" ".join(line))
+    return out
+
+
 def chunk_words(words: Column, budget: int) -> Column:
-    """Words filled greedily into lines of at most ``budget`` characters; a longer word is a line by itself."""
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    """Words filled greedily into lines of at most ``budget`` characters, in linear time; a longer word is a line by itself."""
+
+    @F.pandas_udf("array<string>")
+    def fill(lists):
+        import pandas as pd
 
-    def step(a, w):
-        fits = F.length(a["line"]) + 1 + F.length(w) <= budget
-        joined = F.when(a["line"] == "", w).otherwise(F.concat(a["line"], F.lit(" "), w))
-        full = (a["line"] != "") & ~fits
-        return F.struct(F.when(full, F.concat(a["lines"], F.array(a["line"]))).otherwise(a["lines"]).alias("lines"), F.when(full, w).otherwise(joined).alias("line"))
+        return pd.Series([None if w is None else fill_words(w, budget) for w in lists], dtype="object")
 
-    return F.aggregate(words, start, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))))
+    return fill(words)

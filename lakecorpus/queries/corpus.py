@@ -123,6 +123,13 @@ def running_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", N.strip(F.regexp_replace(t, " {2,}", " ")).alias("line"))
 
 
+@query(rf"SELECT doc_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{N.URL}', ' ', 'g'), '{N.EMAIL}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^[{SP}]+|[{SP}]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS k FROM documents)")
+def running_lines_whole(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(N.lines(F.col("text"))).alias("k", "line"))
+    t = F.regexp_replace(F.regexp_replace("line", N.URL, " "), N.EMAIL, " ")
+    return d.select("doc_id", "k", N.strip(F.regexp_replace(t, " {2,}", " ")).alias("line"))
+
+
 @query("SELECT doc_id, 'script_impurity' AS mongolian, CASE WHEN length(text) < 120 THEN 'too_short' ELSE 'script_impurity' END AS legal FROM documents WHERE length(text) >= 90")
 def foreign_gates(spark, sf_dir):
     t = F.col("text")
@@ -189,8 +196,7 @@ def split_documents(spark, sf_dir):
 
 @query()
 def chunk_words(spark, sf_dir):
-    first = F.slice(M.tokens(F.get(N.lines(F.col("text")), 0)), 1, 1000000)
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunk_words(first, 60)).alias("k", "line"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunk_words(M.tokens(F.col("text")), 60)).alias("k", "line"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from lakecorpus.functions.metrics import graphemes
 from lakecorpus.operators import evaluation as E
@@ -54,3 +55,26 @@ def test_rates_of_whole_texts_and_all_items(spark, tables):
     rate = lambda ps, of=lambda x: x: sum(distance(of(p), of(r)) for p, r in ps) / sum(max(len(of(r)), 1) for _, r in ps)
     assert report.n == len(kept) and report.rejection_rate == pytest.approx(0.3)
     assert (report.raw_cer, report.norm_cer, report.grapheme_cer, report.wer) == pytest.approx((rate(kept), rate(flat), rate(kept), rate(flat, str.split)))
+
+
+def test_chunks_and_lines_of_whole_texts(spark, tables):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "bé", "w" * 9, "x" * 70, "see http://a.b/c?d", "mail me@x.org now"])
+    docs = [(k, "\n".join(" ".join(word() for _ in range(rng.randrange(9))) for _ in range(rng.randint(1, 6)))) for k in range(40)] + [(40, None), (41, ""), (42, " one\n\n two  three\t\nfour")]
+    at = tables(documents=(docs, "doc_id long, text string"))
+    chunks = {}
+    for r in QUERIES["chunk_words"][0](spark, at).orderBy("doc_id", "k").collect():
+        chunks.setdefault(r.doc_id, []).append(r.line)
+    assert {k: " ".join(v).split() for k, v in chunks.items()} == {k: t.split() for k, t in docs if t and t.split()}
+    for lines in chunks.values():
+        assert all(len(x) <= 60 or " " not in x for x in lines)
+        assert all(len(x) + 1 + len(y.split()[0]) > 60 for x, y in zip(lines, lines[1:]))
+    query, sql = QUERIES["running_lines_whole"]
+    got = sorted((r.doc_id, r.k, r.line) for r in query(spark, at).collect())
+    assert [(k, x) for d, k, x in got if d == 42] == [(0, "one"), (1, ""), (2, "two three"), (3, "four")]
+    assert len(got) == sum(t.count("\n") + 1 for _, t in docs if t is not None) and not any("http" in x or "@" in x for _, _, x in got)
+    db = duckdb.connect()
+    for folder in (f"{at}/documents.parquet/*.parquet", "/root/testdata/sf0.001/documents.parquet"):
+        db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}'")
+        at = at if "*" in folder else "/root/testdata/sf0.001"
+        assert sorted(map(tuple, query(spark, at).collect())) == sorted(db.sql(sql).fetchall())
