@@ -136,6 +136,13 @@ def foreign_gates(spark, sf_dir):
     return docs(spark, sf_dir).where(F.length("text") >= 90).select("doc_id", quality.running_text_reason(t).alias("mongolian"), quality.bucket_reason(t, quality.BUCKETS["mn_cyrillic_legal"]).alias("legal"))
 
 
+@query(f"""SELECT doc_id, CASE WHEN length(coalesce({STRIPPED}, '')) < 80 THEN 'too_short' ELSE 'script_impurity' END AS mongolian,
+CASE WHEN length(coalesce(text, '')) < 120 THEN 'too_short' ELSE 'script_impurity' END AS legal FROM documents""")
+def foreign_gates_whole(spark, sf_dir):
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", quality.running_text_reason(t).alias("mongolian"), quality.bucket_reason(t, quality.BUCKETS["mn_cyrillic_legal"]).alias("legal"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN length(text) < 80 THEN 'too_short' WHEN len({LINES}) >= 4 AND {REPEATED} > 0.55 THEN 'repeated_lines' ELSE '' END AS code,
 CASE WHEN length(text) < 80 THEN 'too_short' WHEN len({LINES}) >= 4 AND {REPEATED} > 0.55 THEN 'repeated_lines' WHEN {SYMBOLS} / {VISIBLE} > 0.12 THEN 'symbol_spam' ELSE '' END AS prose FROM documents""")
 def bucket_gates(spark, sf_dir):

@@ -78,3 +78,16 @@ def test_chunks_and_lines_of_whole_texts(spark, tables):
         db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}'")
         at = at if "*" in folder else "/root/testdata/sf0.001"
         assert sorted(map(tuple, query(spark, at).collect())) == sorted(db.sql(sql).fetchall())
+
+
+def test_foreign_gates_of_all_rows(spark, tables):
+    docs = [(1, None), (2, ""), (3, "short"), (4, "a" * 79), (5, "b" * 80), (6, " " * 50 + "c" * 60), (7, "d" * 119), (8, "e" * 120)]
+    at = tables(documents=(docs, "doc_id long, text string"))
+    query, sql = QUERIES["foreign_gates_whole"]
+    got = {r.doc_id: (r.mongolian, r.legal) for r in query(spark, at).collect()}
+    short, script = "too_short", "script_impurity"
+    assert got == {1: (short, short), 2: (short, short), 3: (short, short), 4: (short, short), 5: (script, short), 6: (short, short), 7: (script, short), 8: (script, script)}
+    db = duckdb.connect()
+    for folder, files in ((at, f"{at}/documents.parquet/*.parquet"), ("/root/testdata/sf0.01", "/root/testdata/sf0.01/documents.parquet")):
+        db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{files}'")
+        assert sorted(map(tuple, query(spark, folder).collect())) == sorted(db.sql(sql).fetchall())
