@@ -79,6 +79,15 @@ def drop_cuts(spark: SparkSession) -> None:
         _delete(spark, _cuts.pop())
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row(df: DataFrame) -> Column:
+    """The whole row as one column ``_row``: carried along so, no name of it can clash with an operator's own. ``_row.*`` takes it apart."""
+    return F.struct(*all_columns(df)).alias("_row")
+
+
 def group_key(column: str) -> Column:
     """A column as a group key that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(NULL_KEY))

@@ -1,20 +1,24 @@
 """Quality rules with adaptive thresholds, DataFrame functions only.
 
 Fixed cutoffs are replaced by fences that follow from mergeable quantile
-sketches (KLL). One sketch is built for each rule and each (language, source),
+sketches (KLL) and nothing else. One sketch is built for each rule and each (language, source),
 partially on each task and merged after the shuffle; the sketches of sources
 are merged into those of their language and those into one for the corpus. The fences
 are then joined to the documents and the filter applied.
+
+A fence is a rate, and a document shows only so many events of it: its count is held against the
+count that the fence gives for its length, give or take the deviation of a count of that size. So one repeated line of three
+passes where no line repeats as a rule, and thirty of ninety don't.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, group_key, words
+from .common import all_columns, cut, group_key, row, words
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -25,8 +29,9 @@ WINDOW = 8
 class QualityConfig:
     """Parameters of the fences.
 
-    A rule's upper fence in a group is ``max(least_high, q75 + spread * (q75 - q25))``,
-    its lower fence ``q25 - spread * (q75 - q25)`` less ``slack``. A source's upper fence is at
+    A rule's upper fence in a group is ``q75 + spread * (q75 - q25)``, its lower fence ``q25 - spread * (q75 - q25)``, where that is
+    above 0. A document may be over the count that its fence gives by ``tolerance`` standard
+    deviations of that count and one event more. A source's upper fence is at
     most ``over_language`` times that of its language, so a source that consists of junk can't
     set its own standard. Groups of fewer than ``least_docs`` documents use the next wider group.
     Sketches hold ``sketch_k`` items a level; up to as many values the quantiles are exact, beyond
@@ -35,16 +40,16 @@ class QualityConfig:
 
     sketch_k: int = 1024
     spread: float = 3.0
+    tolerance: float = 2.0
     least_docs: int = 30
     over_language: float = 1.5
     min_words: int = 20
     max_repeat_percent: int = 30
-    #: Rule: (least upper fence). Word length is fenced on both sides.
-    least_high: dict = field(default_factory=lambda: {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "stutter_ratio": 0.20, "word_length": 12.0})
-    word_length_slack: float = 1.0
 
 
-RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "stutter_ratio", "word_length")
+#: Rule: count, what it is a share of, and the size of one event (a window that is there twice covers 16 words).
+COUNTS = {"symbol_ratio": ("n_symbols", "n_words", 1.0), "dup_line_ratio": ("n_dup_lines", "n_lines", 1.0), "repeat_ratio": ("n_repeat_words", "n_words", 2.0 * WINDOW), "stutter_ratio": ("n_stutters", "n_words", 1.0), "word_length": ("word_chars", "n_words", 1.0)}
+RULES = tuple(COUNTS)
 
 
 def _window_hashes(hashes: Column, n: Column) -> Column:
@@ -63,7 +68,7 @@ def _covered(starts: Column) -> Column:
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
-    """Adds ``_q``, a struct of the counts of each whole text, to ``docs``.
+    """Adds ``_q``, a struct of the counts of each whole text, to ``docs``, whose names must not begin with an underscore but for ``_row``, ``_lang`` and ``_source``.
 
     Equal 8-word windows are found by 64-bit hashes within one text. A null or empty text has
     zero counts. Each step is a projection whose arrays the next one uses more than once, so
@@ -89,7 +94,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_h", lambda h, i: h == F.get(F.col("_h"), i - 1))).cast("long").alias("n_stutters"),
     )
-    return d.withColumn("_q", counts).select(*[F.col(f"`{c}`") for c in docs.columns], "_q")
+    return d.withColumn("_q", counts).select(*all_columns(docs), "_q")
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -98,13 +103,7 @@ def _ratio(a: str, b: str) -> Column:
 
 def rule_values() -> dict[str, Column]:
     """The value of each adaptive rule, from the counts in ``_q``."""
-    return {
-        "symbol_ratio": _ratio("_q.n_symbols", "_q.n_words"),
-        "dup_line_ratio": _ratio("_q.n_dup_lines", "_q.n_lines"),
-        "repeat_ratio": _ratio("_q.n_repeat_words", "_q.n_words"),
-        "stutter_ratio": _ratio("_q.n_stutters", "_q.n_words"),
-        "word_length": _ratio("_q.word_chars", "_q.n_words"),
-    }
+    return {r: _ratio(f"_q.{k}", f"_q.{n}") for r, (k, n, _) in COUNTS.items()}
 
 
 def fences(measured: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -124,9 +123,9 @@ def fences(measured: DataFrame, config: QualityConfig = QualityConfig()) -> Data
         out = {}
         for r in RULES:
             q25, q75 = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75))
-            out[f"{r}_high"] = F.greatest(F.lit(config.least_high[r]), q75 + config.spread * (q75 - q25) + (config.word_length_slack if r == "word_length" else 0.0))
+            out[f"{r}_high"] = q75 + config.spread * (q75 - q25)
             if r == "word_length":
-                out[f"{r}_low"] = q25 - config.spread * (q75 - q25) - config.word_length_slack
+                out[f"{r}_low"] = F.greatest(F.lit(0.0), q25 - config.spread * (q75 - q25))
         return sketches.select(*keys, F.struct("_docs", *[v.alias(n) for n, v in out.items()]).alias(tag))
 
     top = fenced(merged("_corpus"), "_all", "_corpus")
@@ -146,14 +145,19 @@ def base_failed(config: QualityConfig = QualityConfig()) -> Column:
     return (n < config.min_words) | (100 * again > config.max_repeat_percent * n)
 
 
-def passes() -> Column:
+def passes(config: QualityConfig = QualityConfig()) -> Column:
     """True where a document with fences joined to it lies within all of them."""
-    values = rule_values()
-    inside = [values[r] <= F.coalesce(F.col(f"{r}_high"), F.lit(float("inf"))) for r in RULES]
-    ok = values["word_length"] >= F.coalesce(F.col("word_length_low"), F.lit(0.0))
-    for x in inside:
-        ok = ok & x
-    return ok
+
+    def slack(due: Column, event: float) -> Column:
+        """Deviation of a count that comes in events; the event more keeps a fence of 0 from rejecting the first."""
+        return config.tolerance * F.sqrt(event * (due + event))
+
+    ok = F.lit(True)
+    for r, (k, n, event) in COUNTS.items():
+        due = F.col(f"{r}_high") * F.col(f"_q.{n}")
+        ok = ok & F.coalesce(F.col(f"_q.{k}") <= due + slack(due, event), F.lit(True))
+    due = F.col("word_length_low") * F.col("_q.n_words")
+    return ok & F.coalesce(F.col("_q.word_chars") >= due - slack(due, 1.0), F.lit(True))
 
 
 def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -166,15 +170,15 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
     d = docs.select("doc_id", "text", group_key("lang").alias("_lang"), group_key("source").alias("_source"))
     measured = cut(base_metrics(d).drop("text"), "quality-counts")
     judged = measured.join(fences(measured, config), ["_lang", "_source"], "left")
-    return judged.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", base_failed(config).alias("base_failed"), (~base_failed(config) & passes()).alias("kept"))
+    return judged.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", base_failed(config).alias("base_failed"), (~base_failed(config) & passes(config)).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.
+    """The rows of ``docs`` that pass, with all their columns, whatever their names.
 
     The documents are written once with their counts, so each text is measured once, and never shuffled while the fences fit a broadcast.
     """
-    keys = {"_lang": group_key("lang"), "_source": group_key("source")}
-    measured = cut(base_metrics(docs.withColumns(keys)), "quality-documents")
+    d = docs.select(row(docs), "text", group_key("lang").alias("_lang"), group_key("source").alias("_source"))
+    measured = cut(base_metrics(d).drop("text"), "quality-documents")
     judged = measured.join(fences(measured, config), ["_lang", "_source"], "left")
-    return judged.where(~base_failed(config) & passes()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where(~base_failed(config) & passes(config)).select("_row.*")

@@ -3,15 +3,15 @@
 #: The escape of chat_format adds one character for each match.
 _CONTROL = r"[<\[]\\*(</SYS>>|<SYS>>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|/ROLE\]|/INST\]|ROLE\]|INST\]|/s>|s>)"
 
-_RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "stutter_ratio", "word_length")
-_LEAST_HIGH = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "stutter_ratio": 0.20, "word_length": 12.0}
+#: Rule: count, what it is a share of, size of one event.
+_RULES = {"symbol_ratio": ("n_symbols", "n_words", 1.0), "dup_line_ratio": ("n_dup_lines", "n_lines", 1.0), "repeat_ratio": ("n_repeat_words", "n_words", 16.0), "stutter_ratio": ("n_stutters", "n_words", 1.0), "word_length": ("word_chars", "n_words", 1.0)}
 
 
 def _fences(keys: str, name: str) -> str:
     """Fences of groups from exact quantiles: a sketch of 1024 items is exact on groups as small as those of the test tables."""
     q = lambda r, x: f"list_sort(list({r}))[CAST(greatest(1, ceil({x} * count(*))) AS BIGINT)]"
-    high = ", ".join(f"greatest({_LEAST_HIGH[r]}::DOUBLE, {q(r, 0.75)} + 3.0::DOUBLE * ({q(r, 0.75)} - {q(r, 0.25)}) + {1.0 if r == 'word_length' else 0.0}::DOUBLE) AS {r}_high" for r in _RULES)
-    low = f"{q('word_length', 0.25)} - 3.0::DOUBLE * ({q('word_length', 0.75)} - {q('word_length', 0.25)}) - 1.0::DOUBLE AS word_length_low"
+    high = ", ".join(f"{q(r, 0.75)} + 3.0::DOUBLE * ({q(r, 0.75)} - {q(r, 0.25)}) AS {r}_high" for r in _RULES)
+    low = f"greatest(0.0::DOUBLE, {q('word_length', 0.25)} - 3.0::DOUBLE * ({q('word_length', 0.75)} - {q('word_length', 0.25)})) AS word_length_low"
     return f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) AS docs, {high}, {low} FROM sound {'GROUP BY ' + keys if keys else ''})"
 
 
@@ -21,7 +21,12 @@ def _pick(c: str) -> str:
     return f"CASE WHEN s.docs >= 30 THEN {near} ELSE {wide} END AS {c}"
 
 
-_PASSES = " AND ".join(f"{r} <= coalesce({r}_high, 'infinity'::DOUBLE)" for r in _RULES) + " AND word_length >= coalesce(word_length_low, 0.0)"
+def _inside(count: str, of: str, event: float, fence: str, sign: str, than: str) -> str:
+    due = f"{fence} * {of}"
+    return f"coalesce({count} {than} {due} {sign} 2.0::DOUBLE * sqrt({event}::DOUBLE * ({due} + {event}::DOUBLE)), true)"
+
+
+_PASSES = " AND ".join([*(_inside(k, n, e, f"{r}_high", "+", "<=") for r, (k, n, e) in _RULES.items()), _inside("word_chars", "n_words", 1.0, "word_length_low", "-", ">=")])
 _SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s"
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w"
 

@@ -42,6 +42,55 @@ def test_fences_follow_the_group(docs_of):
     assert sum(r.kept for r in quality_rules(docs_of(clean + code), QualityConfig(over_language=10.0)).collect()) == 400
 
 
+def prose(rng, n=100):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def test_quantiles_alone_set_the_fences(docs_of):
+    """Outliers that any fixed cutoff worth its name lets pass go, and each group has fences of its own."""
+    rng = random.Random(3)
+    plain = [(i, prose(rng), "en", "web") for i in range(200)]
+    marked = [(300 + i, " ".join(w + "|" * (k % 12 == 0) for k, w in enumerate(prose(rng).split())), "fr", "notes") for i in range(200)]
+    some = lambda text: " ".join(w + "|" * (k % 12 == 0) for k, w in enumerate(text.split()))
+    words = prose(rng, 300).split()
+    lines = [" ".join(words[k : k + 5]) for k in range(0, 200, 5)]
+    odd = {
+        600: some(prose(rng)),  # 9 symbols in 100 words, where nobody else has any; usual for (fr, notes)
+        601: " ".join(words + words[:40]),  # 80 of 340 words are in repeated windows: under the base rule's 30 %
+        602: "\n".join(lines + lines[:6]),  # 6 of 46 lines repeat
+        603: " ".join(w for k, w in enumerate(words[:100]) for _ in range(2 if k % 7 == 0 else 1)),  # 15 words said twice
+        604: " ".join(w + "xyz" for w in words),
+        605: " ".join(w[:3] for w in words),
+    }
+    rows = plain + marked + [(k, t, "en", "web") for k, t in odd.items()]
+    got = {r.doc_id: r for r in quality_rules(docs_of(rows)).collect()}
+    assert not any(got[k].base_failed for k in odd)
+    assert all(got[i].kept for i in range(200)) and all(got[300 + i].kept for i in range(200))
+    assert [k for k in odd if got[k].kept] == []
+    # a single event passes where there is none as a rule
+    once = [(700, prose(rng) + " #", "en", "web"), (701, "\n".join(lines[:3] + lines[:1]) + prose(rng, 20), "en", "web")]
+    got = {r.doc_id: r.kept for r in quality_rules(docs_of(plain + once)).collect()}
+    assert got[700] and got[701]
+
+
+def test_fences_differ_by_group(spark):
+    """On the tables no two groups of a few documents have the same fences of what all texts have."""
+    from lakecorpus.llm.common import cut, group_key, table
+    from lakecorpus.llm.quality_rules import base_metrics, fences
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text", group_key("lang").alias("_lang"), group_key("source").alias("_source"))
+    got = fences(cut(base_metrics(docs).drop("text"), "test"), QualityConfig(least_docs=10)).collect()
+    for c in ("word_length_high", "word_length_low", "stutter_ratio_high"):
+        assert len({r[c] for r in got}) > len(got) / 3
+
+
+def test_columns_pass_whatever_their_names(docs_of, clashing):
+    rng = random.Random(2)
+    docs = clashing(docs_of([prose(rng) for _ in range(40)] + ["short"]))
+    got = keep_quality(docs)
+    assert got.columns == docs.columns and clashing.unharmed(got) and got.count() == 40
+
+
 def test_odd_rows(odd_docs):
     rows = quality_rules(odd_docs).collect()
     assert len(rows) == odd_docs.count()
