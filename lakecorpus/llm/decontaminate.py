@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row
 
 WORD = "[\\p{L}\\p{N}]+"
 
@@ -29,6 +29,8 @@ class ContainmentConfig:
     sizes: tuple[int, ...] = (8, 32, 128)
     widths: tuple[int, ...] = (8, 16, 24, 32)
     miss: float = 1e-6
+    #: Items of fewer words are left out. An item of one or two common words is in nearly every text; whoever has such items decides here.
+    least_words: int = 1
 
 
 def least_matches(width: int, containment: float, miss: float) -> int:
@@ -50,27 +52,42 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _shingle_hashes(w: str, k: int) -> Column:
-    """64-bit hashes of the runs of k words in the column of hashes of words."""
-    h = F.col(w)
-    return F.when(F.size(h) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _shingles(w: str, k: int) -> Column:
-    """The runs of k words themselves; of fewer words, all of them as one."""
+def _runs(w: str, k: int, hashed: bool) -> Column:
+    """The distinct runs of k in the column of words, or of hashes of words and then hashed, too; none if there are fewer."""
     c = F.col(w)
+    if hashed:
+        return F.when(F.size(c) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(k)])))).otherwise(F.array().cast("array<bigint>"))
     return F.when(F.size(c) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.array_join(F.slice(c, i, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+def _item_runs(w: str, config: ContainmentConfig, hashed: bool) -> Column:
+    """What a text must contain of an item: its runs of ``shingle_words`` words; of a shorter item the run of all its words."""
+    out = _runs(w, config.shingle_words, hashed)
+    for k in range(1, config.shingle_words):
+        short = _runs(w, k, hashed) if k >= config.least_words else F.array().cast(f"array<{'bigint' if hashed else 'string'}>")
+        out = F.when(F.size(w) == k, short).otherwise(out)
+    return out
+
+
+def _short_lengths(items: DataFrame, config: ContainmentConfig) -> tuple[int, ...]:
+    """The numbers of words of items shorter than a shingle; ``shingle_words`` - 1 numbers at most."""
+    n = items.select(F.size(words(F.col("text"))).alias("n")).where(F.col("n").between(config.least_words, config.shingle_words - 1))
+    return tuple(sorted(r.n for r in n.distinct().collect()))
+
+
+def _text_runs(w: str, lengths: tuple[int, ...], hashed: bool) -> Column:
+    return F.concat(*[_runs(w, k, hashed) for k in lengths])
+
+
 def _item() -> Column:
     """Tells items apart, also those without an id."""
     return F.xxhash64("item_id", "text")
 
 
 def item_sketches(items: DataFrame, config: ContainmentConfig) -> DataFrame:
-    """(item, least, h): for each item of at least ``shingle_words`` words, the minima of its partition's hash functions."""
+    """(item, least, h, times): for each item with a word, the minima of its partition's hash functions."""
     w = items.select(_item().alias("item"), words(F.col("text")).alias("w"))
-    s = w.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x))).withColumn("s", _shingle_hashes("hw", config.shingle_words)).where(F.size("s") > 0)
+    s = w.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x))).withColumn("s", _item_runs("hw", config, True)).where(F.size("s") > 0)
     n = F.size("s")
     width, least = F.lit(config.widths[-1]), F.lit(least_matches(config.widths[-1], config.containment, config.miss))
     for upper, wide in reversed(list(zip(config.sizes, config.widths, strict=False))):
@@ -82,10 +99,10 @@ def item_sketches(items: DataFrame, config: ContainmentConfig) -> DataFrame:
     return drawn.groupBy("item", "least", "h").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _probed(docs: DataFrame, config: ContainmentConfig) -> DataFrame:
+def _probed(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     d = docs.select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"), words(F.col("text")).alias("w"))
     d = d.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
-    return d.select("_t1", "_t2", F.explode(_shingle_hashes("hw", config.shingle_words)).alias("h"))
+    return d.select("_t1", "_t2", F.explode(_text_runs("hw", lengths, True)).alias("h"))
 
 
 def contained(docs: DataFrame, items: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
@@ -94,16 +111,16 @@ def contained(docs: DataFrame, items: DataFrame, config: ContainmentConfig = Con
     Documents meet the sketches in a join whose build side the planner broadcasts only while its size allows, and candidates are counted
     by text, so copies of a document count once.
     """
-    k = config.shingle_words
+    lengths = (*_short_lengths(items, config), config.shingle_words)
     sketches = cut(item_sketches(items, config), "item-sketches")
-    hits = _probed(docs, config).join(sketches, "h")
+    hits = _probed(docs, lengths).join(sketches, "h")
     found = hits.groupBy("_t1", "_t2", "item", "least", "h").agg(F.first("times").alias("times"))
     found = found.groupBy("_t1", "_t2", "item", "least").agg(F.sum("times").alias("met")).where(F.col("met") >= F.col("least")).select("_t1", "_t2", "item")
     found = cut(found, "candidates")
     # exact verification on whole texts, one row for each text and item
     texts = docs.select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"), "text").join(found.select("_t1", "_t2").distinct(), ["_t1", "_t2"], "left_semi")
-    mine = texts.withColumn("w", words(F.col("text"))).select("_t1", "_t2", F.explode(_shingles("w", k)).alias("s")).distinct()
-    theirs = items.select(_item().alias("item"), "item_id", words(F.col("text")).alias("w")).select("item", "item_id", _shingles("w", k).alias("s")).where(F.size("s") > 0)
+    mine = texts.withColumn("w", words(F.col("text"))).select("_t1", "_t2", F.explode(_text_runs("w", lengths, False)).alias("s")).distinct()
+    theirs = items.select(_item().alias("item"), "item_id", words(F.col("text")).alias("w")).select("item", "item_id", _item_runs("w", config, False).alias("s")).where(F.size("s") > 0)
     theirs = theirs.select("item", "item_id", F.size("s").alias("n_shingles"), F.explode("s").alias("s"))
     shared = mine.join(theirs, "s").groupBy("_t1", "_t2", "item", "item_id", "n_shingles").agg(F.countDistinct("s").alias("n_shared"))
     t = round(config.containment * 1000)
@@ -115,7 +132,7 @@ def leaks(docs: DataFrame, items: DataFrame, config: ContainmentConfig = Contain
     """(doc_id, item_id, n_shingles, n_shared, containment): each document with each item that it contains.
 
     A document contains an item if it has at least ``containment`` of the item's distinct shingles of five
-    lower-case words (letters and digits). Items of fewer words, null texts and empty texts match nothing; a
+    lower-case words (letters and digits); an item of fewer words if it has them in a row. Null texts and those without a word match nothing; a
     null id of either side is returned like others. Repeated rows of documents give repeated rows; items in several rows with one id and text
     count once, those with one id and different texts each. Other columns are ignored. Empty tables give an empty result.
     """
@@ -125,7 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, config: ContainmentConfig = Contain
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; null and empty texts stay."""
+    """The rows of ``docs`` that contain no item, with all their columns, whatever their names; null and empty texts stay."""
     found = cut(contained(docs, items.select("item_id", "text").distinct(), config).select("_t1", "_t2").distinct(), "leaking-texts")
-    mine = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
-    return mine.join(found, ["_t1", "_t2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = docs.select(row(docs), F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))
+    return mine.join(found, ["_t1", "_t2"], "left_anti").select("_row.*")

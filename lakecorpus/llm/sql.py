@@ -32,8 +32,9 @@ _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w"
 
 SQL: dict[str, str] = {
     "op3_decontamination": f"""
-WITH d AS (SELECT DISTINCT doc_id, {_SHINGLES} FROM (SELECT doc_id, {_WORDS} FROM documents)),
-i AS (SELECT DISTINCT item_id, {_SHINGLES} FROM (SELECT item_id, {_WORDS} FROM benchmark)),
+WITH dw AS (SELECT doc_id, {_WORDS} FROM documents), iw AS (SELECT item_id, {_WORDS} FROM benchmark),
+i AS (SELECT DISTINCT item_id, {_SHINGLES} FROM iw UNION ALL SELECT item_id, array_to_string(w, ' ') AS s FROM iw WHERE len(w) BETWEEN 1 AND 4),
+d AS (SELECT DISTINCT doc_id, {_SHINGLES} FROM dw UNION ALL SELECT DISTINCT doc_id, s FROM dw JOIN i ON len(string_split(s, ' ')) < 5 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || s || ' ')),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i ON d.s = i.s GROUP BY ALL)
 SELECT doc_id, m.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM m JOIN n ON m.item_id = n.item_id WHERE 10 * n_shared >= 8 * n_shingles

@@ -5,11 +5,6 @@ import pytest
 from lakecorpus.llm.decontaminate import ContainmentConfig, drop_contaminated, leaks, least_matches
 
 
-def shingles(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-
 def corpus():
     rng = random.Random(6)
     word = lambda: rng.choice("abcdefgh") + str(rng.randrange(2000))
@@ -39,9 +34,10 @@ def test_equals_brute_force(tables):
     rows, items, docs, bench = tables
     want = {}
     for d, text in rows:
-        mine = shingles(text)
+        w = re.findall(r"[^\W_]+", text.lower())
         for i, t in items:
-            s = shingles(t)
+            k = min(5, len(t.split()))  # a short item is one run of all its words
+            mine, s = ({tuple(x[j : j + k]) for j in range(len(x) - k + 1)} for x in (w, t.lower().split()))
             if s and 10 * len(mine & s) >= 8 * len(s):
                 want[d, i] = (len(s), len(mine & s))
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in leaks(docs, bench).collect()}
@@ -50,6 +46,20 @@ def test_equals_brute_force(tables):
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_short_items(docs_of, spark):
+    docs = docs_of(["alpha Beta, gamma! delta", "alpha beta gamma", "beta alpha gamma delta epsilon zeta", "some words, then alpha beta gamma and more words", "alpha", "one two three four five six", None, ""])
+    bench = spark.createDataFrame([(1, "Alpha beta GAMMA"), (2, "epsilon zeta"), (3, "one two three four five"), (4, "!"), (5, "two three four five")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_shingles, r.containment) for r in leaks(docs, bench).collect())
+    assert got == [(0, 1, 1, 1.0), (1, 1, 1, 1.0), (2, 2, 1, 1.0), (3, 1, 1, 1.0), (5, 3, 1, 1.0), (5, 5, 1, 1.0)]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, ContainmentConfig(least_words=3)).collect()) == [2, 4, 6, 7]
+
+
+def test_columns_pass_whatever_their_names(docs_of, spark, clashing):
+    docs = clashing(docs_of(["a b c d e f g h", "other words entirely in this one text"]))
+    got = drop_contaminated(docs, spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string"))
+    assert got.columns == docs.columns and clashing.unharmed(got) and [r.doc_id for r in got.collect()] == [1]
+
+
 def test_sketches_miss_little():
     c = ContainmentConfig()
     for width in c.widths:
