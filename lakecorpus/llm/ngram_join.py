@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row
 from .components import components
 
 _WORD = re.compile(r"\w+")
@@ -362,7 +362,7 @@ def similar_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataF
 def keep_one_of_each(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """The rows of ``docs``, of each class only the one of least doc_id (then least hash of its text; null ids last).
 
-    Rows without a word stay. Of repeated rows one stays. All columns pass through.
+    Rows without a word stay. Of repeated rows one stays. All columns pass through, whatever their names.
     """
     linked = cut(similar_classes(docs, config).where(F.col("n_links") > 0), "linked")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -370,9 +370,8 @@ def keep_one_of_each(docs: DataFrame, config: JoinConfig = JoinConfig()) -> Data
     first = first.select(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_th"), F.lit(True).alias("_stays"))
     rows = linked.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
     fate = cut(rows.alias("r").join(first.alias("f"), F.col("r._d").eqNullSafe(F.col("f._d")) & (F.col("r._th") == F.col("f._th")), "left").select("r._d", "r._th", F.coalesce("_stays", F.lit(False)).alias("_stays")), "fates")
-    mine = docs.withColumn("_row_th", F.xxhash64("text"))
-    judged = mine.join(fate, mine["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row_th") == F.col("_th")), "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    clean = judged.where(F.col("_stays").isNull()).select(*columns)
-    kept = judged.where(F.col("_stays")).dropDuplicates(["doc_id", "_row_th"]).select(*columns)
-    return clean.unionByName(kept)
+    mine = docs.select(row(docs), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_own_th"))
+    judged = mine.join(fate, F.col("_own").eqNullSafe(F.col("_d")) & (F.col("_own_th") == F.col("_th")), "left")
+    clean = judged.where(F.col("_stays").isNull()).select("_row")
+    kept = judged.where(F.col("_stays")).dropDuplicates(["_own", "_own_th"]).select("_row")
+    return clean.union(kept).select("_row.*")

@@ -97,3 +97,9 @@ def test_odd_rows_and_one_of_each(odd_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*[(False, d) for d in (1, 2, 3, 4, 6, 7)], (True, None)]
     assert keep_one_of_each(odd_docs.limit(0)).count() == 0
+
+
+def test_columns_pass_whatever_their_names(docs_of, clashing):
+    docs = clashing(docs_of(["a b c d e f g h", "a b c d e f g h", "other words entirely in this text"]))
+    got = keep_one_of_each(docs)
+    assert got.columns == docs.columns and clashing.unharmed(got) and sorted(r.doc_id for r in got.collect()) == [0, 2]
