@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,13 +37,18 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_of(text: Column, inside: str) -> Column:
+    """Characters of a class, by what is left without them: no array of matches is built."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{inside}]+", ""))
+
+
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(empty))
+    return bound(whole, lambda n: F.when(n > 0, part / n).otherwise(F.lit(empty)))
 
 
 def visible(text: Column) -> Column:
     """Characters that aren't white space."""
-    return matches(text, f"[^{SPACE}]")
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
 
 
 def script_class(script: str) -> str:
@@ -52,18 +59,17 @@ def script_class(script: str) -> str:
 
 def script_ratio(text: Column, script: str) -> Column:
     """Share of a script among visible characters."""
-    return ratio(matches(text, f"[{script_class(script)}]"), visible(text))
+    return ratio(count_of(text, script_class(script)), visible(text))
 
 
 def script_ratio_no_digits(text: Column, script: str) -> Column:
     """Share of a script among visible characters that aren't digits."""
-    return ratio(matches(text, f"[{script_class(script)}]"), matches(text, rf"[^{SPACE}\p{{Nd}}]"))
+    return ratio(count_of(text, script_class(script)), F.length(F.regexp_replace(text, rf"[{SPACE}\p{{Nd}}]+", "")))
 
 
 def script_letter_ratio(text: Column, script: str) -> Column:
     """Share of a script's letters among letters."""
-    letters = matches(text, r"\p{L}")
-    return ratio(matches(text, rf"(?=\p{{L}})[{script_class(script)}]"), letters)
+    return ratio(count_of(text, rf"[{script_class(script)}]&&\p{{L}}"), count_of(text, r"\p{L}"))
 
 
 def tokens(text: Column) -> Column:
@@ -72,7 +78,8 @@ def tokens(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return matches(text, f"[{UNSPACED}]|[^{SPACE}{UNSPACED}]+")
+    runs_as_one = F.regexp_replace(text, f"[^{SPACE}{UNSPACED}]+", "x")
+    return F.length(F.regexp_replace(runs_as_one, f"[{SPACE}]+", ""))
 
 
 def dedup_terms(text: Column) -> Column:
@@ -88,43 +95,44 @@ def full_lines(text: Column) -> Column:
 
 def repeated_line_fraction(text: Column, least_lines: int = 1) -> Column:
     """Share of lines equal to an earlier one; 0 for fewer than ``least_lines``."""
-    full = full_lines(text)
-    return F.when(F.size(full) >= least_lines, ratio(F.size(full) - F.size(F.array_distinct(full)), F.size(full))).otherwise(F.lit(0.0))
+    repeated = lambda full: F.when(F.size(full) >= max(1, least_lines), (F.size(full) - F.size(F.array_distinct(full))) / F.size(full)).otherwise(F.lit(0.0))
+    return F.when(text.isNotNull(), bound(full_lines(text), repeated))
 
 
 def symbol_to_word_ratio(text: Column) -> Column:
     """Symbols for each token; 1 if there are no tokens."""
-    return ratio(matches(text, f"[{SYMBOLS}]"), token_count(text), 1.0)
+    return ratio(count_of(text, SYMBOLS), token_count(text), 1.0)
 
 
 def symbol_to_char_ratio(text: Column) -> Column:
     """Symbols for each visible character; 1 if there are none."""
-    return ratio(matches(text, f"[{SYMBOLS}]"), visible(text), 1.0)
+    return ratio(count_of(text, SYMBOLS), visible(text), 1.0)
 
 
 def mean_word_length(text: Column) -> Column:
     """Mean length of words with a letter and without characters of unspaced scripts; null for fewer than five."""
-    words = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
-    spaced = F.filter(words, lambda w: ~w.rlike(f"[{UNSPACED}]") & w.rlike(r"\p{L}"))
-    return F.when(F.size(spaced) >= 5, F.length(F.array_join(spaced, "")) / F.size(spaced))
+    word = rf"(?<![^{SPACE}])(?=[^{SPACE}{UNSPACED}\p{{L}}]*+\p{{L}})[^{SPACE}{UNSPACED}]++(?![^{SPACE}])"
+    without, as_one = F.length(F.regexp_replace(text, word, "")), F.length(F.regexp_replace(text, word, "x"))
+    both = F.struct(without.alias("rest"), as_one.alias("all"))
+    return bound(both, lambda x: F.when(x["all"] - x["rest"] >= 5, (F.length(text) - x["rest"]) / (x["all"] - x["rest"])))
 
 
 def digit_ratio(text: Column) -> Column:
-    return ratio(matches(text, r"\p{Nd}"), visible(text))
+    return ratio(count_of(text, r"\p{Nd}"), visible(text))
 
 
 def garble_ratio(text: Column) -> Column:
     """Replacement and private-use characters among visible ones."""
-    return ratio(matches(text, r"[\x{fffd}\x{e000}-\x{f8ff}]"), visible(text))
+    return ratio(count_of(text, r"\x{fffd}\x{e000}-\x{f8ff}"), visible(text))
 
 
 def replacement_ratio(text: Column) -> Column:
-    return ratio(matches(text, r"\x{fffd}"), F.length(text))
+    return ratio(count_of(text, r"\x{fffd}"), F.length(text))
 
 
 def sentence_end_ratio(text: Column, script: str = "zh") -> Column:
     """Sentence ends for each character of a script; 0 if there are none of it."""
-    return ratio(matches(text, f"[{SENTENCE_ENDS}]"), matches(text, f"[{script_class(script)}]"))
+    return ratio(count_of(text, SENTENCE_ENDS), count_of(text, script_class(script)))
 
 
 def compact(text: Column) -> Column:
@@ -132,35 +140,52 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\n{INLINE_SPACE}]+", "")
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """Character n-grams of the compact text; null if it is shorter than n + 1.
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal values as equal whole numbers from 0, and how many there are."""
+    kinds, at = np.unique(values, return_inverse=True)
+    return at.astype(np.int64), len(kinds)
 
-    Characters are taken apart once, so a long text costs no more than in proportion.
-    """
-    grams = bound(F.split(text, ""), lambda chars: F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])))
-    return F.when(F.length(text) > n, grams)
 
+def _gram_codes(chars: np.ndarray, longest: int):
+    """(n, code of each n-gram, kinds) for n from 1 to ``longest``: an n-gram is the one before it and a character more."""
+    first, kinds = _ranks(chars)
+    letters, at = kinds, first
+    for n in range(1, longest + 1):
+        if n > 1:
+            at, kinds = _ranks(at[:-1] * letters + first[n - 1 :])
+        yield n, at, kinds
 
-def top_share(grams: Column, length: Column, n: int) -> Column:
-    """Characters covered by the most frequent n-gram, overlaps counted twice, for each character."""
-    zero = F.struct(F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    def step(a, g):
-        run = F.when(a["g"] == g, a["run"] + 1).otherwise(1)
-        return F.struct(g.alias("g"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+def ngram_shares(text: Column, top: tuple[int, ...] = (2,), repeated: tuple[int, ...] = (3, 4)) -> Column:
+    """A struct of the shares of character n-grams, each text taken apart once in numpy.
+
+    ``top_n``: characters that the most frequent n-gram covers, overlaps counted twice, for each character. ``repeated_n``: n-grams equal
+    to an earlier one, for each n-gram. Both are 0 for texts of n characters or fewer, and for null.
+    """
+    names = [f"top_{n}" for n in top] + [f"repeated_{n}" for n in repeated]
 
-    best = F.aggregate(F.sort_array(grams), zero, step, lambda a: a["best"])
-    return F.when(grams.isNull(), F.lit(0.0)).otherwise(best * n / length)
+    def one(t: str | None) -> tuple[float, ...]:
+        share = dict.fromkeys(names, 0.0)
+        chars = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if len(chars):
+            for n, at, kinds in _gram_codes(chars, min(len(chars) - 1, max((*top, *repeated)))):
+                if n in top:
+                    share[f"top_{n}"] = int(np.bincount(at, minlength=1).max()) * n / len(chars)
+                if n in repeated:
+                    share[f"repeated_{n}"] = (len(at) - kinds) / len(at)
+        return tuple(share.values())
 
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def shares(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in s], columns=names)
 
-def repeated_share(grams: Column) -> Column:
-    """Share of n-grams equal to an earlier one; 0 for null."""
-    return F.when(grams.isNull(), F.lit(0.0)).otherwise((F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams))
+    return shares(text)
 
 
 def token_proxy(text: Column) -> Column:
     """Rough number of tokens: words, or a quarter of the characters, at least 1."""
-    return F.greatest(F.size(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))), F.floor(F.length(text) / 4), F.lit(1)).cast("long")
+    runs = F.length(F.regexp_replace(F.regexp_replace(text, f"[^{SPACE}]+", "x"), f"[{SPACE}]+", ""))
+    return F.greatest(runs, F.floor(F.length(text) / 4), F.lit(1)).cast("long")
 
 
 def graphemes(text: str) -> list[str]:

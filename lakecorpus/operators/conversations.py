@@ -81,8 +81,8 @@ def numeric_reward(response: Column, reference: Column, tolerance: float = 1e-6)
 
 def purity_reward(text: Column, floor: float = 0.0) -> Column:
     """Share of Cyrillic and traditional Mongolian letters among letters; 0 below the floor."""
-    hits = M.matches(text, rf"(?=\p{{L}})[{M.SCRIPTS['cyrillic']}{M.SCRIPTS['mongolian']}]")
-    share = M.ratio(hits, M.matches(text, r"\p{L}"))
+    hits = M.count_of(text, rf"[{M.SCRIPTS['cyrillic']}{M.SCRIPTS['mongolian']}]&&\p{{L}}")
+    share = M.ratio(hits, M.count_of(text, r"\p{L}"))
     return F.when(share < floor, 0.0).otherwise(share)
 
 

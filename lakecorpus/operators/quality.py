@@ -36,6 +36,8 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
 
 @dataclass(frozen=True)
 class QualityConfig:
+    """Limits of the general gate (fixed values)."""
+
     min_chars: int = 40
     script: str = ""
     min_script_ratio: float = 0.5
@@ -56,14 +58,13 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
 def quality_reason(text: Column, config: QualityConfig = QualityConfig()) -> Column:
     """The general gate. Null is empty; rules follow in a fixed order."""
     t = F.coalesce(text, F.lit(""))
-    words = M.mean_word_length(t)
     rules = [("too_short", F.length(N.strip(t)) < config.min_chars)]
     if config.script:
         rules.append(("script_impurity", M.script_ratio(t, config.script) < config.min_script_ratio))
     rules += [
         ("repeated_lines", M.repeated_line_fraction(t) > config.max_repeated_lines),
         ("symbol_spam", M.symbol_to_word_ratio(t) > config.max_symbols),
-        ("word_len", (words < config.min_word_length) | (words > config.max_word_length)),
+        ("word_len", M.bound(M.mean_word_length(t), lambda n: (n < config.min_word_length) | (n > config.max_word_length))),
         ("boilerplate", contains_any(t, config.furniture)),
     ]
     return first_reason(*rules)
@@ -71,6 +72,8 @@ def quality_reason(text: Column, config: QualityConfig = QualityConfig()) -> Col
 
 @dataclass(frozen=True)
 class WebConfig:
+    """Limits of the web gate (fixed values)."""
+
     min_chars: int = 200
     script: str = "zh"
     min_script_ratio: float = 0.55
@@ -107,12 +110,8 @@ def web_gate(docs: DataFrame, config: WebConfig = WebConfig(), normalize=N.norma
         stripped = strip_furniture_lines(F.col("_t"))
         d = d.withColumn("_s", stripped).withColumn("_t", F.when(F.col("_s") != "", F.col("_s")).otherwise(F.col("_t"))).drop("_s")
     t = F.col("_t")
-    d = d.withColumn("_c", M.compact(t))
-    c = F.col("_c")
-    for n in (2, 3, 4):
-        d = d.withColumn(f"_g{n}", M.char_ngrams(c, n))
     spam = is_spam(t) if config.drop_spam else F.lit(False)
-    reason = first_reason(
+    first = first_reason(
         ("empty", t == ""),
         ("too_short", F.length(t) < config.min_chars),
         ("spam", spam),
@@ -121,11 +120,15 @@ def web_gate(docs: DataFrame, config: WebConfig = WebConfig(), normalize=N.norma
         ("digit_heavy", M.digit_ratio(t) > config.max_digits),
         ("no_sentences", M.sentence_end_ratio(t, config.script) < config.min_sentence_ends),
         ("repeated_lines", M.repeated_line_fraction(t) > config.max_repeated_lines),
-        ("ngram_spam", M.top_share(F.col("_g2"), F.length(c), 2) > config.max_top_2gram),
-        ("repetitive", (M.repeated_share(F.col("_g3")) > config.max_dup_3grams) | (M.repeated_share(F.col("_g4")) > config.max_dup_4grams)),
     )
-    d = d.withColumn("reason", reason).withColumn("clean_text", F.when(F.col("reason") == "", t))
-    return d.drop("_t", "_c", "_g2", "_g3", "_g4")
+    # n-grams are taken only of texts that pass all rules before
+    d = d.withColumn("_r", first).withColumn("_g", M.ngram_shares(F.when(F.col("_r") == "", M.compact(t))))
+    last = first_reason(
+        ("ngram_spam", F.col("_g.top_2") > config.max_top_2gram),
+        ("repetitive", (F.col("_g.repeated_3") > config.max_dup_3grams) | (F.col("_g.repeated_4") > config.max_dup_4grams)),
+    )
+    d = d.withColumn("reason", F.when(F.col("_r") != "", F.col("_r")).otherwise(last)).withColumn("clean_text", F.when(F.col("reason") == "", t))
+    return d.drop("_t", "_r", "_g")
 
 
 @dataclass(frozen=True)
@@ -150,8 +153,8 @@ def running_text_reason(text: Column, config: RunningTextConfig = RunningTextCon
         ("control", t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")),
         ("empty", seen == 0),
         ("script_impurity", M.script_ratio(t, config.script) < config.min_script_ratio),
-        ("latin_noise", M.ratio(M.matches(t, "[A-Za-z]"), seen) > config.max_latin),
-        ("cyrillic_noise", M.ratio(M.matches(t, r"[\x{0400}-\x{04ff}]"), seen) > config.max_cyrillic),
+        ("latin_noise", M.ratio(M.count_of(t, "A-Za-z"), seen) > config.max_latin),
+        ("cyrillic_noise", M.ratio(M.count_of(t, r"\x{0400}-\x{04ff}"), seen) > config.max_cyrillic),
         ("symbol_spam", M.symbol_to_word_ratio(t) > config.max_symbols),
         ("repeated_lines", M.repeated_line_fraction(t) > config.max_repeated_lines),
     )
@@ -209,7 +212,5 @@ def reason_counts(judged: DataFrame, *keys: str) -> DataFrame:
 
 def reason_counts_by_each(judged: DataFrame, *keys: str) -> DataFrame:
     """Documents by reason for each key by itself, in one pass (grouping sets); other keys are null."""
-    sets = ", ".join(f"({k}, reason)" for k in keys)
-    names = ", ".join(keys)
-    judged.createOrReplaceTempView("_judged")
-    return judged.sparkSession.sql(f"SELECT {names}, reason, count(*) AS n_docs FROM _judged GROUP BY GROUPING SETS ({sets})")
+    columns = [F.col(k) for k in (*keys, "reason")]
+    return judged.groupingSets([[F.col(k), F.col("reason")] for k in keys], *columns).agg(F.count(F.lit(1)).alias("n_docs"))

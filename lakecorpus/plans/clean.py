@@ -15,14 +15,19 @@ def clean_corpus(docs: DataFrame, config: QualityConfig = QualityConfig(), near:
 
     Rejected documents don't count as first ones. Positions are unique. With ``near``, near duplicates are ``duplicate`` as well.
     """
-    judged = docs.withColumn("reason", quality_reason(F.col("text"), config))
-    passed = judged.where(F.col("reason") == "")
+    reason = quality_reason(F.col("text"), config)
     if near:
-        kept = dedup.near_dedup(passed.drop("reason"), threshold, position=position).select(position)
+        judged = dedup.checkpointed(docs.select(position, reason.alias("reason")))
+        passed = docs.join(judged.where(F.col("reason") == "").select(position), position, "left_semi")
+        kept = dedup.near_dedup(passed, threshold, position=position).select(position)
     else:
-        kept = passed.select(position, H.exact_key(F.col("text")).alias("k")).groupBy("k").agg(F.min(position).alias(position)).select(position)
-    marked = judged.join(kept.withColumn("_kept", F.lit(True)), position, "left")
-    return marked.withColumn("reason", F.when((F.col("reason") == "") & F.col("_kept").isNull(), "duplicate").otherwise(F.col("reason"))).drop("_kept")
+        # judged once: positions, reasons and keys are written, the texts are not
+        judged = docs.select(position, "text", reason.alias("reason")).select(position, "reason", F.when(F.col("reason") == "", H.exact_key(F.col("text"))).alias("_k"))
+        judged = dedup.checkpointed(judged)
+        kept = judged.where(F.col("_k").isNotNull()).groupBy("_k").agg(F.min(position).alias(position)).select(position)
+    marked = judged.select(position, "reason").join(kept.withColumn("_kept", F.lit(True)), position, "left")
+    fate = marked.select(position, F.when((F.col("reason") == "") & F.col("_kept").isNull(), "duplicate").otherwise(F.col("reason")).alias("reason"))
+    return docs.join(fate, position)
 
 
 def kept(cleaned: DataFrame) -> DataFrame:

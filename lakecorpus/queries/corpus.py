@@ -88,9 +88,8 @@ b AS (SELECT doc_id, c, unnest(range(1, length(c))) AS i FROM t), o AS (SELECT d
 SELECT t.doc_id, CASE WHEN length(c) > 3 THEN (total - kinds) / total ELSE 0.0 END AS dup_3grams, CASE WHEN length(c) > 2 THEN k * 2 / length(c) ELSE 0.0 END AS top_2gram
 FROM t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN m ON t.doc_id = m.doc_id""")
 def char_ngrams(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", M.compact(F.col("text")).alias("c"))
-    d = d.select("doc_id", "c", M.char_ngrams(F.col("c"), 3).alias("g3"), M.char_ngrams(F.col("c"), 2).alias("g2"))
-    return d.select("doc_id", M.repeated_share(F.col("g3")).alias("dup_3grams"), M.top_share(F.col("g2"), F.length("c"), 2).alias("top_2gram"))
+    d = docs(spark, sf_dir).select("doc_id", M.ngram_shares(M.compact(F.col("text"))).alias("g"))
+    return d.select("doc_id", F.col("g.repeated_3").alias("dup_3grams"), F.col("g.top_2").alias("top_2gram"))
 
 
 #: The web gate on tables in Latin script: other script, no sentence rule, no compatibility form.

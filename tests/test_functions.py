@@ -38,8 +38,8 @@ def test_ratios(spark):
     assert one(spark, M.digit_ratio, "中12") == 2 / 3
     assert one(spark, M.repeated_line_fraction, "a\na\nb") == 1 / 3
     assert one(spark, lambda c: M.repeated_line_fraction(c, 4), "a\na\nb") == 0
-    assert one(spark, lambda c: M.repeated_share(M.char_ngrams(c, 2)), "abab") == 1 / 3
-    assert one(spark, lambda c: M.top_share(M.char_ngrams(c, 2), F.length(c), 2), "aaaaaa") > 0.8
+    assert one(spark, lambda c: M.ngram_shares(c, (2,), (2,))["repeated_2"], "abab") == 1 / 3
+    assert one(spark, lambda c: M.ngram_shares(c, (2,), (2,))["top_2"], "aaaaaa") > 0.8
     assert one(spark, M.token_count, "中文 abc") == 3
     assert one(spark, M.mean_word_length, "one two three") is None
     assert one(spark, lambda c: M.script_letter_ratio(c, "cyrillic"), "аб12x") == 2 / 3
