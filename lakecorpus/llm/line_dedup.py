@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, cut, drop_cut
+from .common import cut, drop_cut, row
 
 _BITS = 16
 #: Words are counted in so many buckets; a fixed size, so the table of ranks fits any driver.
 BUCKETS = 1 << _BITS
 _LAST = (1 << 63) - 1
-_SEPARATOR = "[\\x20\\x09-\\x0D]+"
+#: White space within a line other than a space (fixed values).
+_OTHER_SPACES = "\t\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,17 @@ class LineConfig:
     tried: int = 3
 
 
-def _line_words(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(SPACES)), _SEPARATOR)
+def _plain(text: Column) -> Column:
+    """The text in lower case with a space for each character of white space within a line, so that lines split at one character."""
+    odd = F.lit(False)
+    for c in _OTHER_SPACES:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.lower(F.when(odd, F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))).otherwise(text))
 
 
 def rarity_ranks(docs: DataFrame) -> Column:
     """An array with the rank of each bucket of words, the rarest first, from all words of ``docs``."""
-    word = docs.select(F.explode(_line_words(F.coalesce("text", F.lit("")))).alias("w"))
+    word = _lines(docs).select(F.explode(F.split("_text", " ")).alias("w")).where(F.col("w") != "")
     counted = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count()
     count = dict.fromkeys(range(BUCKETS), 0) | {r["b"]: r["count"] for r in counted.collect()}
     rank = {b: k for k, b in enumerate(sorted(count, key=lambda b: (count[b], b)))}
@@ -54,15 +59,15 @@ def rarity_ranks(docs: DataFrame) -> Column:
 
 def _codes(line: Column, ranks: Column) -> Column:
     """The set of a line's words as sorted codes. The code is a bijection of the word's 64-bit hash."""
-    hashes = F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     coded = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), 64 - _BITS).bitwiseOR(F.shiftrightunsigned(h, _BITS)))
     return F.sort_array(coded)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line. (_doc, _th, _line) is its place; (_th, _line) tells its text."""
+    """A row for each line. (_doc, _th, _line) is its place; (_th, _line) tells its text, of which ``_text`` is the plain form."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_th"), "text")
-    return d.select("_doc", "_th", F.posexplode(F.split("text", "\n", -1)).alias("_line", "_text"))
+    return d.select("_doc", "_th", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("_line", "_text"))
 
 
 def _needed(n: Column, t: float) -> Column:
@@ -109,13 +114,13 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     """(_doc, _th, removed): for each document with any, the indices of lines that an earlier line resembles."""
     t = config.similarity
     ranks = rarity_ranks(docs)
-    codes = _lines(docs).where(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("c", _codes(F.col("_text"), ranks))
+    codes = _lines(docs).where(F.col("_text").rlike("[^ ]")).withColumn("c", _codes(F.col("_text"), ranks))
     n = F.size("c")
 
     def parity(half: int) -> Column:
         """64 of 128 bits: the parity of the number of codes that fall on each."""
-        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
-        return F.aggregate("c", F.lit(0).cast("bigint"), lambda x, c: F.when(c.bitwiseAND(64) == 64 * half, x.bitwiseXOR(bit(c))).otherwise(x))
+        bits = F.array(*[F.lit((1 << (b & 63)) - (1 << 64) * (b & 63 == 63) if b >> 6 == half else 0).cast("bigint") for b in range(128)])
+        return F.aggregate("c", F.lit(0).cast("bigint"), lambda x, c: x.bitwiseXOR(F.get(bits, c.bitwiseAND(127).cast("int"))))
 
     lines = cut(codes.select("_doc", "_th", "_line", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), n.alias("n"), parity(0).alias("low"), parity(1).alias("high"), F.slice("c", 1, n - _needed(n, t) + 1).alias("prefix")), "lines")
     # one row for each set; ids follow the order of the first line that has it
@@ -167,14 +172,15 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
     A line goes if any earlier line (smaller doc_id, or the same text and smaller index; null ids come last) has a
     Jaccard similarity of at least ``similarity``, judged on the input. Lines without a word stay. A null text stays null with 0 lines.
     Rows with equal doc_id and text are one document in several rows and are treated alike; rows
-    with one doc_id and different texts are ordered by a hash of the text. Other columns pass through. An empty table gives an empty result.
+    with one doc_id and different texts are ordered by a hash of the text. Other columns pass through, whatever their names, but for
+    ``n_lines`` and ``n_removed``, which are replaced. An empty table gives an empty result.
     """
     gone = repeated_lines(docs, config)
-    mine = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "_th": F.xxhash64("text")})
-    joined = mine.join(gone, ["_doc", "_th"], "left")
-    split = joined.withColumn("_split", F.split("text", "\n", -1))
+    mine = docs.select(row(docs), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_th"))
+    split = mine.join(gone, ["_doc", "_th"], "left").withColumn("_split", F.split("_row.text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("removed"))
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_split"), i)), "\n"))
-    columns = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("_split")), F.lit(0)).cast("long")
-    return split.select(*columns, lines.alias("n_lines"), F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_split"), i)), "\n"))
+    n_lines = F.coalesce(F.when(F.col("_split").isNotNull(), F.size("_split")), F.lit(0)).cast("long").alias("n_lines")
+    n_removed = F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_removed")
+    columns = [kept.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return split.select(*columns, n_lines, n_removed)

@@ -53,6 +53,19 @@ def test_case_is_folded(docs_of):
     assert got == brute([(d, text.lower()) for d, text in rows])
 
 
+def test_spaces_of_all_kinds(docs_of):
+    rows = [(1, "one two  three\tfour\x0bfive\n \t\n"), (2, " one\x0ctwo three four\r\nfive"), (3, "  five four three two one\r\n\x0b"), (4, "one\xa0two three four five")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: (rows[0][1], 3, 0), 2: ("five", 2, 1), 3: ("\x0b", 2, 1), 4: (rows[3][1], 1, 0)}
+
+
+def test_columns_pass_whatever_their_names(docs_of, clashing):
+    docs = clashing(docs_of(["a b c\nd e f", "d e f\ng h i"]))
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"] and clashing.unharmed(got)
+    assert {r.doc_id: r.text for r in got.collect()} == {0: "a b c\nd e f", 1: "g h i"}
+
+
 def test_odd_rows(odd_docs):
     got = dedup_lines(odd_docs)
     assert set(odd_docs.columns) < set(got.columns)
