@@ -23,18 +23,23 @@ BOILERPLATE, CONTENT, MIXED = range(3)
 #: Marks labelled content in training pages: a private-use character in front of each run.
 MARK = "\ue000"
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+#: What comes next inside a tag: a quoted value, the end, or another tag where the end is missing.
+_IN_TAG = re.compile(r"=\s*[\"']|>|<(?=[a-zA-Z/!?])")
+_AFTER_VALUE = frozenset(" \t\n\r\f/>")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Kinds of HTML elements (fixed values).
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title select textarea button audio video map".split())
+_SKIPPED = frozenset("script style noscript template iframe object svg canvas head title select textarea button audio video".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset("br hr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th", "tbody", "thead"), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
-_SCOPES = frozenset("ul ol dl table body html div section article".split())
+_SCOPES = tuple("ul ol dl table body html div section article".split())
+_LISTS = ("ul", "ol", "dl", "table")
+#: What ends a head that is never closed.
+_ENDS_HEAD = _BLOCKS - {"html"}
 
 
 @dataclass
@@ -48,10 +53,73 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+class _Finder:
+    """Next places of single strings at or after a place that only moves forward, each part of the page searched once."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def __call__(self, what: str, at: int) -> int:
+        """The length of the page if there is none."""
+        k = self.next.get(what, -1)
+        if k < at:
+            k = self.page.find(what, at)
+            self.next[what] = k = len(self.page) if k < 0 else k
+        return k
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, in time in proportion to the page; comments and declarations have no name.
+
+    A tag is never text: where its end is missing it goes to the next tag or the end of the page, and a quote that
+    doesn't close at a plausible place doesn't hide the end of the tag. Who sends a place to the generator goes on there.
+    """
+    find, at, n = _Finder(page), 0, len(page)
+    while (at := find("<", at)) < n:
+        start = at
+        m = _NAME.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = min(n, find("-->", at + 4) + 3)
+            elif page.startswith(("<!", "<?", "</"), at):
+                end = min(n, find(">", at) + 1)
+            else:
+                at += 1
+                continue
+            to = yield start, end, "", False, ""
+            at = to or end
+            continue
+        i = end = m.end()
+        while True:
+            stop = _IN_TAG.search(page, i)
+            if stop is None:
+                end = i = n
+                break
+            if stop[0] == ">":
+                end, i = stop.end(), stop.start()
+                break
+            if stop[0] == "<":
+                end = i = stop.start()
+                break
+            close = find(stop[0][-1], stop.end())
+            if close < n and page[close - 1] != "=" and (close + 1 == n or page[close + 1] in _AFTER_VALUE):
+                i = close + 1
+            else:
+                i = min(find(">", stop.end()), find("<", stop.end()))
+                end = min(n, i + 1) if page.startswith(">", i) else i
+                break
+        to = yield start, end, m[2].lower(), bool(m[1]), page[m.end() : i]
+        at = to or end
+
+
+_RAW_END = {t: re.compile(f"</{t}\\b[^>]*>?", re.I) for t in _RAW}
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes of a page, parents before children, in page order. Never fails, however broken the page."""
+    """Nodes of a page, parents before children, in page order. Never fails, however broken the page, and takes time in proportion to it."""
     nodes = [Node("#root", -1)]
     stack = [0]
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     run: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -63,43 +131,59 @@ def parse(page: str) -> list[Node]:
         run.clear()
         state["linked"] = 0
 
-    def close(tags: tuple[str, ...], scope: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
-
-    at, skip = 0, None
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and skip is None:
-            text = page[at : m.start()]
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def close(names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
+        """Closes the last open one of the names, if it isn't outside the last of the scope."""
+        k = last(names)
+        if k and k > last(scope):
+            for x in stack[k:]:
+                places[nodes[x].tag].pop()
+            del stack[k:]
+
+    def enter(tag: str, attributes: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        nodes[stack[-1]].children.append(len(nodes))
+        nodes.append(Node(tag, stack[-1], attributes))
+        stack.append(len(nodes) - 1)
+
+    at, skip, goto = 0, None, None
+    found = tags(page)
+    while True:
+        try:
+            start, end, tag, closing, attributes = found.send(goto)
+        except StopIteration:
+            break
+        goto = None
+        if start > at and skip is None:
+            text = page[at:start]
             run.append(text)
             if state["links"]:
                 state["linked"] += len(text.strip())
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if skip is not None:
             if closing and tag == skip[0]:
                 skip = (skip[0], skip[1] - 1) if skip[1] > 1 else None
-            elif not closing and tag == skip[0] and tag not in _RAW:
+                continue
+            if not closing and tag == skip[0]:
                 skip = (skip[0], skip[1] + 1)
-            elif skip[0] == "head" and tag == "body":
-                skip = None
-            if skip is not None or tag != "body":
                 continue
+            # what is never closed ends with the block around it, a head with the first block of a body
+            if not (closing and tag in _BLOCKS and places.get(tag)) and not (skip[0] == "head" and not closing and tag in _ENDS_HEAD):
+                if tag in _RAW and not closing:
+                    stop = _RAW_END[tag].search(page, at)
+                    at = goto = stop.end() if stop else len(page)
+                continue
+            skip = None
         if not closing and tag in _SKIPPED:
-            if m[3].endswith("/") and tag not in ("script", "style"):
+            if attributes.endswith("/") and tag not in ("script", "style"):
                 continue
             if tag in _RAW:
-                end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = _RAW_END[tag].search(page, at)
+                at = goto = stop.end() if stop else len(page)
             else:
                 skip = (tag, 1)
             continue
@@ -111,22 +195,15 @@ def parse(page: str) -> list[Node]:
             end_run()
             state["links"] = 0
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+                close((tag,))
             elif tag in ("html", "body"):
-                if all(nodes[k].tag != tag for k in stack):
-                    nodes[stack[-1]].children.append(len(nodes))
-                    nodes.append(Node(tag, stack[-1], m[3]))
-                    stack.append(len(nodes) - 1)
+                if not places.get(tag):
+                    enter(tag, attributes)
             else:
-                close(("p",), _SCOPES | {"li", "td", "th", "blockquote"})
+                close(("p",), (*_SCOPES, "li", "td", "th", "blockquote"))
                 if tag in _CLOSES:
-                    close(_CLOSES[tag], frozenset(("ul", "ol", "dl", "table")))
-                nodes[stack[-1]].children.append(len(nodes))
-                nodes.append(Node(tag, stack[-1], m[3]))
-                stack.append(len(nodes) - 1)
+                    close(_CLOSES[tag], _LISTS)
+                enter(tag, attributes)
     if skip is None and at < len(page):
         run.append(page[at:])
     end_run()

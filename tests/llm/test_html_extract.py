@@ -52,6 +52,48 @@ def test_articles_of_the_tables(spark):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+def test_broken_tags_are_never_text():
+    prose = "Hello world, this is a text of some length in its paragraph. It goes on for a while."
+    pages = [
+        f'<article><p class="x>{prose}</p></article>',
+        f"<article><p class='x>{prose} <a href='y'>more</a></p></article>",
+        f'<article><p class="x" id=>{prose}</p></article>',
+        f'<article><p title="a > b">{prose}</p></article>',
+        f'<article><p title="<b>a</b>" class=y>{prose}</p></article>',
+        f"<article><p class=x <b>{prose}</b></p></article>",
+        f"<article><p>{prose}</p><p class=",
+        f'<article><p>{prose}</p><a href="x',
+        f"<article><p>{prose}<!-- never closed <p>",
+        f"<article><p>{prose}</p><!doctype x",
+    ]
+    for page in pages:
+        got = MODEL.extract(page)
+        assert got.startswith(prose) and not re.search("[<>=]", got), (page, got)
+    assert MODEL.extract(f"<article><p>{prose} If 1 < 2 and a<1.</p></article>").endswith("If 1 < 2 and a<1.")
+
+
+def test_what_is_never_closed_ends_with_its_block():
+    a, b = "Some words stand here, before it comes. They are prose.", "And some words follow after it, they are prose as well."
+    for broken in ("<button>", "<svg><path d='x'>", "<select><option>x", "<object data=x>"):
+        assert MODEL.extract(f"<article><div><p>{a}{broken}</p></div><p>{b}</p></article>") == f"{a} {b}"
+    assert MODEL.extract(f"<html><head><meta x><article><p>{a}</p><p>{b}</p></article>") == f"{a} {b}"
+    assert MODEL.extract(f"<article><p>{a} <math><mi>x</mi></math> {b}</p></article>") == f"{a} x {b}"
+
+
+def test_time_in_proportion_to_the_page():
+    import time
+
+    for part in ('<a "', "<a x='", '<a x="', "<", "</", "<!--", "<p class=\"x>", "<nav>", "</p>", "<li>", "<script", "<svg>", "<b x='y\" ", "&", "<h1><li>"):
+        page = part * (1_000_000 // len(part))
+        t = time.process_time()
+        he.parse(page)
+        he.parse("<nav>" * 50_000 + page[:500_000])
+        assert time.process_time() - t < 6, part
+    t = time.process_time()
+    he.parse('<a "' * 250_000)
+    assert time.process_time() - t < 1
+
+
 def test_odd_pages(spark):
     page = "<article><h1>A &amp; B&nbsp;C</h1><p>One  two\n three<b>four</b>.<p>Five six seven eight.<br>Nine.</article>"
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<<<>>> < a"), (4, None, page), (4, None, page), (5, "u", "<div>" * 3000 + "x"), (6, "u", "<script>var a='<p>no</p>'"), (7, "u", "<style>x")]
@@ -61,3 +103,9 @@ def test_odd_pages(spark):
     assert got.count((4, "A & B C One two threefour. Five six seven eight. Nine.")) == 2
     assert {t for k, t in got if k in (1, 2, 6, 7)} == {""}
     assert he.extract_text(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_are_left_out(spark, clashing):
+    df = clashing(spark.createDataFrame([(1, "u", "<article><p>Some words here, in a text.</p></article>")], "page_id long, url string, html_ string").withColumnRenamed("html_", "x")).drop("html").withColumnRenamed("x", "html")
+    got = he.extract_text(df)
+    assert got.columns == ["page_id", "url", "text"] and got.first().text == "Some words here, in a text."
