@@ -24,11 +24,13 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder stands in for it.
+    Only where the session has none and runs on one machine (tests) a temporary folder stands in for it; a cluster must name one.
     """
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = _own_dir = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
     return at.rstrip("/")
 
@@ -73,6 +75,12 @@ def drop_cut(df: DataFrame) -> None:
             _delete(df.sparkSession, at)
 
 
+def listed(path: str) -> str:
+    """A folder in the shared one that goes with ``drop_cuts``, too."""
+    _cuts.append(path)
+    return path
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Deletes all listed tables: for use between jobs, when the results that were read from them are written."""
     while _cuts:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -297,6 +297,19 @@ def _cut_out(batches: Iterator[pa.RecordBatch], c: SuffixConfig) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, type=pa.int64()), pa.array(spans, type=span), pa.array(kept, type=pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, th, text): th tells texts apart by 128 bits, though it has 64: of texts that share a first hash, all but one take a hash of both their hashes."""
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), _text_hash(F.col("text")).alias("_one"), F.xxhash64(F.lit(1), "text").alias("_two"), "text")
+    shared = rows.groupBy("_one").agg(F.min("_two").alias("_least"), F.max("_two").alias("_most")).where("_least != _most").select("_one", "_least")
+    both = rows.join(cut(shared, "shared-hashes"), "_one", "left")
+    th = F.when(F.col("_two") != F.col("_least"), F.xxhash64("_one", "_two")).otherwise(F.col("_one"))
+    return both.select("doc_id", "doc", th.alias("th"), "text")
+
+
 def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each document's bytes without those covered by a string that starts earlier.
 
@@ -307,7 +320,8 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
     """
     spark, c = docs.sparkSession, config
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    rows = _identified(docs)
+    texts = rows.select("doc", "th", "text")
     long = texts.where(F.octet_length("text") >= c.length)
     places = long.select("th", "text").mapInArrow(lambda b: _locate(b, c), "h long, th long, q long")
     dealt = places.repartition(parts, "h").sortWithinPartitions("h", "th", "q")
@@ -329,7 +343,7 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
     runs = met.where(F.col("s").isNull()).select("th", "a", "b").union(again)
     runs = runs.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     firsts = texts.groupBy("th").agg(F.min(first).alias("first"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc")).alias("at"))
+    rows = rows.select("doc_id", "th", "text", first.alias("at"))
     judged = rows.join(firsts.join(runs, "th", "left"), "th").select("doc_id", "text", (F.col("at") != F.col("first")).alias("copy"), "runs")
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))).add("kept", "binary")
     return judged.mapInArrow(lambda b: _cut_out(b, c), schema)

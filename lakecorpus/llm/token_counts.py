@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_path
+from .common import cut, listed, shared_path
 
 #: Splits text before the merges, as the rank files of byte-level vocabularies have it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,9 +54,9 @@ def write_token_files(docs: DataFrame, config: TokenFileConfig) -> DataFrame:
     """Writes each task's documents to one flat file in the shared folder; (path, ordinal, doc_id) of each.
 
     A retried task writes another file; only the files in the returned table, which is written by the tasks that succeeded, belong to it.
-    Null texts are documents without tokens.
+    Null texts are documents without tokens. The folder goes with ``drop_cuts``.
     """
-    at = shared_path(docs.sparkSession, "tokens")
+    at = listed(shared_path(docs.sparkSession, "tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(config.ranks)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from lakecorpus.llm import suffix_dedup
 from lakecorpus.llm.suffix_dedup import SuffixConfig, remove_repeats
 
 
@@ -68,3 +69,14 @@ def test_odd_rows(odd_docs):
     assert four[0] == four[1] == [(15, 135)]
     assert [[tuple(s) for s in r.spans] for r in rows if r.doc_id == 5] == [[(0, 135)]]
     assert remove_repeats(odd_docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_hash(docs_of, monkeypatch):
+    """The result is the same where many texts have one first hash."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(12)]
+    rows = [*enumerate([*texts, texts[3], texts[5], texts[0][:150] + texts[1][150:]])]
+    read = lambda: sorted((r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs_of(rows)).collect())
+    want = read()
+    monkeypatch.setattr(suffix_dedup, "_text_hash", lambda text: suffix_dedup.F.length(text).cast("long"))
+    assert read() == want and want[12][1] == b"" and len(want[14][1]) == 0

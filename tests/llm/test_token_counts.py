@@ -42,3 +42,17 @@ def test_odd_rows(odd_docs):
     assert len(rows) == odd_docs.count()
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
     assert tc.count_tokens(odd_docs.limit(0), tc.TokenFileConfig(RANKS)).count() == 0
+
+
+def test_files_go_with_the_cuts(docs_of, spark):
+    import os
+
+    from lakecorpus.llm.common import drop_cuts, shared_dir
+
+    at = shared_dir(spark).removeprefix("file://") + "/lakecorpus"
+    drop_cuts(spark)
+    before = set(os.listdir(at))
+    counted = tc.count_tokens(docs_of(["a few words", "more of them"]), tc.TokenFileConfig(RANKS))
+    assert counted.count() == 2 and any(f.startswith("tokens-") for f in set(os.listdir(at)) - before)
+    drop_cuts(spark)
+    assert set(os.listdir(at)) <= before
