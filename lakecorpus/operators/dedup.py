@@ -15,9 +15,11 @@ from lakecorpus.functions import hashing as H
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's checkpoint folder; where it has none (one machine), in a temporary one."""
+    """Cuts the lineage in the session's checkpoint folder; where it has none and runs on one machine, in a temporary one. A cluster must name one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakecorpus-"))
     return df.checkpoint()
 
