@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from lakecorpus.functions.hashing import uniform
 from lakecorpus.functions.metrics import token_proxy
 
+from .dedup import checkpointed
+
 
 def measure(docs: DataFrame, source: str = "source", position: str = "doc_id", sample: int = 2000, tokens: Column | None = None) -> DataFrame:
     """(source, n_docs, n_chars, sample_tokens, sample_chars, est_tokens): tokens are counted on each source's first ``sample`` documents.
@@ -71,11 +73,26 @@ def report(emitted: DataFrame, *keys: str) -> DataFrame:
 
 
 def capped_seed(docs: DataFrame, domain: Column, per_domain: int = 2000, key_chars: int = 120, position: str = "doc_id") -> DataFrame:
-    """The first ``per_domain`` documents of each domain, after dropping those whose first characters occur earlier. Null domains go."""
-    d = docs.withColumn("domain", domain).where(F.col("domain").isNotNull()).withColumn("_key", F.substring("text", 1, key_chars))
-    first = d.groupBy("_key").agg(F.min(position).alias(position))
-    d = d.join(first.select(position), position, "left_semi").drop("_key")
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(position))).where(F.col("rank") <= per_domain)
+    """The first ``per_domain`` documents of each domain in the order of their positions, with rank. Null domains go.
+
+    A document whose first characters one before it had is left out and doesn't count; but only documents that were taken stand for
+    their characters: one that came when its domain was full doesn't. Where each domain fills up is found in rounds; a round can
+    only bring places forward, and what is kept of it is one place for each domain.
+    """
+    d = docs.withColumn("domain", domain).where(F.col("domain").isNotNull())
+    keyed = checkpointed(d.select(position, "domain", F.xxhash64(F.substring("text", 1, key_chars)).alias("_k1"), F.sha1(F.substring("text", 1, key_chars).cast("binary")).alias("_k2")))
+    full: dict[str, int] = {}
+    while True:
+        open_ = F.lit(True)
+        for name, at in full.items():
+            open_ = open_ & ((F.col("domain") != name) | (F.col(position) <= F.lit(at)))
+        firsts = keyed.where(open_).groupBy("_k1", "_k2").agg(F.min_by(F.struct(position, "domain"), position).alias("f")).select("f.*")
+        ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(position))).where(F.col("rank") <= per_domain)
+        ranked = checkpointed(ranked)
+        now = {r["domain"]: r[position] for r in ranked.where(F.col("rank") == per_domain).collect()}  # one row a domain
+        if now == full:
+            return d.drop("domain").join(ranked, position)
+        full = now
 
 
 #: Keywords of domains, in the order in which they are tried (fixed values).

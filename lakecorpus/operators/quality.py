@@ -160,6 +160,23 @@ def running_text_reason(text: Column, config: RunningTextConfig = RunningTextCon
     )
 
 
+#: Strings and forms of lines that are no running text in the traditional script (fixed values).
+LINE_SNIPPETS = ("Copyright", "All Rights Reserved", "版权所有", "蒙ICP备", "京ICP备", "ICP备", "未经授权", "ᠠᠭᠤᠯᠭ᠎ᠠ ᠨᠢ ᠰᠦᠯᠵᠢᠶ᠎ᠡ ᠡᠴᠡ ᠢᠷᠡᠯᠲᠡ", "ᠡᠷᠬᠡ ᠳᠦ ᠬᠠᠯᠳᠠᠭᠰᠠᠨ", "ᠪᠢᠳᠡ ᠲᠡᠷᠡ ᠳᠠᠷᠤᠢ ᠬᠠᠰᠤᠨ᠎ᠠ")
+DECORATION = rf"^[{N.SPACE}★☆*#=_\-—–·•|<>《》［\]\[\]（）()【】{{}}:：;；,.，。、!?！？~～]+$"
+BARE_HEADING = rf"^(?:ᠭᠠᠷᠴᠠᠭ|ᠲᠣᠳᠣᠷᠬᠠᠶᠢᠯᠠᠯᠲᠠ)[{N.SPACE}]*(?:\(\)|（\）)?$"
+
+
+def is_running_line(line: Column, script: str = "mongolian", least: int = 4, short: int = 40) -> Column:
+    """Whether a normalized line is text: not empty, no furniture, decoration or bare heading, and long or with some letters of the script."""
+    lettered = M.count_of(line, M.script_class(script))
+    return (line != "") & ~contains_any(line, LINE_SNIPPETS) & ~line.rlike(DECORATION) & ~line.rlike(BARE_HEADING) & ~((lettered < least) & (F.length(line) < short))
+
+
+def running_lines(text: Column, script: str = "mongolian") -> Column:
+    """The lines of a text, normalized, that are running text; joined again."""
+    return N.join_lines(F.filter(F.transform(N.lines(text), N.normalize_running_line), lambda x: is_running_line(x, script)))
+
+
 @dataclass(frozen=True)
 class BucketConfig:
     language: str

@@ -84,17 +84,22 @@ def decode_with_fallback(ids: Iterable[int], tokens: dict[int, str]) -> str:
 def decode_stream(ids: Iterable[int], decode: Callable[[list[int]], str]) -> Iterator[str]:
     """What each id adds to the text for good: characters that a later id may still complete are held back, the rest comes at the end.
 
-    The pieces join to the decoding of all ids.
+    The pieces join to the decoding of all ids. Only ids that aren't told yet and the one before them are decoded again, which
+    suffices where a token's text depends at most on the one before it.
     """
-    seen: list[int] = []
-    done = 0
+    held: list[int] = []  # the last id that is told in full, and those after it
+    told = ""
     for i in ids:
-        seen.append(i)
-        stable = decode(seen).rstrip("�")
-        yield stable[done:]
-        done = max(done, len(stable))
-    if seen:
-        yield decode(seen)[done:]
+        held.append(i)
+        text = decode(held)
+        stable = text.rstrip("\ufffd")
+        yield stable[len(told) :]
+        if stable == text:
+            held, told = held[-1:], decode(held[-1:])
+        else:
+            told = max(told, stable, key=len)
+    if held:
+        yield decode(held)[len(told) :]
 
 
 def legacy_encoding(text: Column) -> Column:

@@ -168,20 +168,103 @@ def shard_ids(sizes: DataFrame, budget: int, joint: int = 0) -> DataFrame:
 
 
 def gate_metrics(rows: DataFrame, unk: int, max_unk: float = 0.01, min_supervised: float = 0.01) -> DataFrame:
-    """One row: samples, mean and longest length, share of unknown and of supervised tokens, failures, and whether the gate passes."""
+    """One row: samples, empty rows left out, mean and longest length, deepest morph_depth (where rows have it), shares of unknown and of supervised tokens, misaligned rows, and whether the gate passes."""
     n = F.size("ids")
-    d = rows.agg(
-        F.count(F.lit(1)).alias("num_samples"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("n_tokens"),
-        F.coalesce(F.max(n), F.lit(0)).alias("max_length"),
-        F.coalesce(F.sum(F.size(F.filter("ids", lambda x: x == unk))), F.lit(0)).alias("n_unk"),
-        F.coalesce(F.sum(F.size(F.filter("labels", lambda x: x != IGNORE))), F.lit(0)).alias("n_supervised"),
-        F.coalesce(F.sum((F.size("labels") != n).cast("int")), F.lit(0)).alias("n_misaligned"),
+    depth = F.array_max("morph_depth") if "morph_depth" in rows.columns else F.lit(0)
+    full = rows.withColumn("_empty", F.coalesce(n, F.lit(0)) <= 0)
+    of = lambda c: F.when(~F.col("_empty"), c)
+    total = lambda c: F.coalesce(F.sum(of(c)), F.lit(0))
+    d = full.agg(
+        F.count(of(F.lit(1))).alias("num_samples"),
+        F.count(F.when(F.col("_empty"), 1)).alias("skipped_empty"),
+        total(n).alias("n_tokens"),
+        F.coalesce(F.max(of(n)), F.lit(0)).alias("max_length"),
+        F.coalesce(F.max(of(depth)), F.lit(0)).alias("max_morph_depth"),
+        total(F.size(F.filter("ids", lambda x: x == unk))).alias("n_unk"),
+        total(F.size(F.filter("labels", lambda x: x != IGNORE))).alias("n_supervised"),
+        total((F.size("labels") != n).cast("int")).alias("n_misaligned"),
     )
     share = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
+    d = d.withColumn("avg_length", F.when(F.col("num_samples") > 0, F.col("n_tokens") / F.col("num_samples")).otherwise(0.0))
     d = d.withColumn("unk_rate", share("n_unk")).withColumn("supervised_rate", share("n_supervised"))
     return d.withColumn("passed", (F.col("num_samples") > 0) & (F.col("n_misaligned") == 0) & (F.col("unk_rate") <= max_unk) & (F.col("supervised_rate") >= min_supervised))
 
 
+def positions_from_offsets(tokens: DataFrame, row: str = "doc_id", position: str = "pos") -> DataFrame:
+    """word_pos and morph_depth of tokens (start, end) whose tracks aren't known: a word goes on where a token starts at the end of the one before."""
+    return word_positions(tokens.withColumn("track", F.lit("general")), row, position).drop("track")
+
+
+def positions_from_boundaries(tokens: DataFrame, word_id: int, morpheme_id: int, specials: tuple[int, int] = (0, 256), max_depth: int | None = None, row: str = "doc_id", position: str = "pos") -> DataFrame:
+    """Adds word_pos and morph_depth to tokens (id) by their boundary ids, as running counts over a row.
+
+    A word boundary opens a word; content before the first one belongs to word 0. A morpheme boundary goes one deeper. Other specials
+    end the depth and stand at the current word. Depths stay under ``max_depth`` where it is positive.
+    """
+    w = Window.partitionBy(row).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    token = F.col("id")
+    special = (token >= specials[0]) & (token < specials[1])
+    opens, deeper = special & (token == word_id), special & (token == morpheme_id)
+    d = tokens.withColumns({"_opens": opens.cast("int"), "_resets": special & ~deeper, "_deeper": deeper.cast("int"), "_content": ~special})
+    d = d.withColumns({"_words": F.sum("_opens").over(w), "_run": F.sum(F.col("_resets").cast("int")).over(w)})
+    # content in front of the first boundary is word 0 by itself
+    early = F.max(F.when(F.col("_content") & (F.col("_words") == 0), 1).otherwise(0)).over(w)
+    depth = F.sum("_deeper").over(Window.partitionBy(row, "_run").orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    # the first content of all, where no word is open, ends the depth as a boundary does
+    d = d.withColumns({"_early": early, "_depth": depth})
+    before = F.sum(F.when((F.col("_words") == 0) & (F.col("_early") == 0), F.col("_deeper")).otherwise(0)).over(Window.partitionBy(row, "_run").orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_depth", F.when((F.col("_words") == 0) & (F.col("_early") == 1), F.col("_depth") - before).otherwise(F.col("_depth")))
+    at = F.greatest(F.col("_words") - 1 + F.col("_early"), F.lit(0)).cast("int")
+    deep = F.when(F.col("_resets"), 0).otherwise(F.col("_depth")).cast("int")
+    if max_depth is not None and max_depth > 0:
+        deep = F.least(deep, F.lit(max_depth - 1))
+    return d.withColumns({"word_pos": at, "morph_depth": deep}).drop("_opens", "_resets", "_deeper", "_content", "_words", "_run", "_early", "_depth")
+
+
+def span_cutoff(n: Column, spans: Column, limit: int) -> Column:
+    """Where a row of n tokens is cut so that no span (start, end) is cut through: at the limit, or at the start of the span across it. Spans don't overlap."""
+    across = F.get(F.filter(spans, lambda s: (s["start"] < limit) & (s["end"] > limit)), 0)["start"]
+    return F.when(n <= limit, n).otherwise(F.coalesce(across, F.lit(limit))).cast("int")
+
+
+def truncate_spans(rows: DataFrame, limit: int, columns: tuple[str, ...] = ("ids", "labels"), media: tuple[str, ...] = ()) -> DataFrame:
+    """Cuts the columns of over-long rows (ids, spans, ...) in front of the span that the limit would cut through.
+
+    Spans beyond the cut go, and with them as many of each media column from its end. Adds ``truncated``.
+    """
+    if limit <= 0:
+        raise ValueError("the limit must be positive")
+    d = rows.withColumn("_cut", span_cutoff(F.size("ids"), F.col("spans"), limit)).withColumn("truncated", F.size("ids") > limit)
+    d = d.withColumn("spans", F.when(F.col("truncated"), F.filter("spans", lambda s: s["end"] <= F.col("_cut"))).otherwise(F.col("spans")))
+    d = d.withColumns({c: F.slice(c, F.lit(1), F.col("_cut")) for c in columns})
+    kept = F.size("spans")
+    return d.withColumns({m: F.when(F.col("truncated"), F.slice(m, F.lit(1), kept)).otherwise(F.col(m)) for m in media}).drop("_cut")
+
+
+def normalize_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (ids, and labels, mask, word_pos, morph_depth, has_media where they have them) as the trainer takes them.
+
+    Missing labels are the ids, a missing mask is all ones, missing positions are those of the tokens, missing depths 0. Rows of text are cut to the limit; an over-long row with media raises.
+    """
+    n = F.size("ids")
+    default = {"labels": F.col("ids"), "mask": F.array_repeat(F.lit(1), n), "word_pos": F.transform("ids", lambda x, k: k), "morph_depth": F.array_repeat(F.lit(0), n)}
+    d = rows.withColumns({c: F.coalesce(c, v) if c in rows.columns else v for c, v in default.items()})
+    if "has_media" in rows.columns:
+        fits = F.when(F.col("has_media") & (n > limit), F.raise_error(F.concat(F.lit("a row with media is too long: "), n.cast("string"))).cast("int")).otherwise(limit)
+    else:
+        fits = F.lit(limit)
+    return d.withColumn("_limit", fits).withColumns({c: F.slice(c, F.lit(1), F.col("_limit")) for c in ("ids", *default)}).drop("_limit")
+
+
+def collate(rows: DataFrame, batch: str, pad_id: int, position: str = "doc_id") -> DataFrame:
+    """(batch, ids, labels, mask): the rows of each batch in order, padded to its longest. A batch is small by its purpose."""
+    longest = rows.groupBy(batch).agg(F.max(F.size("ids")).alias("_longest"))
+    d = rows.join(longest, batch)
+    n = F.col("_longest")
+    padded = F.struct(F.col(position).alias("at"), pad(F.col("ids"), n, pad_id).alias("ids"), pad(F.col("labels"), n, IGNORE).alias("labels"), pad(F.array_repeat(F.lit(1), F.size("ids")), n, 0).alias("mask"))
+    d = d.groupBy(batch).agg(F.array_sort(F.collect_list(padded)).alias("r"))
+    return d.select(batch, *[F.col("r")[c].alias(c) for c in ("ids", "labels", "mask")])
+
+
 def pad(ids: Column, length: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0))))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakecorpus.functions.hashing import stable_id
 from lakecorpus.operators import mixture, quality, training_rows
 from lakecorpus.operators.chunking import split_documents
 from lakecorpus.operators.dedup import checkpointed, exact_dedup
@@ -16,15 +17,20 @@ from lakecorpus.sources import readers, sinks
 from .clean import clean_corpus, kept
 
 
+def _placed(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """(path, pos, text): readers of splittable formats give no places; there rows stand in the order in which Spark reads a file's splits."""
+    pos = F.col("pos") if "pos" in rows.columns else F.monotonically_increasing_id()
+    return rows.select("path", pos.alias("pos"), (F.col("text") if text is None else text).alias("text"))
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Gives documents without a position one that follows from path and text; equal ones get the same."""
-    key = stable_id(F.lit(""), F.col("path"), F.col("text"))
-    return rows.withColumn("doc_id", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).dropDuplicates(["doc_id"])
+    """Numbers rows (path, pos) in the order of the files and of their lines; equal documents are different rows."""
+    return readers.with_position(rows).withColumnRenamed("input_pos", "doc_id").drop("pos")
 
 
 def clean_files(spark: SparkSession, inputs: list[str], out: str, config: quality.QualityConfig = quality.QualityConfig(), near: bool = True, threshold: int = 3) -> DataFrame:
     """Reads text files of any known format under one shared deduplication, writes what is kept as JSON lines, and counts documents by reason."""
-    rows = [readers.read_text(spark, p).select("path", "text") for p in inputs]
+    rows = [_placed(readers.read_text(spark, p)) for p in inputs]
     docs = rows[0]
     for r in rows[1:]:
         docs = docs.unionByName(r)
@@ -52,6 +58,33 @@ def clean_running_text(docs: DataFrame, out: str, max_chars: int = 4000, overlap
     return quality.reason_counts(judged)
 
 
+def signature(spark: SparkSession, sources: list[MixSource], *settings) -> str:
+    """Tells one state of the inputs and settings of a job from another: sources, and path, size and time of each of their files."""
+    files = []
+    for s in sources:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f for f in (store.globStatus(at) or [])]
+        for f in found:
+            inside = store.listStatus(f.getPath()) if f.isDirectory() else [f]
+            files += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inside]
+    return hashlib.sha256(repr((sources, sorted(files), settings)).encode()).hexdigest()
+
+
+def is_fresh(spark: SparkSession, out: str, now: str) -> bool:
+    """Whether ``out`` holds a finished result of the same signature."""
+    try:
+        seen = spark.read.text(f"{out}.signature").first()
+    except AnalysisException:
+        return False
+    return seen is not None and seen[0] == now
+
+
+def remember(spark: SparkSession, out: str, now: str) -> None:
+    """Written last, so what was broken off isn't fresh."""
+    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}.signature")
+
+
 @dataclass(frozen=True)
 class MixSource:
     path: str
@@ -64,15 +97,19 @@ class MixSource:
     keep_lines: str | None = None
 
 
-def build_mixture(spark: SparkSession, sources: list[MixSource], out: str | None, total_tokens: float | None = None, max_epochs: float = 4.0, sample_docs: int = 2000, seed: int = 0) -> DataFrame:
+def build_mixture(spark: SparkSession, sources: list[MixSource], out: str | None, total_tokens: float | None = None, max_epochs: float = 4.0, sample_docs: int = 2000, seed: int = 0, skip_if_fresh: bool = False) -> DataFrame | None:
     """Measures sources, plans their shares, and writes the mixed texts in one hashed order; without ``out`` only the plan is made.
 
-    Sources are told apart by their place in the list, so two may have one path.
+    Sources are told apart by their place in the list, so two may have one path. With ``skip_if_fresh`` nothing is done, and None
+    returned, where ``out`` was made from the same files and settings.
     """
+    now = signature(spark, sources, total_tokens, max_epochs, sample_docs, seed) if out else ""
+    if skip_if_fresh and out and is_fresh(spark, out, now):
+        return None
     docs = None
     for k, s in enumerate(sources):
         text = readers.keep_lines(F.col("text"), s.strip_url_lines, s.keep_lines) if s.strip_url_lines or s.keep_lines else F.col("text")
-        rows = readers.read_text(spark, s.path, s.format).select("path", text.alias("text")).where(F.length("text") >= max(s.min_chars, 1))
+        rows = _placed(readers.read_text(spark, s.path, s.format), text).where(F.length("text") >= max(s.min_chars, 1))
         rows = _numbered(rows).withColumn("source", F.lit(str(k)))
         docs = rows if docs is None else docs.unionByName(rows)
     about = spark.createDataFrame([(str(k), s.path, s.lang, s.domain, float(s.weight)) for k, s in enumerate(sources)], "source string, path string, lang string, domain string, weight double")
@@ -81,6 +118,7 @@ def build_mixture(spark: SparkSession, sources: list[MixSource], out: str | None
         return planned.join(about.drop("weight"), "source")
     emitted = checkpointed(mixture.emit(docs, planned, seed=seed))
     sinks.write_jsonl(mixture.shuffled(emitted, seed, "doc_id", "copy").select("text"), out)
+    remember(spark, out, now)
     came = mixture.report(emitted, "source").withColumnsRenamed({"n_docs": "emitted_docs", "n_tokens": "emitted_tokens"})
     return planned.join(about.drop("weight"), "source").join(came, "source", "left")
 

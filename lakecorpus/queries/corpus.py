@@ -270,8 +270,12 @@ def interleave(spark, sf_dir):
     return mixture.interleave(docs(spark, sf_dir)).select("doc_id", "source", F.col("turn").cast("long").alias("turn"))
 
 
-@query("""WITH c AS (SELECT doc_id, substring(text, 1, 120) AS k, CASE WHEN contains(text, 'the') THEN 'a' WHEN contains(text, 'les') THEN 'b' WHEN contains(text, 'und') THEN 'c' END AS domain FROM documents),
-f AS (SELECT min(doc_id) AS doc_id FROM c WHERE domain IS NOT NULL GROUP BY k), r AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS rank FROM c WHERE doc_id IN (SELECT doc_id FROM f)) SELECT * FROM r WHERE rank <= 100""")
+#: Documents one after the other: a full domain takes no document and no key.
+@query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM (SELECT doc_id, substring(text, 1, 120) AS k, CASE WHEN contains(text, 'the') THEN 1 WHEN contains(text, 'les') THEN 2 WHEN contains(text, 'und') THEN 3 END AS d FROM documents) WHERE d IS NOT NULL),
+s AS (SELECT 0::BIGINT AS r, [0, 0, 0] AS n, []::VARCHAR[] AS seen, NULL::BIGINT AS doc_id, NULL::INTEGER AS d, false AS took UNION ALL
+SELECT r, CASE WHEN took THEN [n[1] + (d = 1)::INT, n[2] + (d = 2)::INT, n[3] + (d = 3)::INT] ELSE n END, CASE WHEN took THEN list_append(seen, md5(k)) ELSE seen END, doc_id, d, took FROM (
+SELECT c.r, s.n, s.seen, c.doc_id, c.d, c.k, s.n[c.d] < 100 AND NOT list_contains(s.seen, md5(c.k)) AS took FROM s JOIN c ON c.r = s.r + 1))
+SELECT doc_id, chr(96 + d) AS domain, CAST(n[d] AS BIGINT) AS rank FROM s WHERE took""")
 def capped_seed(spark, sf_dir):
     domain = mixture.classify(F.col("text"), {"a": ("the",), "b": ("les",), "c": ("und",)})
     return mixture.capped_seed(docs(spark, sf_dir), domain, 100).select("doc_id", "domain", F.col("rank").cast("long").alias("rank"))

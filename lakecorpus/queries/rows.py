@@ -77,10 +77,11 @@ def pack_rows(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT length(hex(encode(text))) // 2 AS n, len(regexp_extract_all(text, chr(10))) AS masked FROM documents)
-SELECT count(*) AS num_samples, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n - masked) AS BIGINT) AS n_supervised, max(n) AS max_length, sum(n - masked) / sum(n) AS supervised_rate, true AS passed FROM d""")
+SELECT CAST(sum((n > 0)::INT) AS BIGINT) AS num_samples, CAST(sum((n = 0)::INT) AS BIGINT) AS skipped_empty, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n - masked) AS BIGINT) AS n_supervised, max(n) AS max_length, sum(n) / sum((n > 0)::INT) AS avg_length,
+CAST(max(n % 9) AS BIGINT) AS max_morph_depth, sum(n - masked) / sum(n) AS supervised_rate, sum(n - masked) / sum(n) >= 0.01 AS passed FROM d""")
 def gate_report(spark, sf_dir):
-    d = training_rows.gate_metrics(_encoded(spark, sf_dir), unk=300)
-    return d.select("num_samples", "n_tokens", "n_supervised", F.col("max_length").cast("long").alias("max_length"), "supervised_rate", "passed")
+    d = training_rows.gate_metrics(_encoded(spark, sf_dir).withColumn("morph_depth", F.array(F.size("ids") % 9)), unk=300)
+    return d.select("num_samples", "skipped_empty", "n_tokens", "n_supervised", *[F.col(c).cast("long").alias(c) for c in ("max_length", "max_morph_depth")], "avg_length", "supervised_rate", "passed")
 
 
 @query("SELECT doc_id, least(length(hex(encode(text))) // 2, 512) AS n, true AS supervised FROM documents")

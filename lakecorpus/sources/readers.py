@@ -125,21 +125,19 @@ def read_jsonl_fields(spark: SparkSession, path: str | list[str], fields: tuple[
     return rows.select("path", F.explode(full).alias("text"))
 
 
-def read_json_array(spark: SparkSession, path: str | list[str], fields: tuple[str, ...]) -> DataFrame:
-    """(path, pos, text): each non-empty field of the objects of an array, or of one under ``data`` or ``records``."""
+def read_json_array(spark: SparkSession, path: str | list[str], fields: tuple[str, ...], joined: bool = False) -> DataFrame:
+    """(path, pos, text): each non-empty field of the objects of an array, or of one under ``data`` or ``records``; or, joined, all of an object line by line. A broken file has no rows."""
 
     def rows(_: str, data: bytes) -> Iterator[str]:
         try:
             value = json.loads(decode_bytes(data))
-        except ValueError:
+        except (ValueError, RecursionError):
             return
         if isinstance(value, dict):
             value = value.get("data") or value.get("records") or [value]
         for item in value if isinstance(value, list) else []:
-            for f in fields:
-                text = str(item.get(f) or "").strip() if isinstance(item, dict) else ""
-                if text:
-                    yield text
+            full = [t for f in fields if isinstance(item, dict) and (t := str(item.get(f) or "").strip())]
+            yield from (["\n".join(full)] if joined and full else full)
 
     return _from_files(files(spark, path), rows)
 
@@ -171,7 +169,7 @@ def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame
     def rows(name: str, data: bytes) -> Iterator[str]:
         try:
             yield from walk(json.loads(decode_bytes(data)), name.rpartition("/")[2].rpartition(".")[0])
-        except ValueError:
+        except (ValueError, RecursionError):  # broken, or nested beyond what any document is
             return
 
     return _from_files(files(spark, path), rows)
@@ -270,6 +268,19 @@ def keep_lines(text: Column, strip_urls: bool = False, script_class: str | None
 READERS = {"jsonl": read_jsonl, "txt": read_lines, "parquet": read_parquet_text, "html": read_html, "zip": read_zip, "json": read_json_documents}
 
 
+def sniff_json(spark: SparkSession, path: str) -> str:
+    """``array`` where the first visible character of the first file is ``[``, else ``jsonl``."""
+    first = files(spark, path).orderBy("path").select("content").first()
+    head = first[0][: 1 << 16].decode("utf-8", "replace").lstrip("\ufeff \t\r\n") if first else ""
+    return "array" if head.startswith("[") else "jsonl"
+
+
+def read_json_fields(spark: SparkSession, path: str, fields: tuple[str, ...], joined: bool = False) -> DataFrame:
+    """(path, text) of the fields of JSON lines or of an array, whichever the file is."""
+    read = read_json_array if sniff_json(spark, path) == "array" else read_jsonl_fields
+    return read(spark, path, fields, joined=joined).select("path", "text")
+
+
 def infer_format(path: str, explicit: str | None = None) -> str:
     """The format of a path by its suffix; an unknown one is read as JSON lines."""
     suffix = (explicit or path.rpartition(".")[2]).lower()

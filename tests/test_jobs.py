@@ -16,6 +16,9 @@ def test_clean_files(spark, tmp_path):
     b = write(tmp_path / "b.jsonl", [LINE * 2, "a different text that is also long enough"])
     counts = {r.reason: r.n_docs for r in jobs.clean_files(spark, [a, b], str(tmp_path / "out"), near=False).collect()}
     assert counts == {"": 2, "too_short": 1, "duplicate": 2}
+    c = write(tmp_path / "c.jsonl", [LINE * 2] * 3)  # equal rows of one file count each
+    counts = {r.reason: r.n_docs for r in jobs.clean_files(spark, [c], str(tmp_path / "out2"), near=False).collect()}
+    assert counts == {"": 1, "duplicate": 2}
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
@@ -37,8 +40,13 @@ def test_mixture_seed_and_rows(spark, tmp_path):
     sources = [jobs.MixSource(a, 0.6), jobs.MixSource(b, 0.4)]
     plan = {r.source: r.repeat_factor for r in jobs.build_mixture(spark, sources, None).collect()}
     assert plan["0"] == 4.0 and plan["1"] < 1
-    report = {r.source: r.emitted_docs for r in jobs.build_mixture(spark, sources, str(tmp_path / "mix")).collect()}
-    assert report["0"] == 80 and spark.read.json(str(tmp_path / "mix")).count() == sum(report.values())
+    assert {r.source: r.emitted_docs for r in jobs.build_mixture(spark, sources, str(tmp_path / "mix")).collect()}["0"] == 80
+    assert jobs.build_mixture(spark, sources, str(tmp_path / "mix"), skip_if_fresh=True) is None
+    write(tmp_path / "a.jsonl", [f"aaaa {i} " * 5 for i in range(19)])
+    assert {r.source: r.emitted_docs for r in jobs.build_mixture(spark, sources, str(tmp_path / "mix"), skip_if_fresh=True).collect()}["0"] == 76
+    report = {r.source: r.emitted_docs for r in jobs.build_mixture(spark, sources, str(tmp_path / "mix2")).collect()}
+    (tmp_path / "mix2").rename(tmp_path / "mix3")
+    assert report["0"] == 76 and spark.read.json(str(tmp_path / "mix3")).count() == sum(report.values())
     records = [(i, "", "关于数学的论文" + str(i) * 90) for i in range(5)] + [(9, "物理", "x" * 90), (10, "", "y" * 90)]
     got = jobs.extract_seed(spark.createDataFrame(records, "doc_id long, meta string, text string"), str(tmp_path / "seed"), per_domain=3).collect()
     assert {r.domain: r["count"] for r in got} == {"math": 3, "physics": 1}
