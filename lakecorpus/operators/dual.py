@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .tokens import decode_stream, encode_with_fallback, span_pattern, spans
+from .tokens import SPECIALS, decode_stream, encode_with_fallback, span_pattern, spans
 from .training_rows import byte_tokens
 
 WORD_MARK, MORPHEME_MARK = "▁", "◈"
@@ -224,7 +224,7 @@ def load(path: str, general: General, segment: tuple[int, int], boundaries: Call
     return DualTokenizer(v, pieces, general, segment)
 
 
-def unified(pieces: dict[str, int], general: dict[str, int], pieces_at: tuple[int, int], general_at: tuple[int, int], specials: tuple[str, ...] = ("<pad>", "<unk>", "<bos>", "<eos>", WORD_MARK, MORPHEME_MARK)) -> dict[str, int]:
+def unified(pieces: dict[str, int], general: dict[str, int], pieces_at: tuple[int, int], general_at: tuple[int, int], specials: tuple[str, ...] = (*SPECIALS, WORD_MARK, MORPHEME_MARK)) -> dict[str, int]:
     """Special tokens and bytes first, then each track in its segment [from, to); a surface that is there already keeps its id."""
     out = {t: k for k, t in enumerate((*specials, *byte_tokens()))}
     for local, (at, end) in ((pieces, pieces_at), (general, general_at)):

@@ -320,3 +320,38 @@ b AS (SELECT doc_id, lang, epoch, (row_number() OVER (PARTITION BY lang ORDER BY
 def resumed_epochs(spark, sf_dir):
     drawn = ranks.epochs(docs(spark, sf_dir).select("doc_id", "lang"), 2, 5)
     return ranks.resume(ranks.batches(drawn, 16, ("lang",)), 3, 2).select("doc_id", "lang", "epoch", "batch")
+
+
+#: Words of one document in three with letters of the traditional script between them, so that both tracks have work.
+MIXED = "regexp_replace(text, '(the|der|les|que)', 'ᠮᠣᠩᠭᠣᠯ', 'g')"
+_LETTERS = "ᠮᠣᠩᠭᠯ"
+
+
+def _dual():
+    """A tokenizer of both tracks: letters of the script with two merges, and a public byte-level vocabulary."""
+    import public_tokenizers
+
+    from lakecorpus.operators import dual
+
+    general = dual.General(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {t: k for k, t in enumerate(["<unk>", *_LETTERS, "ᠮᠣ", "ᠮᠣᠩ"])}
+    segment = (24576, 131072)
+    vocabulary = dual.unified(pieces, general.vocabulary, (300, 24576), segment)
+    return dual.DualTokenizer(vocabulary, dual.Pieces(pieces, {("ᠮ", "ᠣ"): 0, ("ᠮᠣ", "ᠩ"): 1}), general, segment)
+
+
+def _mixed(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", "lang", F.regexp_replace("text", "(the|der|les|que)", "ᠮᠣᠩᠭᠣᠯ").alias("text"))
+
+
+#: Each word of the script is ᠮᠣᠩ and three letters; spaces are one token each; all texts come back.
+@query(f"SELECT doc_id, 4 * len(regexp_extract_all(t, 'ᠮᠣᠩᠭᠣᠯ')) AS n_mn, len(regexp_extract_all(t, ' ')) AS n_space, CAST(length(t) AS BIGINT) AS n_covered, md5(t) AS m FROM (SELECT doc_id, {MIXED} AS t FROM documents)")
+def dual_tokens(spark, sf_dir):
+    from lakecorpus.operators import dual
+
+    d = _mixed(spark, sf_dir).select("doc_id", dual.encode_column(F.col("text"), _dual).alias("t"))
+    d = d.select("doc_id", "t", dual.decode_column(F.transform("t", lambda x: x["id"]), _dual).alias("back"))
+    of = lambda track: F.size(F.filter("t", lambda x: x["track"] == track)).cast("long")
+    # a character of several bytes may lie in several tokens: what is covered is counted from each token's end
+    covered = F.aggregate("t", F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    return d.select("doc_id", of("mn").alias("n_mn"), of("space").alias("n_space"), covered.cast("long").alias("n_covered"), F.md5(F.col("back").cast("binary")).alias("m"))
