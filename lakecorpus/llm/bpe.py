@@ -2,13 +2,15 @@
 
 The symbols of all new words of a batch lie in one flat array. In each round the pairs of neighbours
 are looked up by binary search over the sorted keys of the merge table, every word merges all
-occurrences of its own pair of lowest rank, and words without a pair leave the array. Words seen before come from a
+occurrences of its own pair of lowest rank, and words without a pair leave the array. A very long word takes its rounds alone and
+looks up only pairs that changed. Words seen before come from a
 bounded table. Only the vocabulary file of a public tokenizer is read; no tokenizer library runs.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -24,6 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 ROWS = 256
 #: Distinct chunks that a worker keeps; the table starts anew at the next batch beyond it.
 KEPT_CHUNKS = 100_000
+#: Words of more bytes take their rounds alone.
+LONG_WORD = 2_000
 _BIG = np.iinfo(np.int32).max
 #: White space as the normalizer's ``\s`` has it; str.split() also splits at U+001C to U+001F.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -71,6 +75,7 @@ class WordBPE:
         self.keys = keys[self.ranks]
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.made = made[self.ranks]
+        self.by_rank = left, right, made
         self._forget()
 
     def _forget(self) -> None:
@@ -81,6 +86,73 @@ class WordBPE:
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty ``words`` in one flat array, and how many each has."""
+        long = {k: self._merge_long(w) for k, w in enumerate(words) if len(w) > LONG_WORD}
+        if not long:
+            return self._merge_short(words)
+        short = [w for w in words if len(w) <= LONG_WORD]
+        ids, few = self._merge_short(short) if short else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        counts = np.zeros(len(words), dtype=np.int64)
+        is_short = np.array([k not in long for k in range(len(words))])
+        counts[is_short] = few
+        for k, x in long.items():
+            counts[k] = len(x)
+        out = np.zeros(counts.sum(), dtype=np.int32)
+        out[np.repeat(is_short, counts)] = ids
+        begins = np.cumsum(counts) - counts
+        for k, x in long.items():
+            out[begins[k] : begins[k] + len(x)] = x
+        return out, counts
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word. Places wait under the rank of the pair that begins there; a round takes the lowest rank, and only places next to a merge are looked up again."""
+        left, right, made = self.by_rank
+        flat = np.frombuffer(word, dtype=np.uint8)
+        sym = self.first[flat]
+        sym[-1] = self.last[flat[-1]]
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def offer(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            key = sym[at] * self.size + sym[after[at]]
+            found = np.searchsorted(self.keys, key)
+            found[found == len(self.keys)] = 0
+            hit = self.keys[found] == key
+            at, rank = at[hit], self.ranks[found[hit]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = [*np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]), len(rank)] if len(rank) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(at[a:b])
+
+        offer(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            i = np.unique(np.concatenate(waiting.pop(r)))
+            i = i[alive[i] & (after[i] < n)]
+            i = i[(sym[i] == left[r]) & (sym[after[i]] == right[r])]
+            if left[r] == right[r] and len(i) > 1:  # of occurrences that overlap, every other one from the left
+                new_run = np.r_[True, after[i[:-1]] != i[1:]]
+                run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(i)), 0))
+                i = i[(np.arange(len(i)) - run_start) % 2 == 0]
+            if not len(i):
+                continue
+            gone = after[i]
+            sym[i] = made[r]
+            alive[gone] = False
+            after[i] = after[gone]
+            inside = after[i] < n
+            before[after[i][inside]] = i[inside]
+            offer(np.unique(np.r_[i, before[i][before[i] >= 0]]))
+        return sym[alive].astype(np.int32)
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         sym = self.first[flat]

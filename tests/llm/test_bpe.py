@@ -49,3 +49,23 @@ def test_the_table_of_chunks_is_bounded(monkeypatch):
         text = " ".join(f"word{i}x{k}" for i in range(30)) + "<|endoftext|>"
         assert b.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(b.known) < 50
+
+
+def test_long_words(monkeypatch):
+    """A word of any length equals the library, in time about in proportion to it, and the rounds of one word equal those of all."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    b, library = bpe.WordBPE(PATH), Tokenizer.from_file(PATH)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (2001, 40_000, 80_000)] + ["a" * 50_001, "é" * 3000, "ab" * 20_000]
+    t = time.process_time()
+    got = [b.encode([x])[0].tolist() for x in long]
+    assert time.process_time() - t < 15
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in long]
+    text = f"some {long[0]} words {'a' * 3001} here"
+    assert b.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
+    alone = bpe.WordBPE(PATH)
+    for x in TEXTS:
+        assert alone.encode([x])[0].tolist() == library.encode(x, add_special_tokens=False).ids
