@@ -148,12 +148,12 @@ class _Forest:
             head, rest = run[0], run[1:]
             apart = 1 - (self.sig[rest] == self.sig[head]).mean(axis=1)
             joins = apart + radius[rest] <= c.radius
+            if joins.any():  # what joins leaves the run with this step, so the radius that the others are held against has it
+                radius[head] = max(radius[head], (apart + radius[rest])[joins].max())
+                alone[rest[joins]] = False
             near = joins | (apart <= radius[head] + radius[rest] + (1 - c.similarity) + c.noise)
             for x in rest[near]:
                 self._link(int(head), int(x))
-            if joins.any():
-                radius[head] = max(radius[head], (apart + radius[rest])[joins].max())
-                alone[rest[joins]] = False
             run = rest[~joins]
 
     def climb(self, label: np.ndarray, radius: np.ndarray) -> np.ndarray:
