@@ -105,7 +105,7 @@ class Profiles:
             self.ranks[i, column[lang]] = rank
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of up to ROWS texts."""
+        """Language and score of up to ROWS texts. N-grams of a document with equal counts stand in the order of 32 bits of their hashes; counts of over 2^24 - 1 are equal."""
         c = self.config
         counts = [Counter(_LETTERS.findall(t.lower())) if t else Counter() for t in texts]
         padded = [f"_{w}_" for x in counts for w in x]

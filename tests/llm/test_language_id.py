@@ -40,6 +40,26 @@ def test_distance_is_out_of_place():
     assert li.Profiles([], config).predict(["ab"]) == (["und"], [0.0])
 
 
+def test_predictions_equal_brute_force(spark):
+    """The out-of-place distance of each text to each profile, summed one n-gram at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    config = li.ProfileConfig(profile_size=60, document_size=40)
+    profiles = {}
+    rows = [(r.lang, r.gram, r["rank"]) for r in li.train_profiles(docs, config).collect()]
+    for lang, g, k in rows:
+        profiles.setdefault(lang, {})[g] = k
+    texts = [r.text for r in docs.orderBy("doc_id").limit(120).collect()]
+    got = li.Profiles(rows, config).predict(texts)
+    for text, lang, score in zip(texts, *got, strict=True):
+        counts = grams(text)
+        names = list(counts)
+        key = dict(zip(names, (int(x) for x in li._gram_keys(names, config.longest)), strict=True))
+        mine = sorted(names, key=lambda g: (-counts[g], (key[g] & ((1 << 56) - 1)) >> 24))[: config.document_size]
+        apart = {x: sum(min(abs(p[g] - k), config.profile_size) if g in p else config.profile_size for k, g in enumerate(mine)) for x, p in profiles.items()}
+        best = min(sorted(apart), key=lambda x: apart[x])
+        assert lang == best and abs(score - (1 - apart[best] / (len(mine) * config.profile_size))) < 1e-12
+
+
 def test_held_out_accuracy(spark):
     from lakecorpus.llm.queries import queries
 
