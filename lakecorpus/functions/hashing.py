@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -101,6 +102,22 @@ def bands(signature: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(signature, i * width).bitwiseAND((1 << width) - 1).cast("int").alias("value")) for i in range(BANDS)])
 
 
+def block_keys(signature: Column, apart: int) -> Column:
+    """Keys (which, value) of which any two signatures within ``apart`` bits have one in common.
+
+    The signature is cut into ``apart`` + 3 parts; a key is three of them with the others as zeros, some 32 bits at ``apart`` 3. So a key is met
+    by chance far less often than a single part of 16 bits.
+    """
+    n = apart + 3
+    edges = [round(k * BITS / n) for k in range(n + 1)]
+    parts = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    keys = []
+    for k, three in enumerate(itertools.combinations(parts, 3)):
+        mask = sum(three)
+        keys.append(F.struct(F.lit(k).alias("band"), signature.bitwiseAND(F.lit(mask - (1 << BITS) * (mask >> (BITS - 1))).cast("long")).alias("value")))
+    return F.array(*keys)
+
+
 def uniform(*parts: Column) -> Column:
     """A draw from [0, 1) that follows from its parts alone: 32 bits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))

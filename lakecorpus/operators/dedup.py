@@ -1,6 +1,7 @@
 """Exact and near deduplication; the first by input position stays.
 
-Near duplicates are those within a Hamming distance of a kept signature that shares a 16-bit band with it. As only kept
+Near duplicates are those within a Hamming distance of a kept signature that shares a 16-bit band with it; within a distance of 3
+any two share one, so there longer keys find the pairs. Of equal signatures only the first is compared. As only kept
 documents count, the result is the first maximal independent set of that graph by position, found in rounds.
 """
 
@@ -44,13 +45,15 @@ def not_seen(docs: DataFrame, state: DataFrame, key: str = "exact_key") -> DataF
     return docs.join(state.select(key), key, "left_anti")
 
 
-def band_rows(signed: DataFrame, position: str = "doc_id", signature: str = "sig") -> DataFrame:
-    return signed.select(position, signature, F.explode(H.bands(F.col(signature))).alias("b")).select(position, signature, "b.band", "b.value")
+def key_rows(signed: DataFrame, threshold: int, position: str = "doc_id", signature: str = "sig") -> DataFrame:
+    """(position, signature, band, value): a row for each key under which a signature meets others."""
+    keys = H.block_keys(F.col(signature), threshold) if threshold < H.BANDS else H.bands(F.col(signature))
+    return signed.select(position, signature, F.explode(keys).alias("b")).select(position, signature, "b.band", "b.value")
 
 
 def near_pairs(signed: DataFrame, threshold: int = 3, position: str = "doc_id", signature: str = "sig") -> DataFrame:
     """(earlier, later, distance): pairs that share a band and are within the threshold."""
-    rows = band_rows(signed, position, signature)
+    rows = key_rows(signed, threshold, position, signature)
     a, b = rows.alias("a"), rows.alias("b")
     apart = H.hamming(F.col(f"a.{signature}"), F.col(f"b.{signature}"))
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))
@@ -88,8 +91,11 @@ def near_dedup(docs: DataFrame, threshold: int = 3, min_terms: int = 120, positi
     size = F.size(dedup_terms(F.col("text"))) if metric == "terms" else F.length("text")
     signed = unique.withColumn("sig", F.when(size >= min_terms, H.simhash(F.col("text"))))
     signed = checkpointed(signed)
-    drops = greedy_drops(near_pairs(signed.where(F.col("sig").isNotNull()).select(position, "sig"), threshold, position))
-    return signed.join(drops.withColumnRenamed("dropped", position), position, "left_anti")
+    # a signature stands or falls with its first document: if that is kept the others are near to it, if not they are near to what dropped it
+    firsts = signed.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(position).alias(position))
+    drops = greedy_drops(near_pairs(firsts, threshold, position)).withColumnRenamed("dropped", position)
+    stay = firsts.join(drops, position, "left_anti").select(position).union(signed.where(F.col("sig").isNull()).select(position))
+    return signed.join(stay, position, "left_semi")
 
 
 def dedup_against(docs: DataFrame, state: DataFrame, threshold: int = 3) -> DataFrame:

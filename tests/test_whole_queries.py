@@ -91,3 +91,96 @@ def test_foreign_gates_of_all_rows(spark, tables):
     for folder, files in ((at, f"{at}/documents.parquet/*.parquet"), ("/root/testdata/sf0.01", "/root/testdata/sf0.01/documents.parquet")):
         db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{files}'")
         assert sorted(map(tuple, query(spark, folder).collect())) == sorted(db.sql(sql).fetchall())
+
+
+def test_near_duplicates_equal_a_pass_in_order(spark):
+    """near_pairs and near_dedup over the whole tables against every pair, and a pass that compares each document to all kept ones."""
+    at = "/root/testdata/sf0.001"
+    d = QUERIES["near_dedup"][0](spark, at)
+    from lakecorpus.functions import hashing as H
+    from lakecorpus.operators import dedup
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    unique = dedup.exact_dedup(docs).select("doc_id", "text", H.simhash(F.col("text")).alias("sig")).orderBy("doc_id").collect()
+    sigs = [(r.doc_id, r.sig & (2**64 - 1), len(r.text.split())) for r in unique]
+    want = {(a, b, (x ^ y).bit_count()) for i, (a, x, _) in enumerate(sigs) for b, y, _ in sigs[i + 1 :] if (x ^ y).bit_count() <= 3}
+    assert {(r.earlier, r.later, r.distance) for r in QUERIES["near_pairs"][0](spark, at).collect()} == want
+    kept, ids = [], set()
+    for k, x, n in sigs:
+        if n >= 120:
+            if any((x ^ y).bit_count() <= 3 for y in kept):
+                continue
+            kept.append(x)
+        ids.add(k)
+    assert {r.doc_id for r in d.collect()} == ids
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    rows = [(i, b) for i, b in enumerate(x ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for x in base for _ in range(8))]
+    signed = spark.createDataFrame([(i, x - (1 << 64) * (x >> 63)) for i, x in rows], "doc_id long, sig long")
+    for t in (0, 1, 2, 3):
+        got = {(r.earlier, r.later) for r in dedup.near_pairs(signed, t).collect()}
+        assert got == {(i, j) for i, x in rows for j, y in rows if i < j and (x ^ y).bit_count() <= t}
+
+
+def test_packs_equal_a_pass_in_order(spark):
+    """pack_rows over the whole table: each group packed by itself in a loop."""
+    at = "/root/testdata/sf0.001"
+    from lakecorpus.operators import training_rows as T
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("g")).orderBy("g", "doc_id").collect()
+    want, at_pack = {}, {}
+    for r in docs:
+        ids = list(r.text.encode())[:8192]
+        if not ids:
+            continue
+        packs = at_pack.setdefault(r.g, [])
+        if packs and len(packs[-1][0]) + 1 + len(ids) <= 8192:
+            packs[-1] = (packs[-1][0] + [256] + ids, packs[-1][1] + 1)
+        else:
+            packs.append((ids, 1))
+    want = {(g, k): p for g, packs in at_pack.items() for k, p in enumerate(packs)}
+    rows = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", T.byte_ids(F.col("text")).alias("ids")).withColumn("labels", T.labels(F.col("ids"), F.array(F.lit(10))))
+    got = {(r.pack_group, r.pack): r for r in T.pack_rows(rows, 8192, 256).collect()}
+    assert {k: (r.ids, r.num_samples) for k, r in got.items()} == want
+    assert all(r.labels == [-100 if x == 10 else x for x in r.ids] for r in got.values())
+    assert {(r.pack_group, r.pack, r.n, r.num_samples) for r in QUERIES["pack_rows"][0](spark, at).collect()} == {(g, k, len(ids), n) for (g, k), (ids, n) in want.items()}
+
+
+def test_chunks_cover_each_text(spark):
+    """split_documents over the whole table: chunks are of the size, in order, and hold all words; a chunk that could take the next part would have."""
+    at = "/root/testdata/sf0.001"
+    from lakecorpus.operators import chunking
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = {}
+    for r in chunking.split_documents(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text"), 1000).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for k, text in docs.items():
+        chunks = got.get(k, [])
+        assert [w for c in chunks for w in c.split()] == text.split()
+        if len(text) > 1000:
+            assert all(0 < len(c) <= 1000 for c in chunks)
+
+
+def test_html_text_of_articles(spark):
+    """html_text over the whole table against the article cut out by hand."""
+    import html
+    import re
+
+    at = "/root/testdata/sf0.001"
+    from lakecorpus.functions import markup
+    from pyspark.sql import functions as F
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    got = spark.read.parquet(f"{at}/pages.parquet").select("page_id", markup.html_text(("article", "main"))(F.col("html")).alias("x")).collect()
+    words = lambda t: re.findall(r"\w+", t)
+    assert len(got) == len(pages)
+    for r in got:
+        inside = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        inside = re.sub(r"(?s)<(script|style|nav|aside|form|footer|header)\b.*?</\1>", " ", inside)
+        want = set(words(html.unescape(re.sub(r"<[^>]*>", " ", inside))))
+        assert len(want & set(words(r.x.text))) >= 0.9 * len(want)
