@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
-from lakecorpus.operators import lookups, quality, reports, tokens, training_rows
+from lakecorpus.operators import gate, lookups, quality, reports, tokens, training_rows
 from lakecorpus.streaming import ranks
 
 from .corpus import PROXY, REASON, SP, docs
@@ -355,3 +355,51 @@ def dual_tokens(spark, sf_dir):
     # a character of several bytes may lie in several tokens: what is covered is counted from each token's end
     covered = F.aggregate("t", F.lit(0), lambda a, x: F.greatest(a, x["end"]))
     return d.select("doc_id", of("mn").alias("n_mn"), of("space").alias("n_space"), covered.cast("long").alias("n_covered"), F.md5(F.col("back").cast("binary")).alias("m"))
+
+
+#: Bytes of texts as rows with faults that follow from their ids: an id or label out of range, offsets beyond the text, a missing depth, a negative position.
+@query("""WITH d AS (SELECT doc_id, length(hex(encode(text))) // 2 AS n, len(list_filter(range(0, length(hex(encode(text))) // 2), lambda i: i % 50 = 7)) AS k FROM documents), f AS (
+SELECT doc_id, 'id_range' AS rule, 1 AS n FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'label_range', 1 FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'offset', k FROM d WHERE doc_id % 7 = 0 AND k > 0
+UNION ALL SELECT doc_id, 'morph_depth_length', 1 FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'negative_word_pos', n FROM d WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'images_count', 1 FROM d WHERE doc_id % 13 = 0)
+SELECT rule, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_failures FROM f GROUP BY rule""")
+def gate_failures(spark, sf_dir):
+    k = F.col("doc_id")
+    ids = training_rows.byte_ids(F.col("text"))
+    d = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"), F.transform(ids, lambda x, i: F.when((i == 0) & (k % 5 == 0), 999).otherwise(x)).alias("ids"))
+    far = lambda x, i: F.struct(F.lit(0).alias("start"), F.when((k % 7 == 0) & (i % 50 == 7), 1 << 30).otherwise(0).alias("end"))
+    d = d.withColumns({"labels": F.col("ids"), "offsets": F.transform("ids", far), "word_pos": F.transform("ids", lambda x: F.when(k % 11 == 0, -1).otherwise(0))})
+    depths = F.transform("ids", lambda x: F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    d = d.withColumns({"morph_depth": F.when(k % 3 == 0, F.slice(depths, F.lit(2), F.size("ids"))).otherwise(depths), "spans": none, "images": F.when(k % 13 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))})
+    return gate.failure_counts(gate.failures(d, 300, n_chars="n_chars", media={"spans": ("images", 1, 2)}))
+
+
+@query("""SELECT doc_id, md5(rtrim(translate(CASE WHEN contains(text, 'q') THEN split_part(text, 'q', 1) ELSE text END, 'e', ''), '')) AS m FROM documents""")
+def continuations(spark, sf_dir):
+    """Characters as ids: q ends a text, e is padding."""
+    d = docs(spark, sf_dir).select("doc_id", F.transform(F.split("text", ""), lambda c: F.when(c == "q", 0).when(c == "e", 1).otherwise(2)).alias("kind"), F.split("text", "").alias("c"))
+    end = F.when(F.array_position("kind", 0) > 0, F.array_position("kind", 0) - 1).otherwise(F.size("c")).cast("int")
+    kept = F.size(gate.continuation(F.col("kind"), 0, 1))
+    text = F.array_join(F.filter(F.slice("c", F.lit(1), end), lambda c: c != "e"), "")
+    same = F.when(kept == F.length(text), text).otherwise(F.raise_error(F.lit("lengths differ")).cast("string"))
+    return d.select("doc_id", F.md5(same.cast("binary")).alias("m"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'text' END AS type, source, 2::INTEGER AS n_keys FROM documents")
+def metadata_keys(spark, sf_dir):
+    always = F.create_map(F.lit("source"), F.col("source"), F.lit("other"), F.lit("gone"))
+    typed = F.map_concat(always, F.create_map(F.lit("type"), F.col("lang")))
+    m = gate.metadata(F.when(F.col("doc_id") % 3 == 0, typed).otherwise(always))
+    return docs(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", F.col("m")["type"].alias("type"), F.col("m")["source"].alias("source"), F.size("m").alias("n_keys"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events")
+def json_numbers(spark, sf_dir):
+    v = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 7 == 0, float("-inf")).otherwise(F.col("value"))
+    return _read(spark, sf_dir, "events").select("event_id", gate.json_number(v).alias("value"))
+
+
+@query("SELECT lang, count(*) AS n_rows, CAST(sum((doc_id % 6 = 0 OR length(text) = 0)::INT) AS BIGINT) AS n_empty FROM documents GROUP BY lang")
+def empty_counts(spark, sf_dir):
+    ids = F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<int>")).otherwise(training_rows.byte_ids(F.col("text")))
+    return gate.filled(docs(spark, sf_dir).select("lang", ids.alias("ids")), "lang")[1]

@@ -268,6 +268,68 @@ def keep_lines(text: Column, strip_urls: bool = False, script_class: str | None
 READERS = {"jsonl": read_jsonl, "txt": read_lines, "parquet": read_parquet_text, "html": read_html, "zip": read_zip, "json": read_json_documents}
 
 
+def units(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = ("jsonl", "json", "parquet", "zip", "txt", "html")) -> DataFrame:
+    """(path, kind, bytes) of the files that can be read, in no order; only the listing is read, not the files."""
+    found = files(spark, path).select("path", "length")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return found.select("path", kind.alias("kind"), F.col("length").alias("bytes")).where(F.col("kind").isin(*suffixes))
+
+
+def read_training_rows(spark: SparkSession, path: str | list[str], rank: int = 0, ranks: int = 1) -> DataFrame:
+    """Encoded rows of JSON-lines files, whole or the files of one rank; a broken line raises with its file."""
+    from lakecorpus.streaming.ranks import deal_files
+
+    mine = deal_files(units(spark, path, ("jsonl", "json")), ranks).where(F.col("rank") == rank).select("path")
+    names = [r.path for r in mine.collect()]  # names of files, of one rank
+    if not names:
+        raise ValueError(f"there are no files for rank {rank} of {ranks}")
+    return spark.read.option("mode", "FAILFAST").json(names)
+
+
+def read_required_text(spark: SparkSession, path: str | list[str], key: str = "text") -> DataFrame:
+    """(path, pos, text) of lines that are text, or objects with a text; arrays and objects without one raise with file and line."""
+
+    def rows(name: str, data: bytes) -> Iterator[str]:
+        for k, line in enumerate(io.StringIO(data.decode("utf-8-sig")), 1):
+            line = line.strip()
+            if not line:
+                continue
+            text = line
+            if name.endswith((".json", ".jsonl", ".ndjson")):
+                value = json.loads(line)
+                text = value if isinstance(value, str) else value.get(key) if isinstance(value, dict) else None
+            if not isinstance(text, str) or not text:
+                raise ValueError(f"{name}:{k}: no text")
+            yield text
+
+    return _from_files(files(spark, path), rows)
+
+
+#: Named sources: a function of a session that gives (path, text) rows.
+SOURCES: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+
+def source(name: str, bucket: str):
+    """Registers a function as a source of a bucket; its rows get both as columns."""
+
+    def add(f: Callable[[SparkSession], DataFrame]):
+        SOURCES[name] = lambda spark: f(spark).withColumns({"source": F.lit(name), "bucket": F.lit(bucket)})
+        return f
+
+    return add
+
+
+def read_sources(spark: SparkSession, *names: str) -> DataFrame:
+    """The rows of the named sources, all of them without names, under one another."""
+    out = None
+    for n in names or SOURCES:
+        rows = SOURCES[n](spark).select("path", "text", "source", "bucket")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("there are no sources")
+    return out
+
+
 def sniff_json(spark: SparkSession, path: str) -> str:
     """``array`` where the first visible character of the first file is ``[``, else ``jsonl``."""
     first = files(spark, path).orderBy("path").select("content").first()

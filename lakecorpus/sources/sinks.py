@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False, min_chars: int
     kept.write.mode("append" if append else "overwrite").json(path, compression=compression)
 
 
+def write_lines(rows: DataFrame, path: str, column: str = "text") -> None:
+    """Plain text, a row a line: line ends inside a text become spaces."""
+    rows.select(F.regexp_replace(column, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_status(spark, path: str, **facts) -> None:
+    """One JSON line about a run, written over the one before; numbers that JSON can't hold become null."""
+    safe = {k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in facts.items()}
+    line = json.dumps(safe, ensure_ascii=False, default=str, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_predictions(rows: DataFrame, path: str, columns: tuple[str, ...] = ("image", "ref", "pred")) -> None:
+    rows.select(*columns).write.mode("overwrite").json(path)
+
+
 def write_buckets(rows: DataFrame, path: str, *keys: str) -> None:
     rows.write.mode("overwrite").partitionBy(*keys).json(path, compression="gzip")
 

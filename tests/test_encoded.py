@@ -201,3 +201,43 @@ def test_two_tracks(spark, tmp_path):
     d = spark.createDataFrame([(text,), (None,), ("",)], "x string").select("x", dual.encode_column(F.col("x"), _dual).alias("t"))
     d = d.select("x", "t", dual.decode_column(F.transform("t", lambda s: s["id"]), _dual).alias("back"))
     assert [(r.back, len(r.t) > 0) for r in d.collect()] == [(text, True), ("", False), ("", False)]
+
+
+def test_media_spans_and_failures(spark):
+    from lakecorpus.operators import gate
+
+    none = [-100] * 6
+    rows = [
+        (1, [9, 5, 7, 7, 6, 8], none, [(1, 5)], ["a"]),
+        (2, [9, 5, 7, 7, 7, 8], none, [(1, 5)], ["a"]),
+        (3, [9, 5, 7, 7, 6, 8], [-100, -100, 7, -100, -100, 8], [(1, 5), (4, 9), (2, 3)], ["a"]),
+        (4, [1], [1, 2], [], []),
+    ]
+    d = spark.createDataFrame(rows, "doc_id int, ids array<int>, labels array<int>, spans array<struct<start:int,end:int>>, images array<string>")
+    got = {(r.doc_id, r.rule, r.at) for r in gate.failures(d, 10, media={"spans": ("images", 5, 6)}).collect()}
+    assert got == {(2, "spans_markers", 0), (3, "spans_labelled", 0), (3, "spans_bounds", 1), (3, "spans_short", 2), (3, "images_count", -1), (4, "labels_length", -1)}
+    one = spark.range(1).select(gate.nested(F.array(F.lit(1), F.lit(2))).alias("a"), gate.nested(F.lit(None).cast("array<int>")).alias("b")).first()
+    assert (one.a, one.b) == ([[1, 2]], [])
+
+
+def test_files_in_and_out(spark, tmp_path):
+    from lakecorpus.sources import sinks
+
+    d = spark.createDataFrame([(1, "one\ntwo"), (2, "three")], "k int, text string")
+    sinks.write_lines(d, str(tmp_path / "lines"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "lines")).collect()} == {"one two", "three"}
+    sinks.write_status(spark, str(tmp_path / "status"), done=3, loss=float("nan"))
+    assert json.loads(spark.read.text(str(tmp_path / "status")).first().value) == {"done": 3, "loss": None}
+    for name, lines in (("a", 3), ("b", 2), ("c", 1)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"ids": [k], "f": name}) + "\n" for k in range(lines)))
+    (tmp_path / "note.xyz").write_text("no")
+    at = str(tmp_path / "*.*")
+    assert {(r.path.rpartition("/")[2], r.kind) for r in readers.units(spark, at).collect()} == {("a.jsonl", "jsonl"), ("b.jsonl", "jsonl"), ("c.jsonl", "jsonl")}
+    assert [readers.read_training_rows(spark, at, r, 2).count() for r in (0, 1)] == [4, 2] and readers.read_training_rows(spark, at, 3, 5).count() == 6
+    (tmp_path / "t.jsonl").write_text('{"text": "x"}\n"y"\n\n')
+    assert [r.text for r in readers.read_required_text(spark, str(tmp_path / "t.jsonl")).orderBy("pos").collect()] == ["x", "y"]
+    (tmp_path / "t.jsonl").write_text('{"text": "x"}\n[1]\n')
+    with pytest.raises(Exception, match="t.jsonl:2: no text"):
+        readers.read_required_text(spark, str(tmp_path / "t.jsonl")).collect()
+    readers.source("mine", "b")(lambda s: s.createDataFrame([("p", "t")], "path string, text string"))
+    assert [tuple(r) for r in readers.read_sources(spark, "mine").collect()] == [("p", "t", "mine", "b")]
