@@ -142,6 +142,18 @@ def foreign_gates_whole(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", quality.running_text_reason(t).alias("mongolian"), quality.bucket_reason(t, quality.BUCKETS["mn_cyrillic_legal"]).alias("legal"))
 
 
+MONGOLIAN = "[\\x{1800}-\\x{18af}\\x{11660}-\\x{1167f}]"
+
+
+#: Every second text with its small letters in the script, so that the gate has something to pass.
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[a-z]', 'ᠮ', 'g') ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN length({STRIPPED}) < 80 THEN 'too_short' WHEN len(regexp_extract_all(text, '{MONGOLIAN}')) / {VISIBLE} < 0.55 THEN 'script_impurity' WHEN len(regexp_extract_all(text, '[A-Za-z]')) / {VISIBLE} > 0.20 THEN 'latin_noise'
+WHEN {SYMBOL_RATIO} > 0.35 THEN 'symbol_spam' WHEN {REPEATED} > 0.25 THEN 'repeated_lines' ELSE '' END AS reason FROM t""")
+def script_gate(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[a-z]", "ᠮ")).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("text")).select("doc_id", quality.running_text_reason(F.col("text")).alias("reason"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN length(text) < 80 THEN 'too_short' WHEN len({LINES}) >= 4 AND {REPEATED} > 0.55 THEN 'repeated_lines' ELSE '' END AS code,
 CASE WHEN length(text) < 80 THEN 'too_short' WHEN len({LINES}) >= 4 AND {REPEATED} > 0.55 THEN 'repeated_lines' WHEN {SYMBOLS} / {VISIBLE} > 0.12 THEN 'symbol_spam' ELSE '' END AS prose FROM documents""")
 def bucket_gates(spark, sf_dir):

@@ -35,6 +35,15 @@ def byte_fallback_ids(spark, sf_dir):
     return d.select("doc_id", F.size("h").cast("long").alias("n_ids"), F.md5(F.array_join("h", "").cast("binary")).alias("m"))
 
 
+def _digest(ids):
+    """MD5 of the bytes among ids, in hex; ids beyond bytes and masked labels are left out."""
+    return F.md5(F.array_join(F.transform(F.filter(ids, lambda x: (x >= 0) & (x < 256)), lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "").cast("binary"))
+
+
+def _md5_of(text: str) -> str:
+    return f"md5(lower(hex(encode({text}))))"
+
+
 SIZES = f"SELECT doc_id % 4 AS grp, doc_id AS position, CAST({PROXY} AS BIGINT) AS size FROM documents"
 
 
@@ -65,9 +74,10 @@ def _encoded(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", ids.alias("ids")).withColumn("labels", training_rows.labels(F.col("ids"), F.array(F.lit(10))))
 
 
-@query("SELECT doc_id, length(hex(encode(text))) // 2 AS n, len(regexp_extract_all(text, chr(10))) AS n_masked FROM documents")
+@query(f"SELECT doc_id, length(hex(encode(text))) // 2 AS n, len(regexp_extract_all(text, chr(10))) AS n_masked, {_md5_of('text')} AS ids, {_md5_of('replace(text, chr(10), chr(1))')} AS labels FROM documents")
 def encode_rows(spark, sf_dir):
-    return _encoded(spark, sf_dir).select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x == training_rows.IGNORE)).cast("long").alias("n_masked"))
+    labels = F.transform("labels", lambda x: F.when(x == training_rows.IGNORE, 1).otherwise(x))
+    return _encoded(spark, sf_dir).select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x == training_rows.IGNORE)).cast("long").alias("n_masked"), _digest(F.col("ids")).alias("ids"), _digest(labels).alias("labels"))
 
 
 @query()
@@ -84,10 +94,16 @@ def gate_report(spark, sf_dir):
     return d.select("num_samples", "skipped_empty", "n_tokens", "n_supervised", *[F.col(c).cast("long").alias(c) for c in ("max_length", "max_morph_depth")], "avg_length", "supervised_rate", "passed")
 
 
-@query("SELECT doc_id, least(length(hex(encode(text))) // 2, 512) AS n, true AS supervised FROM documents")
+#: Only what comes before the first space is supervised, so a long row is cut to end there, or 512 bytes on.
+@query("""WITH d AS (SELECT doc_id, lower(hex(encode(text))) AS h, CASE WHEN contains(text, ' ') THEN length(hex(encode(split_part(text, ' ', 1)))) // 2 ELSE length(hex(encode(text))) // 2 END AS first FROM documents),
+c AS (SELECT doc_id, h, first, CASE WHEN length(h) // 2 <= 512 THEN 0 WHEN first = 0 THEN length(h) // 2 - 512 ELSE greatest(0, first - 512) END AS s FROM d)
+SELECT doc_id, CAST(least(length(h) // 2 - s, 512) AS BIGINT) AS n, md5(substr(h, CAST(2 * s + 1 AS BIGINT), 1024)) AS ids, first > 0 AS supervised FROM c""")
 def truncate_rows(spark, sf_dir):
-    d = training_rows.truncate(_encoded(spark, sf_dir), 512)
-    return d.select("doc_id", F.size("ids").cast("long").alias("n"), training_rows.supervised(F.col("labels")).alias("supervised"))
+    space = F.array_position("ids", 32)
+    d = docs(spark, sf_dir).select("doc_id", training_rows.byte_ids(F.col("text")).alias("ids")).withColumn("first", F.when(space > 0, space - 1).otherwise(F.size("ids")))
+    d = d.withColumn("labels", F.transform("ids", lambda x, k: F.when(k < F.col("first"), x).otherwise(training_rows.IGNORE)))
+    d = training_rows.truncate(d, 512)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"), _digest(F.col("ids")).alias("ids"), training_rows.supervised(F.col("labels")).alias("supervised"))
 
 
 WORD_TOKENS = f"(SELECT unnest(regexp_extract_all(text, '[^{SP}]+')) AS token FROM documents)"
@@ -126,17 +142,19 @@ def generation_prompts(spark, sf_dir):
 
 
 @query(f"""SELECT conv_id, CAST(1 + sum(length(hex(encode({PART}))) // 2 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_ids,
-CAST(sum(CASE WHEN role = 'assistant' THEN length(hex(encode(text))) // 2 + 1 ELSE 0 END) AS BIGINT) AS n_supervised FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant')""")
+CAST(sum(CASE WHEN role = 'assistant' THEN length(hex(encode(text))) // 2 + 1 ELSE 0 END) AS BIGINT) AS n_supervised, {_md5_of(f"string_agg({PART}, '' ORDER BY turn, role, text)")} AS ids,
+{_md5_of("string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)")} AS labels FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant')""")
 def sft_rows(spark, sf_dir):
     d = C.sft_rows(_read(spark, sf_dir, "conversations"))
-    return d.select("conv_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"))
+    return d.select("conv_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"), _digest(F.col("ids")).alias("ids"), _digest(F.col("labels")).alias("labels"))
 
 
 @query("""SELECT doc_id, length(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10)))) // 2 AS n_prompt, length(hex(encode(text))) // 2 + 1 + length(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10)))) // 2 AS n_chosen,
-length(hex(encode(source))) // 2 + 1 + length(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10)))) // 2 AS n_rejected FROM documents""")
+length(hex(encode(source))) // 2 + 1 + length(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10)))) // 2 AS n_rejected,
+md5(lower(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10) || text)))) AS chosen, md5(lower(hex(encode('<|user|>' || chr(10) || lang || chr(10) || '<|assistant|>' || chr(10) || source)))) AS rejected FROM documents""")
 def preference_rows(spark, sf_dir):
     d = C.preference_pairs(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("prompt"), F.col("text").alias("chosen"), F.col("source").alias("rejected")))
-    return d.select("doc_id", *[F.size(f"{c}_ids").cast("long").alias(f"n_{c}") for c in ("prompt", "chosen", "rejected")])
+    return d.select("doc_id", *[F.size(f"{c}_ids").cast("long").alias(f"n_{c}") for c in ("prompt", "chosen", "rejected")], _digest(F.col("chosen_ids")).alias("chosen"), _digest(F.col("rejected_ids")).alias("rejected"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS BIGINT) AS n_system, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
@@ -190,6 +208,17 @@ def rewards(spark, sf_dir):
     return d.select("conv_id", "turn", F.coalesce(C.exact_reward(r, ref), F.lit(0.0)).alias("exact"), C.numeric_reward(r, ref).alias("numeric"), C.format_reward(r).alias("form"))
 
 
+#: Answers with the right number, one that is off, or none; with a block of thought, without, with two.
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS numeric, CASE WHEN event_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS form FROM events""")
+def reward_parts(spark, sf_dir):
+    n = F.col("event_id").cast("string")
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("of 7 it is "), n, F.lit(".0."))).when(F.col("event_id") % 3 == 1, F.concat(n, F.lit(" or rather 0.5"))).otherwise("no idea")
+    k = F.col("event_id") % 4
+    thought = F.when(k == 0, F.concat(F.lit("<think>so</think> "), said)).when(k == 1, said).when(k == 2, F.concat(F.lit("<think>a</think><think>b</think>"), said)).otherwise("<think>only</think>")
+    d = _read(spark, sf_dir, "events")
+    return d.select("event_id", C.numeric_reward(said, n).alias("numeric"), C.format_reward(thought).alias("form"))
+
+
 @query("""WITH s AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY user_id)
 SELECT event_id, round((value - m) / (s + 1e-6), 4) AS advantage FROM events JOIN s USING (user_id)""")
 def group_advantages(spark, sf_dir):
@@ -253,9 +282,11 @@ def script_spans(spark, sf_dir):
     return d.select("doc_id", count("space").alias("n_spaces"), count("general").alias("n_general"), count("mn").alias("n_mn"))
 
 
-@query("SELECT doc_id, 'unicode' AS encoding, md5(text) AS m FROM documents")
+#: Letters of the old encoding behind every third text, of the standard one with a variation selector and a narrow space behind every second.
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'mixed' WHEN doc_id % 3 = 0 THEN 'menksoft' ELSE 'unicode' END AS encoding, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(58112) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN chr(6190) || chr(6158) ELSE '' END) AS m FROM documents""")
 def legacy_encoding(spark, sf_dir):
-    t = F.col("text")
+    old, new = F.when(F.col("doc_id") % 3 == 0, "\ue300").otherwise(""), F.when(F.col("doc_id") % 2 == 0, "\u182e\u180b\u202f").otherwise("")
+    t = F.concat("text", old, new)
     return docs(spark, sf_dir).select("doc_id", tokens.legacy_encoding(t).alias("encoding"), F.md5(tokens.nominal_unicode(t).cast("binary")).alias("m"))
 
 
@@ -271,9 +302,9 @@ def vocabulary_union(spark, sf_dir):
     return tokens.vocabulary_union(first, second, specials, (100, 150), (200, 400))
 
 
-@query("SELECT doc_id, length(hex(encode(text))) // 2 + 22 + length(hex(encode(lang))) // 2 AS n_ids, length(hex(encode(text))) // 2 + 1 AS n_supervised, length(hex(encode(text))) // 2 AS n_target FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, length(hex(encode(text))) // 2 + 22 + length(hex(encode(lang))) // 2 AS n_ids, length(hex(encode(text))) // 2 + 1 AS n_supervised, length(hex(encode(text))) // 2 AS n_target, md5(lower(hex(encode(text)))) AS target, md5(lower(hex(encode(lang || text)))) AS ids, md5(lower(hex(encode(text)))) AS labels FROM documents WHERE length(text) > 0")
 def ocr_rows(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", training_rows.byte_ids(F.col("lang")).alias("instruction"), training_rows.byte_ids(F.col("text")).alias("target"))
     built = tokens.ocr_rows(d, 18, 256, 258, 259, 260, 257)
     back = tokens.split_ocr_rows(built.drop("target"), 257)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"), F.size("target").cast("long").alias("n_target"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"), F.size("target").cast("long").alias("n_target"), _digest(F.col("target")).alias("target"), _digest(F.col("ids")).alias("ids"), _digest(F.col("labels")).alias("labels"))
