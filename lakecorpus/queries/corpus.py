@@ -115,29 +115,16 @@ def strip_furniture_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(stripped.cast("binary")).alias("m"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{N.URL}', ' ', 'g'), '{N.EMAIL}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^ | $', '', 'g') AS line FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)")
-def running_lines(spark, sf_dir):
-    line = F.get(N.lines(F.col("text")), 0)
-    t = F.regexp_replace(F.regexp_replace(line, N.URL, " "), N.EMAIL, " ")
-    return docs(spark, sf_dir).select("doc_id", N.strip(F.regexp_replace(t, " {2,}", " ")).alias("line"))
-
-
 @query(rf"SELECT doc_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{N.URL}', ' ', 'g'), '{N.EMAIL}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^[{SP}]+|[{SP}]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS k FROM documents)")
-def running_lines_whole(spark, sf_dir):
+def running_lines(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.posexplode(N.lines(F.col("text"))).alias("k", "line"))
     t = F.regexp_replace(F.regexp_replace("line", N.URL, " "), N.EMAIL, " ")
     return d.select("doc_id", "k", N.strip(F.regexp_replace(t, " {2,}", " ")).alias("line"))
 
 
-@query("SELECT doc_id, 'script_impurity' AS mongolian, CASE WHEN length(text) < 120 THEN 'too_short' ELSE 'script_impurity' END AS legal FROM documents WHERE length(text) >= 90")
-def foreign_gates(spark, sf_dir):
-    t = F.col("text")
-    return docs(spark, sf_dir).where(F.length("text") >= 90).select("doc_id", quality.running_text_reason(t).alias("mongolian"), quality.bucket_reason(t, quality.BUCKETS["mn_cyrillic_legal"]).alias("legal"))
-
-
 @query(f"""SELECT doc_id, CASE WHEN length(coalesce({STRIPPED}, '')) < 80 THEN 'too_short' ELSE 'script_impurity' END AS mongolian,
 CASE WHEN length(coalesce(text, '')) < 120 THEN 'too_short' ELSE 'script_impurity' END AS legal FROM documents""")
-def foreign_gates_whole(spark, sf_dir):
+def foreign_gates(spark, sf_dir):
     t = F.col("text")
     return docs(spark, sf_dir).select("doc_id", quality.running_text_reason(t).alias("mongolian"), quality.bucket_reason(t, quality.BUCKETS["mn_cyrillic_legal"]).alias("legal"))
 
@@ -171,10 +158,11 @@ def dedup_per_bucket(spark, sf_dir):
     return dedup.exact_dedup(docs(spark, sf_dir), within=("source",)).select("source", "exact_key", "doc_id")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, sha1({SQUASHED}) AS k FROM documents WHERE doc_id >= 500) WHERE k NOT IN (SELECT sha1({SQUASHED}) FROM documents WHERE doc_id < 500)")
+#: Some sources came in earlier runs.
+@query(f"SELECT doc_id FROM (SELECT doc_id, sha1({SQUASHED}) AS k FROM documents WHERE source >= 'src15') WHERE k NOT IN (SELECT sha1({SQUASHED}) FROM documents WHERE source < 'src15')")
 def dedup_against_state(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("exact_key", H.exact_key(F.col("text")))
-    return dedup.not_seen(d.where("doc_id >= 500"), d.where("doc_id < 500")).select("doc_id")
+    return dedup.not_seen(d.where("source >= 'src15'"), d.where("source < 'src15'")).select("doc_id")
 
 
 SHINGLES = f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{SP}]+') AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS s FROM t)"
@@ -186,11 +174,12 @@ def shingles4(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.sha1(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
-#: Votes on the 16 top bits of an MD5: what SQL can follow of the signature.
-@query(f"""{SHINGLES}, u AS (SELECT doc_id, CAST('0x' || substr(md5(x), 1, 4) AS BIGINT) AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)), b AS (SELECT doc_id, h, unnest(range(16)) AS b FROM u),
-v AS (SELECT doc_id, b, sum((h >> b) & 1) AS on_, count(*) AS n FROM b GROUP BY ALL) SELECT doc_id, CAST(sum(CASE WHEN 2 * on_ > n THEN 1 << b ELSE 0 END) AS BIGINT) AS sig FROM v GROUP BY doc_id""")
+#: Votes on the 64 top bits of an MD5, which SQL has; near_pairs and near_dedup take a shorter hash that it lacks.
+@query(f"""{SHINGLES}, u AS (SELECT doc_id, CAST('0x' || substr(md5(x), 1, 16) AS UBIGINT) AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)), b AS (SELECT doc_id, h, unnest(range(64)) AS b FROM u),
+v AS (SELECT doc_id, b, sum(CAST((h >> b::UBIGINT) & 1::UBIGINT AS INTEGER)) AS on_, count(*) AS n FROM b GROUP BY ALL), w AS (SELECT doc_id, sum(CASE WHEN 2 * on_ > n THEN CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << b::INTEGER END ELSE 0::HUGEINT END) AS sig FROM v GROUP BY doc_id)
+SELECT doc_id, CAST(sig AS BIGINT) AS sig FROM w""")
 def simhash_votes(spark, sf_dir):
-    h = F.transform(H.shingles(M.tokens(F.col("text"))), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 4), 16, 10).cast("long"))
+    h = F.transform(H.shingles(M.tokens(F.col("text"))), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 16), 16, -10).cast("long"))
     d = docs(spark, sf_dir).select("doc_id", h.alias("h"))
     return d.select("doc_id", H.simhash_of_hashes(F.col("h")).alias("sig"))
 

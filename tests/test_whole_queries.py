@@ -45,7 +45,7 @@ def test_rates_of_whole_texts_and_all_items(spark, tables):
     docs = [(k, text(rng.choice([0, 40, 200])) if k else None, rng.choice(["en", "fr"])) for k in range(120)]
     at = tables(benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string"))
     pairs = [(k, lang, t or "", items[k % 50][1]) for k, t, lang in docs]
-    got = {r.lang: (r.n, r.edits, r.ref_chars) for r in QUERIES["error_rates_whole"][0](spark, at).collect()}
+    got = {r.lang: (r.n, r.edits, r.ref_chars) for r in QUERIES["error_rates"][0](spark, at).collect()}
     for lang in ("en", "fr"):
         mine = [(p, r) for _, x, p, r in pairs if x == lang]
         assert got[lang] == (len(mine), sum(distance(p, r) for p, r in mine), sum(len(r) for _, r in mine))
@@ -69,7 +69,7 @@ def test_chunks_and_lines_of_whole_texts(spark, tables):
     for lines in chunks.values():
         assert all(len(x) <= 60 or " " not in x for x in lines)
         assert all(len(x) + 1 + len(y.split()[0]) > 60 for x, y in zip(lines, lines[1:]))
-    query, sql = QUERIES["running_lines_whole"]
+    query, sql = QUERIES["running_lines"]
     got = sorted((r.doc_id, r.k, r.line) for r in query(spark, at).collect())
     assert [(k, x) for d, k, x in got if d == 42] == [(0, "one"), (1, ""), (2, "two three"), (3, "four")]
     assert len(got) == sum(t.count("\n") + 1 for _, t in docs if t is not None) and not any("http" in x or "@" in x for _, _, x in got)
@@ -83,7 +83,7 @@ def test_chunks_and_lines_of_whole_texts(spark, tables):
 def test_foreign_gates_of_all_rows(spark, tables):
     docs = [(1, None), (2, ""), (3, "short"), (4, "a" * 79), (5, "b" * 80), (6, " " * 50 + "c" * 60), (7, "d" * 119), (8, "e" * 120)]
     at = tables(documents=(docs, "doc_id long, text string"))
-    query, sql = QUERIES["foreign_gates_whole"]
+    query, sql = QUERIES["foreign_gates"]
     got = {r.doc_id: (r.mongolian, r.legal) for r in query(spark, at).collect()}
     short, script = "too_short", "script_impurity"
     assert got == {1: (short, short), 2: (short, short), 3: (short, short), 4: (short, short), 5: (script, short), 6: (short, short), 7: (script, short), 8: (script, script)}
