@@ -14,7 +14,8 @@ from .common import cut
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Hangs the neighbours of each node that are larger (or, small star, not larger) on its least neighbour."""
     both = links.select("u", "v").union(links.select(F.col("v"), F.col("u"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join reads two plain exchanges and the engine can split a node with many neighbours
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
