@@ -60,10 +60,23 @@ def shuffled(rows: DataFrame, seed: int = 0, *keys: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
+def numbered_within(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """Adds turn, from 1: the place of each row among those of its key by position.
+
+    Rows are sorted by key and position over all tasks, so a common key fills many; places are counted from the first of each key in each of them.
+    """
+    placed = checkpointed(rows.orderBy(key, position).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # a row for each key in each part of the sort
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), "_first", before.alias("_before"))
+    joined = placed.join(runs, placed[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*[placed[c] for c in rows.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("turn"))
+
+
 def interleave(rows: DataFrame, source: str = "source", position: str = "doc_id") -> DataFrame:
     """Adds turn: the order in which sources take turns, each by position."""
-    k = F.row_number().over(Window.partitionBy(source).orderBy(position))
-    return rows.withColumn("turn", k)
+    return numbered_within(rows, source, position)
 
 
 def report(emitted: DataFrame, *keys: str) -> DataFrame:
