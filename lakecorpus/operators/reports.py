@@ -161,9 +161,9 @@ def top_k(scores: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 def best_pair(pairs: DataFrame) -> DataFrame:
-    """The most frequent pair (left, right, n), ties by its text: one row, by a partial maximum."""
-    best = F.max_by(F.struct("left", "right", "n"), F.struct("n", F.struct("left", "right")))
-    return pairs.agg(best.alias("b")).where(F.col("b").isNotNull()).select("b.*")
+    """The most frequent pair (left, right, n), of equal ones the least: one row, by a partial minimum."""
+    best = F.min(F.struct((-F.col("n")).alias("_n"), "left", "right", "n"))
+    return pairs.agg(best.alias("b")).where(F.col("b").isNotNull()).select("b.left", "b.right", "b.n")
 
 
 def best_candidate(candidates: DataFrame, *keys: str) -> DataFrame:

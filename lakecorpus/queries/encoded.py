@@ -166,7 +166,7 @@ def top_tokens(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT token, count(*) AS n FROM {WORDS} GROUP BY token), p AS (SELECT token, n, unnest(range(1, length(token))) AS i FROM w), q AS (SELECT substring(token, i, 1) AS "left", substring(token, i + 1, 1) AS "right", CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL)
-SELECT * FROM q ORDER BY n DESC, "left" DESC, "right" DESC LIMIT 1""")
+SELECT * FROM q ORDER BY n DESC, "left", "right" LIMIT 1""")
 def best_pair(spark, sf_dir):
     return reports.best_pair(tokens.pair_counts(tokens.word_counts(docs(spark, sf_dir))))
 
