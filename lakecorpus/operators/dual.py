@@ -270,7 +270,8 @@ _kept: dict = {}
 
 
 def _made(make: Callable[[], DualTokenizer]) -> DualTokenizer:
-    key = (make.__module__, getattr(make, "__qualname__", repr(make)), repr(getattr(make, "args", "")))
+    f = getattr(make, "func", make)  # of a partial
+    key = (f.__module__, f.__qualname__, repr(getattr(make, "args", "")), repr(getattr(make, "keywords", "")))
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -327,13 +329,11 @@ MIXED = "regexp_replace(text, '(the|der|les|que)', 'ᠮᠣᠩᠭᠣᠯ', 'g')"
 _LETTERS = "ᠮᠣᠩᠭᠯ"
 
 
-def _dual():
-    """A tokenizer of both tracks: letters of the script with two merges, and a public byte-level vocabulary."""
-    import public_tokenizers
-
+def _dual(path: str):
+    """A tokenizer of both tracks: letters of the script with two merges, and the byte-level vocabulary of a file that every executor has."""
     from lakecorpus.operators import dual
 
-    general = dual.General(public_tokenizers.path("byte_bpe_50k.json"))
+    general = dual.General(path)
     pieces = {t: k for k, t in enumerate(["<unk>", *_LETTERS, "ᠮᠣ", "ᠮᠣᠩ"])}
     segment = (24576, 131072)
     vocabulary = dual.unified(pieces, general.vocabulary, (300, 24576), segment)
@@ -347,10 +347,13 @@ def _mixed(spark, sf_dir):
 #: Each word of the script is ᠮᠣᠩ and three letters; spaces are one token each; all texts come back.
 @query(f"SELECT doc_id, 4 * len(regexp_extract_all(t, 'ᠮᠣᠩᠭᠣᠯ')) AS n_mn, len(regexp_extract_all(t, ' ')) AS n_space, CAST(length(t) AS BIGINT) AS n_covered, md5(t) AS m FROM (SELECT doc_id, {MIXED} AS t FROM documents)")
 def dual_tokens(spark, sf_dir):
+    import public_tokenizers
+
     from lakecorpus.operators import dual
 
-    d = _mixed(spark, sf_dir).select("doc_id", dual.encode_column(F.col("text"), _dual).alias("t"))
-    d = d.select("doc_id", "t", dual.decode_column(F.transform("t", lambda x: x["id"]), _dual).alias("back"))
+    make = functools.partial(_dual, public_tokenizers.path("byte_bpe_50k.json"))
+    d = _mixed(spark, sf_dir).select("doc_id", dual.encode_column(F.col("text"), make).alias("t"))
+    d = d.select("doc_id", "t", dual.decode_column(F.transform("t", lambda x: x["id"]), make).alias("back"))
     of = lambda track: F.size(F.filter("t", lambda x: x["track"] == track)).cast("long")
     # a character of several bytes may lie in several tokens: what is covered is counted from each token's end
     covered = F.aggregate("t", F.lit(0), lambda a, x: F.greatest(a, x["end"]))

@@ -198,8 +198,13 @@ def test_two_tracks(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(saved))
     with pytest.raises(ValueError, match="twice"):
         dual.load(str(tmp_path / "t.json"), t.general, (400, 70_000))
-    d = spark.createDataFrame([(text,), (None,), ("",)], "x string").select("x", dual.encode_column(F.col("x"), _dual).alias("t"))
-    d = d.select("x", "t", dual.decode_column(F.transform("t", lambda s: s["id"]), _dual).alias("back"))
+    import functools
+
+    import public_tokenizers
+
+    make = functools.partial(_dual, public_tokenizers.path("byte_bpe_50k.json"))
+    d = spark.createDataFrame([(text,), (None,), ("",)], "x string").select("x", dual.encode_column(F.col("x"), make).alias("t"))
+    d = d.select("x", "t", dual.decode_column(F.transform("t", lambda s: s["id"]), make).alias("back"))
     assert [(r.back, len(r.t) > 0) for r in d.collect()] == [(text, True), ("", False), ("", False)]
 
 
