@@ -5,8 +5,8 @@ its rarity, so sorted codes stand in order of rarity. Two sets with a Jaccard
 similarity of at least t share a code within their prefixes of n - ceil(t n) + 1 codes. Pairs that meet in a
 code pass the length filter, the positional filter and a bound from 128-bit parity bitmaps before they are verified on the whole sets.
 
-Lines in large groups of variants would meet in squares. So each line first meets only the earliest lines of
-its length class under each of its rarest codes, and the ones just before it; the likeliest of those are verified. What that settles no longer
+Lines in large groups of variants would meet in squares. So where lines of a length class share one of their rarest codes, each first meets
+only the earliest of them, and the ones just before it; the likeliest of those are verified. What that settles no longer
 asks, it only answers. The other lines then meet all earlier ones.
 """
 
@@ -130,10 +130,12 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     slim = cut(lines.alias("l").join(sets.alias("s"), ["k1", "k2"]).select("l._doc", "l._th", "l._line", "s.id", first.alias("first")), "line-ids")
     drop_cut(lines)
 
-    # first round: a few lines of the length class under each of the rarest codes
+    # first round: a few lines of the length class under each of the rarest codes; most of these codes have one line, which meets nobody
     order = Window.partitionBy("code", "band").orderBy("b.id")
     w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = sets.select(F.struct("id", "n", "low", "high").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
+    rare = sets.select(F.struct("id", "n", "low", "high").alias("b"), _band(F.col("n"), t).alias("band"), F.explode(F.slice("prefix", 1, config.leader_codes)).alias("code"))
+    shared = cut(rare.groupBy("code", "band").count().where(F.col("count") > 1).select("code", "band"), "shared-codes")
+    met = rare.join(shared, ["code", "band"], "left_semi")
     others = [F.nth_value("b", k).over(w) for k in range(1, config.leaders + 1)] + [F.lag("b", k).over(order) for k in range(1, config.leaders)]
     met = met.select("b", *[x.alias(f"a{k}") for k, x in enumerate(others)])
     tried = [F.when((F.col(f"a{k}.id") < F.col("b.id")) & _plausible(f"a{k}", "b", t), F.struct(_apart(f"a{k}", "b").alias("apart"), F.col(f"a{k}.id").alias("id"))) for k in range(len(others))]
