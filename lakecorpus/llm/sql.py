@@ -30,6 +30,21 @@ _PASSES = " AND ".join([*(_inside(k, n, e, f"{r}_high", "+", "<=") for r, (k, n,
 _SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s"
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w"
 
+#: Rows of CRC-32: what each byte adds.
+_CRC_TABLE = "crc_table AS MATERIALIZED (SELECT CAST(b AS UINTEGER) AS b, CAST(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS UINTEGER) AS v FROM range(256) t(b))"
+
+
+def _crc(strings: str, name: str) -> str:
+    """A table (f, crc) of the distinct f of a table, a byte a round."""
+    return f"""{name}_steps AS (
+    SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS n, 0 AS k, CAST(4294967295 AS UINTEGER) AS crc FROM (SELECT DISTINCT f FROM {strings})
+    UNION ALL SELECT f, h, n, k + 1, xor(crc // 256, v) FROM {name}_steps JOIN crc_table ON b = xor(crc % 256, CAST('0x' || substr(h, 2 * k + 1, 2) AS UINTEGER)) WHERE k < n
+), {name} AS MATERIALIZED (SELECT f, CAST(xor(crc, 4294967295) AS BIGINT) AS crc FROM {name}_steps WHERE k = n)"""
+
+
+_RUN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+_RUNS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f"
+
 SQL: dict[str, str] = {
     "op3_decontamination": f"""
 WITH dw AS (SELECT doc_id, {_WORDS} FROM documents), iw AS (SELECT item_id, {_WORDS} FROM benchmark),
@@ -66,5 +81,18 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
+""",
+    "op13_importance_resampling": rf"""
+WITH RECURSIVE {_CRC_TABLE}, d AS MATERIALIZED (SELECT doc_id, {_RUN_WORDS} FROM documents), b AS (SELECT {_RUN_WORDS} FROM benchmark),
+df AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, {_RUNS} FROM d) GROUP BY ALL), bf AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT {_RUNS} FROM b) GROUP BY ALL),
+{_crc("(SELECT f FROM df UNION SELECT f FROM bf)", "crcs")},
+s AS (SELECT crc % 10000 AS bucket, sum(n) AS s FROM df JOIN crcs USING (f) GROUP BY ALL), t AS (SELECT crc % 10000 AS bucket, sum(n) AS t FROM bf JOIN crcs USING (f) GROUP BY ALL),
+c AS (SELECT r.bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM c),
+w AS (SELECT doc_id, sum(n * gain) AS weight FROM df JOIN crcs USING (f) JOIN g ON crc % 10000 = bucket GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT)::DOUBLE + 0.5) / 4294967296))) AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM x)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND r <= 5 * able // 100 THEN r END AS rank FROM r
 """,
 }
