@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, token_counts
+from . import bpe, chat_format, conversation_repair, language_id, token_counts
 from .common import table
 from .decontaminate import leaks
 from .html_extract import extract_text
@@ -71,12 +71,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.mark_faults(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    return conversation_repair.digests(conversation_repair.repair(rows))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup, "op13_importance_resampling": op13_importance_resampling}
+    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:

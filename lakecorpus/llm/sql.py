@@ -45,6 +45,29 @@ def _crc(strings: str, name: str) -> str:
 _RUN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
 _RUNS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f"
 
+#: What is to be paid, the letters and the rows that come, from each state of the roles behind it.
+_STATES = (("u", 2), ("u", 2), ("a", 3), ("u", 2))
+
+
+def _way(q: int, cost: str, letter: str, row: str, to: int) -> str:
+    return f"{{'c': g{to}.c + {cost}, 'a': '{letter}' || g{to}.a, 't': {row} || g{to}.t}}"
+
+
+def _consumed(q: int) -> str:
+    """The best way on from state q that takes the row ``o`` next."""
+    role, to = _STATES[q]
+    name = {"u": "user", "a": "assistant"}[role]
+    must, broken = "o.fault IN ('blank', 'duplicate')", "CASE WHEN o.fault = 'truncated' THEN 1 ELSE 0 END"
+    line = "':' || o.text || chr(10)"
+    ways = [_way(q, "3", "D", "''", q), f"CASE WHEN NOT {must} THEN {_way(q, f'2 + {broken}', 'R', repr(name) + ' || ' + line, to)} END"]
+    ways += [f"CASE WHEN NOT {must} AND left(o.role, 1) = '{r}' THEN {_way(q, broken, 'K', 'o.role || ' + line, t)} END" for r, t in ([("s", 1), ("u", 2)] if q == 0 else [(role, to)])]
+    return f"list_min([{', '.join(ways)}]) AS h{q}"
+
+
+def _insert(role: str, of: str) -> str:
+    return f"{{'c': {of}.c + 2, 'a': 'I' || {of}.a, 't': '{role}:' || chr(10) || {of}.t}}"
+
+
 SQL: dict[str, str] = {
     "op3_decontamination": f"""
 WITH dw AS (SELECT doc_id, {_WORDS} FROM documents), iw AS (SELECT item_id, {_WORDS} FROM benchmark),
@@ -81,6 +104,27 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
+""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE}, k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS f FROM conversations),
+{_crc("k", "crcs")},
+r AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k JOIN crcs USING (f)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM r),
+o AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair, lag(role) OVER (PARTITION BY conv_id ORDER BY i) IS NOT NULL AS later FROM n),
+c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (later AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM o GROUP BY conv_id),
+way AS (
+    SELECT conv_id, n AS i, {{'c': 0, 'a': '', 't': ''}} AS g0, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS g1, {{'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)}} AS g2, {{'c': 0, 'a': '', 't': ''}} AS g3 FROM c
+    UNION ALL
+    SELECT conv_id, i, list_min([h0, {_insert("user", "g2")}]), list_min([h1, {_insert("user", "g2")}]), g2, g3 FROM
+        (SELECT conv_id, i, h0, h1, list_min([h2, {_insert("assistant", "h3")}]) AS g2, list_min([h3, {_insert("user", "h2")}]) AS g3 FROM
+        (SELECT w.conv_id, w.i - 1 AS i, {", ".join(map(_consumed, range(4)))} FROM way w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i))
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(g0.c, 0) AS BIGINT) AS cost, coalesce(g0.a, '') AS audit, sha256(coalesce(left(g0.t, length(g0.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN way w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.i = 0
 """,
     "op13_importance_resampling": rf"""
 WITH RECURSIVE {_CRC_TABLE}, d AS MATERIALIZED (SELECT doc_id, {_RUN_WORDS} FROM documents), b AS (SELECT {_RUN_WORDS} FROM benchmark),
