@@ -86,8 +86,8 @@ class _Words:
         return out
 
 
-def _runs(texts: pa.Array, each: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
-    """Calls ``each`` for each block with the documents of its words, the CRCs of the runs that end with them (a column for each length), and which of them there are."""
+def runs(texts: pa.Array, each: Callable[[np.ndarray, np.ndarray, np.ndarray], None], longest: int = RUN) -> None:
+    """Calls ``each`` for each block with the documents of its words, the CRCs of the runs that end with them (a row for each length), and which of them there are."""
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, values = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -97,8 +97,8 @@ def _runs(texts: pa.Array, each: Callable[[np.ndarray, np.ndarray, np.ndarray],
     at = at - base
     raw = np.frombuffer(values, dtype=np.uint8)[base : base + size]
     # the last word of the block before: its document, the words of that in front, and its states
-    last_doc, before = -1, np.zeros(RUN - 1, dtype=np.uint32)
-    there = np.zeros(RUN - 1, dtype=bool)
+    last_doc, before = -1, np.zeros(longest - 1, dtype=np.uint32)
+    there = np.zeros(longest - 1, dtype=bool)
     begin = 0
     while begin < size:
         end = min(begin + BLOCK, size)
@@ -120,11 +120,11 @@ def _runs(texts: pa.Array, each: Callable[[np.ndarray, np.ndarray, np.ndarray],
             docs = np.searchsorted(at, starts + begin, side="right") - 1
             words = _Words(data, starts, sizes)
             n = len(starts)
-            states = np.empty((RUN, n), dtype=np.uint32)
-            valid = np.ones((RUN, n), dtype=bool)
+            states = np.empty((longest, n), dtype=np.uint32)
+            valid = np.ones((longest, n), dtype=bool)
             same = docs == np.r_[last_doc, docs[:-1]]
             states[0] = words.advance(np.full(n, _FULL))
-            for k in range(1, RUN):
+            for k in range(1, longest):
                 front = np.r_[before[k - 1], states[k - 1, :-1]]
                 states[k] = words.advance(_step(front, _SPACE))
                 valid[k] = same & np.r_[there[k - 1], valid[k - 1, :-1]]
@@ -144,7 +144,7 @@ def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
             total += np.bincount(crc[valid] % np.uint32(buckets), minlength=buckets)
 
         for batch in batches:
-            _runs(batch.column("text"), each)
+            runs(batch.column("text"), each)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "n"])
 
@@ -180,7 +180,7 @@ def weigh(docs: DataFrame, gains: DataFrame, keep: tuple[str, ...] = ("doc_id",)
                 words += np.bincount(docs, minlength=n)
                 weight += np.bincount(docs, weights=gain, minlength=n).astype(np.int64)  # whole numbers, exact in doubles
 
-            _runs(batch.column("_text"), each)
+            runs(batch.column("_text"), each)
             features = sum(np.maximum(words - k, 0) for k in range(RUN))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(words), pa.array(features), pa.array(weight)], names=["_row", "n_words", "n_features", "weight"])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, conversation_repair, language_id, token_counts
+from . import bpe, chat_format, conversation_repair, language_id, quality_classifier, token_counts
 from .common import table
 from .decontaminate import leaks
 from .html_extract import extract_text
@@ -71,6 +71,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(quality_classifier.sample_labelled(docs, table(spark, sf_dir, "labels")))
+    judged = docs.withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+    return quality_classifier.classify(judged, model, keep=("doc_id", "held_out"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.mark_faults(conversation_repair.damage(table(spark, sf_dir, "conversations")))
     return conversation_repair.digests(conversation_repair.repair(rows))
@@ -81,7 +88,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling}
+    return {"op1_language_id": op1_language_id, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_bpe": op6_bpe, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_chat_format": op9_chat_format, "op10_line_dedup": op10_line_dedup, "op11_quality_classifier": op11_quality_classifier, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,7 +62,7 @@ def test_runs_equal_those_of_each_text(texts, block, skip):
 
     before, ir.BLOCK = ir.BLOCK, block
     try:
-        ir._runs(pa.array(texts, type=pa.string())[skip:], each)
+        ir.runs(pa.array(texts, type=pa.string())[skip:], each)
     finally:
         ir.BLOCK = before
     assert [sorted(g) for g in got] == [sorted(crcs(t)[0]) for t in texts[skip:]]
