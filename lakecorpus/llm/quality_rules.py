@@ -1,14 +1,16 @@
 """Quality rules with adaptive thresholds, DataFrame functions only.
 
 Fixed cutoffs are replaced by fences that follow from mergeable quantile
-sketches (KLL) and nothing else. One sketch is built for each rule and each (language, source),
-partially on each task and merged after the shuffle; the sketches of sources
+sketches (KLL) and nothing else. Two sketches are built for each rule and each (language, source), one of all documents and one of those
+that show what the rule is about at all, partially on each task and merged after the shuffle; the sketches of sources
 are merged into those of their language and those into one for the corpus. The fences
 are then joined to the documents and the filter applied.
 
-A fence is a rate, and a document shows only so many events of it: its count is held against the
+Most texts have no symbols or repeated lines whatever, so quantiles over all documents are 0 there. What the group as a whole shows of it is then the
+fence: the share of documents that have any, times the lower quartile of those (junk, which has most, doesn't raise it). It is a rate: a long document may have
+more of it than a short one. Its count is held against the
 count that the fence gives for its length, give or take the deviation of a count of that size. So one repeated line of three
-passes where no line repeats as a rule, and thirty of ninety don't.
+passes where few lines repeat as a rule, three of four hundred do, and thirty of ninety don't.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ WINDOW = 8
 class QualityConfig:
     """Parameters of the fences.
 
-    A rule's upper fence in a group is ``q75 + spread * (q75 - q25)``, its lower fence ``q25 - spread * (q75 - q25)``, where that is
-    above 0. A document may be over the count that its fence gives by ``tolerance`` standard
+    A rule's upper fence in a group is ``q75 + spread * (q75 - q25)``, and for events (all rules but the length of words) at least the share of documents that
+    have any times the lower quartile of those; its lower fence is ``q25 - spread * (q75 - q25)``, where that is
+    above 0. Shares are drawn towards that of the wider group with the weight of ``least_docs`` documents; the quartile is the wider group's where fewer than ``least_docs`` have any. A document may be over the count that its fence gives by ``tolerance`` standard
     deviations of that count and one event more. A source's upper fence is at
     most ``over_language`` times that of its language, so a source that consists of junk can't
     set its own standard. Groups of fewer than ``least_docs`` documents use the next wider group.
@@ -115,28 +118,48 @@ def fences(measured: DataFrame, config: QualityConfig = QualityConfig()) -> Data
     values = rule_values()
     sound = measured.where(~base_failed(config)).select("_lang", "_source", *[v.alias(r) for r, v in values.items()])
     k = F.lit(config.sketch_k)
-    by_source = sound.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_docs"), *[F.kll_sketch_agg_double(r, k).alias(r) for r in RULES]).withColumn("_corpus", F.lit(1))
-    by_source = cut(by_source, "quality-sketches")
-    merged = lambda *keys: by_source.groupBy(*keys).agg(F.sum("_docs").alias("_docs"), *[F.kll_merge_agg_double(r, k).alias(r) for r in RULES])
+    seen = lambda r: F.when(F.col(r) > 0, F.col(r))
+    first = [F.count(F.lit(1)).alias("_docs")]
+    for r in RULES:
+        first += [F.kll_sketch_agg_double(r, k).alias(r), F.count(seen(r)).alias(f"{r}_n"), F.kll_sketch_agg_double(seen(r), k).alias(f"{r}_some")]
+    by_source = cut(sound.groupBy("_lang", "_source").agg(*first).withColumn("_corpus", F.lit(1)), "quality-sketches")
+
+    def merged(*keys: str) -> DataFrame:
+        again = [F.sum("_docs").alias("_docs")]
+        for r in RULES:
+            again += [F.kll_merge_agg_double(r, k).alias(r), F.sum(f"{r}_n").alias(f"{r}_n"), F.kll_merge_agg_double(f"{r}_some", k).alias(f"{r}_some")]
+        return by_source.groupBy(*keys).agg(*again)
 
-    def fenced(sketches: DataFrame, tag: str, *keys: str) -> DataFrame:
-        out = {}
+    def summed(sketches: DataFrame, tag: str, *keys: str) -> DataFrame:
+        """What the fences take from the sketches of a group: its size and, for each rule, bounds from quantiles, documents that show it at all, and their lower quartile."""
+        out = [F.col("_docs")]
         for r in RULES:
             q25, q75 = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75))
-            out[f"{r}_high"] = q75 + config.spread * (q75 - q25)
+            some = F.when(F.col(f"{r}_n") > 0, F.kll_sketch_get_quantile_double(f"{r}_some", F.lit(0.25))).otherwise(0.0)
+            out += [(q75 + config.spread * (q75 - q25)).alias(f"{r}_high"), F.col(f"{r}_n"), some.alias(f"{r}_some")]
             if r == "word_length":
-                out[f"{r}_low"] = F.greatest(F.lit(0.0), q25 - config.spread * (q75 - q25))
-        return sketches.select(*keys, F.struct("_docs", *[v.alias(n) for n, v in out.items()]).alias(tag))
+                out.append(F.greatest(F.lit(0.0), q25 - config.spread * (q75 - q25)).alias(f"{r}_low"))
+        return sketches.select(*keys, F.struct(*out).alias(tag))
 
-    top = fenced(merged("_corpus"), "_all", "_corpus")
-    lang = fenced(merged("_lang"), "_by_lang", "_lang")
-    source = fenced(by_source, "_by_source", "_lang", "_source", "_corpus")
+    top = summed(merged("_corpus"), "_all", "_corpus")
+    lang = summed(merged("_lang"), "_by_lang", "_lang")
+    source = summed(by_source, "_by_source", "_lang", "_source", "_corpus")
     both = source.join(lang, "_lang").join(top, "_corpus")
+    tags, least = ("_all", "_by_lang", "_by_source"), config.least_docs
     picks = []
-    for r in (*[f"{x}_high" for x in RULES], "word_length_low"):
-        wide = F.when(F.col("_by_lang._docs") >= config.least_docs, F.col(f"_by_lang.{r}")).otherwise(F.col(f"_all.{r}"))
-        near = F.col(f"_by_source.{r}") if r.endswith("_low") else F.least(F.col(f"_by_source.{r}"), config.over_language * wide)
-        picks.append(F.when(F.col("_by_source._docs") >= config.least_docs, near).otherwise(wide).alias(r))
+    for r in RULES:
+        share, typical, high = F.lit(0.0), F.lit(0.0), []
+        for tag in tags:
+            # shares lean on those of the wider group, quartiles are its own from enough documents on
+            share = (F.col(f"{tag}.{r}_n") + least * share) / (F.col(f"{tag}._docs") + least) if tag != "_all" else F.col(f"{tag}.{r}_n") / F.col(f"{tag}._docs")
+            typical = F.when(F.col(f"{tag}.{r}_n") >= least, F.col(f"{tag}.{r}_some")).otherwise(typical) if tag != "_all" else F.col(f"{tag}.{r}_some")
+            bound = F.col(f"{tag}.{r}_high")
+            high.append(bound if r == "word_length" else F.greatest(bound, share * typical))
+        wide = F.when(F.col("_by_lang._docs") >= least, high[1]).otherwise(high[0])
+        near = F.least(high[2], config.over_language * wide)
+        picks.append(F.when(F.col("_by_source._docs") >= least, near).otherwise(wide).alias(f"{r}_high"))
+    low = [F.col(f"{tag}.word_length_low") for tag in tags]
+    picks.append(F.when(F.col("_by_source._docs") >= least, low[2]).when(F.col("_by_lang._docs") >= least, low[1]).otherwise(low[0]).alias("word_length_low"))
     return both.select("_lang", "_source", *picks)
 
 

@@ -8,17 +8,22 @@ _RULES = {"symbol_ratio": ("n_symbols", "n_words", 1.0), "dup_line_ratio": ("n_d
 
 
 def _fences(keys: str, name: str) -> str:
-    """Fences of groups from exact quantiles: a sketch of 1024 items is exact on groups as small as those of the test tables."""
+    """What fences of groups take from exact quantiles: a sketch of 1024 items is exact on groups as small as those of the test tables."""
     q = lambda r, x: f"list_sort(list({r}))[CAST(greatest(1, ceil({x} * count(*))) AS BIGINT)]"
-    high = ", ".join(f"{q(r, 0.75)} + 3.0::DOUBLE * ({q(r, 0.75)} - {q(r, 0.25)}) AS {r}_high" for r in _RULES)
+    high = ", ".join(f"{q(r, 0.75)} + 3.0::DOUBLE * ({q(r, 0.75)} - {q(r, 0.25)}) AS {r}_high, count(*) FILTER ({r} > 0) AS {r}_n, coalesce(list_sort(list({r}) FILTER ({r} > 0))[CAST(greatest(1, ceil(0.25 * count(*) FILTER ({r} > 0))) AS BIGINT)], 0) AS {r}_some" for r in _RULES)
     low = f"greatest(0.0::DOUBLE, {q('word_length', 0.25)} - 3.0::DOUBLE * ({q('word_length', 0.75)} - {q('word_length', 0.25)})) AS word_length_low"
     return f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) AS docs, {high}, {low} FROM sound {'GROUP BY ' + keys if keys else ''})"
 
 
-def _pick(c: str) -> str:
-    wide = f"(CASE WHEN l.docs >= 30 THEN l.{c} ELSE a.{c} END)"
-    near = f"s.{c}" if c.endswith("_low") else f"least(s.{c}, 1.5::DOUBLE * {wide})"
-    return f"CASE WHEN s.docs >= 30 THEN {near} ELSE {wide} END AS {c}"
+def _pick(r: str) -> str:
+    """The upper fence of a rule in a group: of all (a), its language (l) and its source (s)."""
+    high, share, typical = {}, "", ""
+    for t in "als":
+        share = f"({t}.{r}_n + 30 * {share}) / ({t}.docs + 30)" if share else f"({t}.{r}_n / {t}.docs)"
+        typical = f"CASE WHEN {t}.{r}_n >= 30 THEN {t}.{r}_some ELSE {typical} END" if typical else f"{t}.{r}_some"
+        high[t] = f"{t}.{r}_high" if r == "word_length" else f"greatest({t}.{r}_high, {share} * ({typical}))"
+    wide = f"(CASE WHEN l.docs >= 30 THEN {high['l']} ELSE {high['a']} END)"
+    return f"CASE WHEN s.docs >= 30 THEN least({high['s']}, 1.5::DOUBLE * {wide}) ELSE {wide} END AS {r}_high"
 
 
 def _inside(count: str, of: str, event: float, fence: str, sign: str, than: str) -> str:
@@ -89,7 +94,7 @@ m AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio,
     CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_ratio, CASE WHEN n_words > 0 THEN n_stutters / n_words ELSE 0.0 END AS stutter_ratio, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS word_length FROM m),
 sound AS (SELECT * FROM v WHERE NOT base_failed), {_fences("lang, source", "s")}, {_fences("lang", "l")}, {_fences("", "a")},
-f AS (SELECT s.lang, s.source, {", ".join(_pick(c) for c in (*[f"{r}_high" for r in _RULES], "word_length_low"))} FROM s JOIN l ON s.lang = l.lang CROSS JOIN a)
+f AS (SELECT s.lang, s.source, {", ".join(map(_pick, _RULES))}, CASE WHEN s.docs >= 30 THEN s.word_length_low WHEN l.docs >= 30 THEN l.word_length_low ELSE a.word_length_low END AS word_length_low FROM s JOIN l ON s.lang = l.lang CROSS JOIN a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSES} AS kept FROM v LEFT JOIN f ON v.lang = f.lang AND v.source = f.source
 """,
     "op9_chat_format": rf"""

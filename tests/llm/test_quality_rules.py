@@ -100,3 +100,48 @@ def test_odd_rows(odd_docs):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert quality_rules(odd_docs.limit(0)).count() == 0 and keep_quality(odd_docs.limit(0)).count() == 0
     assert quality_rules(odd_docs.where(F.col("text") == "")).count() == 1
+
+
+def test_fences_of_rare_events(spark, docs_of):
+    """Where most documents have none, the fence follows from those that have some; it isn't 0, differs by group, and grows with length."""
+    from lakecorpus.llm.common import cut, group_key
+    from lakecorpus.llm.quality_rules import base_metrics, fences
+
+    rng = random.Random(4)
+
+    def page(lines, again):
+        text = [prose(rng, 9) for _ in range(lines)]
+        return "\n".join(text + text[:again])
+
+    rows = [(i, page(12, 2 if i % 10 == 0 else 0), "en", "web") for i in range(300)] + [(1000 + i, page(12, 1 if i % 25 == 0 else 0), "en", "news") for i in range(300)]
+    def refrain(lines, times):
+        text = [prose(rng, 9) for _ in range(lines)]
+        return "\n".join(x for k, line in enumerate(text) for x in ([line, "once more"] if k < times else [line]))
+
+    odd = {5000: page(400, 3), 5001: refrain(12, 8), 5002: refrain(400, 81)}
+    docs = docs_of(rows + [(k, t, "en", "web") for k, t in odd.items()])
+    measured = cut(base_metrics(docs.select("text", group_key("lang").alias("_lang"), group_key("source").alias("_source"))).drop("text"), "test")
+    got = {r["_source"]: r.dup_line_ratio_high for r in fences(measured).collect()}
+    assert 0 < got["news"] < got["web"] < 0.05
+    # what the definition says: shares drawn towards the wider group's, times the lower quartile of those that have any; at most 1.5 times the language's
+    share_all = (33 + 12) / 603
+    share_lang = (45 + 30 * share_all) / 633
+    share = (33 + 30 * share_lang) / (303 + 30)
+    rates = sorted([2 / 14] * 30 + [3 / 403, 7 / 20, 80 / 481])
+    both = sorted([*rates, *[1 / 13] * 12])
+    assert abs(got["web"] - min(share * rates[8], 1.5 * share_lang * both[11])) < 1e-12
+    assert abs(got["news"] - (12 + 30 * share_lang) / 330 * both[11]) < 1e-12  # too few of its own
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert kept[5000] and not kept[5001] and not kept[5002]
+
+
+def test_no_fixed_count_decides(spark):
+    """On the tables most fences are above 0 and differ by group; a long text may show more than a short one."""
+    from lakecorpus.llm.common import cut, group_key, table
+    from lakecorpus.llm.quality_rules import RULES, base_metrics, fences
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("text", group_key("lang").alias("_lang"), group_key("source").alias("_source"))
+    got = fences(cut(base_metrics(docs).drop("text"), "test")).collect()
+    for r in RULES:
+        values = [g[f"{r}_high"] for g in got]
+        assert all(v > 0 for v in values) and len(set(values)) > len(values) / 2, r
