@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
-from lakecorpus.operators import boxes, evaluation, tokens, training_rows
+from lakecorpus.operators import boxes, evaluation, merges, tokens, training_rows
 from lakecorpus.operators import conversations as C
 from lakecorpus.sources.readers import with_position
 from lakecorpus.streaming.ingest import history
@@ -296,3 +296,18 @@ def ocr_rows(spark, sf_dir):
     built = tokens.ocr_rows(d, 18, 256, 258, 259, 260, 257)
     back = tokens.split_ocr_rows(built.drop("target"), 257)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"), F.size("target").cast("long").alias("n_target"), _digest(F.col("target")).alias("target"), _digest(F.col("ids")).alias("ids"), _digest(F.col("labels")).alias("labels"))
+
+
+_O, _C = "chr(64976)", "chr(64977)"
+
+
+@query(rf"""WITH RECURSIVE c AS (SELECT unnest(regexp_extract_all(text, '[^ \t\r\n\f\x0b]+')) AS word FROM documents),
+w AS MATERIALIZED (SELECT count(*) AS n, regexp_replace(word, '(.)', {_O} || '\1' || {_C}, 'gs') AS s FROM c GROUP BY word),
+m AS (SELECT 0 AS k, n, s, NULL::VARCHAR AS l, NULL::VARCHAR AS r, 0::BIGINT AS f FROM w
+UNION ALL SELECT k + 1, n, replace(s, {_O} || b.l || {_C} || {_O} || b.r || {_C}, {_O} || b.l || b.r || {_C}), b.l, b.r, b.f FROM m,
+ (SELECT p[1] AS l, p[2] AS r, CAST(sum(n) AS BIGINT) AS f FROM (SELECT n, unnest(list_transform(range(1, len(x)), lambda i: [x[i], x[i + 1]])) AS p FROM (SELECT n, string_split(s[2:length(s) - 1], {_C} || {_O}) AS x FROM m)) GROUP BY ALL ORDER BY f DESC, l, r LIMIT 1) b WHERE k < 24)
+SELECT DISTINCT CAST(k - 1 AS INTEGER) AS rank, l AS "left", r AS "right", l || r AS merged, f AS n FROM m WHERE k > 0""")
+def train_merges(spark, sf_dir):
+    """The first 24 merges from the words of all texts; their number is the feature."""
+    learned, _ = merges.learn_merges(tokens.word_counts(docs(spark, sf_dir)), merges.MergeConfig(merges=24))
+    return learned
