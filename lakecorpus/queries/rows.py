@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
-from lakecorpus.operators import boxes, evaluation, merges, tokens, training_rows
+from lakecorpus.operators import boxes, evaluation, merges, packing, tokens, training_rows
 from lakecorpus.operators import conversations as C
 from lakecorpus.sources.readers import with_position
 from lakecorpus.streaming.ingest import history
@@ -311,3 +311,51 @@ def train_merges(spark, sf_dir):
     """The first 24 merges from the words of all texts; their number is the feature."""
     learned, _ = merges.learn_merges(tokens.word_counts(docs(spark, sf_dir)), merges.MergeConfig(merges=24))
     return learned
+
+
+def _one_order(budget: int, joint: int, sizes: str = f"SELECT doc_id AS position, CAST({PROXY} AS BIGINT) AS size, false AS alone FROM documents", most: int = 1 << 40) -> str:
+    """Next fit over a whole table as recursion: pack and place of each row."""
+    new = f"(w.alone OR o.alone OR w.used + o.size + {joint} > {budget} OR w.place + 1 >= {most})"
+    return f"""WITH RECURSIVE s AS ({sizes}), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY position) AS r FROM s),
+w AS (SELECT r, position, alone, size AS used, 0::BIGINT AS pack, 0::BIGINT AS place FROM o WHERE r = 1 UNION ALL
+ SELECT o.r, o.position, o.alone, CASE WHEN {new} THEN o.size ELSE w.used + o.size + {joint} END, w.pack + CASE WHEN {new} THEN 1 ELSE 0 END, CASE WHEN {new} THEN 0 ELSE w.place + 1 END FROM w JOIN o ON o.r = w.r + 1)"""
+
+
+def _all_sizes(spark, sf_dir):
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("position"), M.token_proxy(F.col("text")).alias("size"))
+
+
+@query(_one_order(4096, 1) + " SELECT position, pack, place FROM w")
+def pack_whole(spark, sf_dir):
+    """Packs of 4,096 tokens over the whole table in one order, end tokens counted."""
+    return packing.next_fit(_all_sizes(spark, sf_dir), packing.PackConfig(4096, joint=1))
+
+
+@query(_one_order(20000, 0, most=40) + " SELECT position, pack AS shard, place FROM w")
+def shards_whole(spark, sf_dir):
+    """Shards of at most 20,000 tokens and 40 rows over the whole table in one order."""
+    return packing.next_fit(_all_sizes(spark, sf_dir), packing.PackConfig(20000, most_rows=40)).withColumnRenamed("pack", "shard")
+
+
+#: A document whose last line is short stands for one with an image there: bytes from the last line feed to the end.
+_LAST = "regexp_extract(text, '\\n([^\\n]{1,40})\\z', 1)"
+_BYTES = "octet_length(encode(text))"
+_SAMPLES = f"""SELECT doc_id AS position, CAST(CASE WHEN {_BYTES} <= 8192 THEN {_BYTES} WHEN {_LAST} <> '' AND {_BYTES} - octet_length(encode({_LAST})) < 8192 THEN {_BYTES} - octet_length(encode({_LAST})) ELSE 8192 END AS BIGINT) AS size,
+ {_LAST} <> '' AS alone, hex(encode(text)) AS h, {_BYTES} AS n FROM documents WHERE {_BYTES} > 0"""
+
+
+@query(_one_order(8192, 1, _SAMPLES) + """, p AS (SELECT w.pack, w.place, w.alone, o.n <= 8192 AND w.alone AS has_image, lower(left(o.h, 2 * o.size)) AS h FROM w JOIN o USING (r))
+SELECT pack, count(*) AS num_samples, bool_or(alone) AS alone, CAST(sum(has_image::INT) AS BIGINT) AS n_images, CAST(sum(length(h)) // 2 + count(*) - 1 AS BIGINT) AS n, md5(string_agg(h, '--' ORDER BY place)) AS ids, CAST(count(*) - 1 AS BIGINT) AS last_word FROM p GROUP BY pack""")
+def pack_modal(spark, sf_dir):
+    """Training rows of the bytes of all texts, 8,192 tokens each, end token 256. Texts with a short last line carry an image in its place and stand alone; each text is one word."""
+    text = F.col("text")
+    last = F.octet_length(F.regexp_extract(text, r"\n([^\n]{1,40})\z", 1))
+    ids = training_rows.byte_ids(text)
+    n = F.octet_length(text)
+    span = F.when(last > 0, F.array(F.struct((n - last).cast("int").alias("start"), n.cast("int").alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    rows = docs(spark, sf_dir).select("doc_id", ids.alias("ids"), ids.alias("labels"), F.array_repeat(F.lit(0), n).alias("word_pos"), span.alias("image_spans"), F.when(last > 0, F.array(F.lit("image"))).otherwise(F.array().cast("array<string>")).alias("images"))
+    packs = packing.pack_samples(rows, 8192, 256)
+    hexed = F.array_join(F.transform("ids", lambda x: F.when(x == 256, "--").otherwise(F.lower(F.lpad(F.hex(x), 2, "0")))), "")
+    # an end token is a word, too
+    last_word = F.floor(F.array_max("word_pos") / 2)
+    return packs.select("pack", "num_samples", "alone", F.size("images").cast("long").alias("n_images"), F.size("ids").cast("long").alias("n"), F.md5(hexed.cast("binary")).alias("ids"), last_word.alias("last_word"))
