@@ -37,7 +37,10 @@ def first_of_each(docs: DataFrame, *keys: str, position: str = "doc_id") -> Data
 
 def exact_dedup(docs: DataFrame, position: str = "doc_id", within: tuple[str, ...] = ()) -> DataFrame:
     """Documents whose squashed text doesn't occur at an earlier position (in the same group)."""
-    return first_of_each(docs.withColumn("exact_key", H.exact_key(F.col("text"))), *within, "exact_key", position=position)
+    # each text is hashed once, on its way to the aggregate; the documents are then found by position
+    keys = docs.select(position, *within, H.exact_key(F.col("text")).alias("exact_key"))
+    firsts = keys.groupBy(*within, "exact_key").agg(F.min(position).alias(position)).select(position, "exact_key")
+    return docs.join(firsts, position).select(*docs.columns, "exact_key")
 
 
 def not_seen(docs: DataFrame, state: DataFrame, key: str = "exact_key") -> DataFrame:
@@ -99,9 +102,12 @@ def near_dedup(docs: DataFrame, threshold: int = 3, min_terms: int = 120, positi
 
 
 def dedup_against(docs: DataFrame, state: DataFrame, threshold: int = 3) -> DataFrame:
-    """Of signed documents (exact_key, sig), those neither equal nor near to the kept state (exact_key, sig)."""
+    """Of signed documents (exact_key, sig), those neither equal nor near to the kept state (exact_key, sig).
+
+    New and old signatures meet under the same keys as in ``near_pairs``: of about 32 bits within the usual distance, so the state can grow.
+    """
     fresh = not_seen(docs, state)
-    old = state.where(F.col("sig").isNotNull()).select("sig", F.explode(H.bands(F.col("sig"))).alias("b")).select(F.col("sig").alias("old_sig"), "b.band", "b.value")
-    new = fresh.where(F.col("sig").isNotNull()).select("exact_key", "sig", F.explode(H.bands(F.col("sig"))).alias("b")).select("exact_key", "sig", "b.band", "b.value")
+    old = key_rows(state.where(F.col("sig").isNotNull()).distinct(), threshold, "exact_key").select(F.col("sig").alias("old_sig"), "band", "value").distinct()
+    new = key_rows(fresh.where(F.col("sig").isNotNull()), threshold, "exact_key")
     near = new.join(old, ["band", "value"]).where(H.hamming(F.col("sig"), F.col("old_sig")) <= threshold).select("exact_key").distinct()
     return fresh.join(near, "exact_key", "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakecorpus.operators import mixture, quality, training_rows
 from lakecorpus.operators.chunking import split_documents
 from lakecorpus.operators.dedup import checkpointed, exact_dedup
-from lakecorpus.sources import readers, sinks
+from lakecorpus.sources import readers, sinks, store
 
 from .clean import clean_corpus, kept
 
@@ -59,20 +59,15 @@ def clean_running_text(docs: DataFrame, out: str, max_chars: int = 4000, overlap
 
 
 def signature(spark: SparkSession, sources: list[MixSource], *settings) -> str:
-    """Tells one state of the inputs and settings of a job from another: sources, and path, size and time of each of their files."""
-    files = []
-    for s in sources:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.path)
-        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [f for f in (store.globStatus(at) or [])]
-        for f in found:
-            inside = store.listStatus(f.getPath()) if f.isDirectory() else [f]
-            files += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inside]
+    """Tells one state of the inputs and settings of a job from another: sources, and path, size and time of each of their files, however deep."""
+    files = [f for s in sources for f in store.listing(spark, s.path)]
     return hashlib.sha256(repr((sources, sorted(files), settings)).encode()).hexdigest()
 
 
 def is_fresh(spark: SparkSession, out: str, now: str) -> bool:
-    """Whether ``out`` holds a finished result of the same signature."""
+    """Whether ``out`` is there, finished, and of the same signature."""
+    if not store.exists(spark, f"{out}/_SUCCESS"):
+        return False
     try:
         seen = spark.read.text(f"{out}.signature").first()
     except AnalysisException:

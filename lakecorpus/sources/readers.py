@@ -22,6 +22,8 @@ from lakecorpus.functions import textnorm as N
 from lakecorpus.functions.markup import html_parts
 from lakecorpus.operators.dedup import checkpointed
 
+from . import store
+
 _BOMS = ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8-sig"))
 
 
@@ -125,13 +127,22 @@ def read_jsonl_fields(spark: SparkSession, path: str | list[str], fields: tuple[
     return rows.select("path", F.explode(full).alias("text"))
 
 
-def read_json_array(spark: SparkSession, path: str | list[str], fields: tuple[str, ...], joined: bool = False) -> DataFrame:
-    """(path, pos, text): each non-empty field of the objects of an array, or of one under ``data`` or ``records``; or, joined, all of an object line by line. A broken file has no rows."""
+def _marked(rows: DataFrame, mark_bad: bool) -> DataFrame:
+    """A file that couldn't be read has one row whose text is null: kept as bad, or left out."""
+    return rows.withColumn("bad", F.col("text").isNull()) if mark_bad else rows.where(F.col("text").isNotNull())
 
-    def rows(_: str, data: bytes) -> Iterator[str]:
+
+def read_json_array(spark: SparkSession, path: str | list[str], fields: tuple[str, ...], joined: bool = False, mark_bad: bool = False) -> DataFrame:
+    """(path, pos, text): each non-empty field of the objects of an array, or of one under ``data`` or ``records``; or, joined, all of an object line by line.
+
+    A broken file has no rows; with ``mark_bad`` it has one without text that is bad.
+    """
+
+    def rows(_: str, data: bytes) -> Iterator[str | None]:
         try:
             value = json.loads(decode_bytes(data))
         except (ValueError, RecursionError):
+            yield None
             return
         if isinstance(value, dict):
             value = value.get("data") or value.get("records") or [value]
@@ -139,11 +150,14 @@ def read_json_array(spark: SparkSession, path: str | list[str], fields: tuple[st
             full = [t for f in fields if isinstance(item, dict) and (t := str(item.get(f) or "").strip())]
             yield from (["\n".join(full)] if joined and full else full)
 
-    return _from_files(files(spark, path), rows)
+    return _marked(_from_files(files(spark, path), rows), mark_bad)
+
 
+def read_json_documents(spark: SparkSession, path: str | list[str], mark_bad: bool = False) -> DataFrame:
+    """(path, pos, text): documents anywhere inside JSON files: title and author over paragraphs, or instruction triples.
 
-def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, pos, text): documents anywhere inside JSON files: title and author over paragraphs, or instruction triples."""
+    A file that is broken, or nested beyond what can be read, has no rows; with ``mark_bad`` it has one without text that is bad.
+    """
     bodies, titles = ("paragraphs", "paragraph", "content", "text"), ("title", "chapter", "section", "rhythmic")
 
     def first(item: dict, names: tuple[str, ...]):
@@ -166,13 +180,14 @@ def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame
                 for x in value.values():
                     yield from walk(x, mine)
 
-    def rows(name: str, data: bytes) -> Iterator[str]:
-        try:
-            yield from walk(json.loads(decode_bytes(data)), name.rpartition("/")[2].rpartition(".")[0])
-        except (ValueError, RecursionError):  # broken, or nested beyond what any document is
-            return
+    def rows(name: str, data: bytes) -> Iterator[str | None]:
+        try:  # all of a file or nothing
+            found = list(walk(json.loads(decode_bytes(data)), name.rpartition("/")[2].rpartition(".")[0]))
+        except (ValueError, RecursionError):
+            found = [None]
+        yield from found
 
-    return _from_files(files(spark, path), rows)
+    return _marked(_from_files(files(spark, path), rows), mark_bad)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], nul_share: float = 0.10, utf8_first: bool = False) -> DataFrame:
@@ -214,30 +229,101 @@ def read_html(spark: SparkSession, path: str | list[str], selectors: tuple[str,
     return _from_files(files(spark, path), lambda _, data: iter(["\n".join(x for x in reversed(html_parts(decode_bytes(data), selectors)) if x)]))
 
 
-def read_zip(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = (".jsonl", ".json", ".txt"), key: str = "text") -> DataFrame:
-    """(path, pos, text): lines of JSON members, whole text members and texts of HTML or XML members of archives, by name."""
+#: Stores that tasks can open files in; of others (seen by Spark alone) files come whole, of up to 2 GB.
+_OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
-    def rows(_: str, data: bytes) -> Iterator[str]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for name in sorted(z.namelist()):
-                if not name.lower().endswith(suffixes):
-                    continue
-                with z.open(name) as member:
-                    if name.lower().endswith((".jsonl", ".json")):
-                        for line in io.TextIOWrapper(member, "utf-8", errors="replace"):
-                            try:
-                                value = json.loads(line)
-                            except ValueError:
-                                continue
-                            text = value if isinstance(value, str) else value.get(key) if isinstance(value, dict) else None
-                            if text:
-                                yield text
-                    elif name.lower().endswith((".html", ".htm", ".xml")):
-                        yield html_parts(decode_bytes(member.read()))[0]
-                    else:
-                        yield decode_bytes(member.read())
 
-    return _from_files(files(spark, path), rows)
+def _open(path: str):
+    """A file that can be sought in, in the store of its path."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    store_, at = (fs.LocalFileSystem(), rest if rest.startswith("/") else path) if scheme == "file" or not rest else fs.FileSystem.from_uri(path.replace("s3a:", "s3:"))
+    return store_.open_input_file("/" + at.lstrip("/") if scheme == "file" else at)
+
+
+def _archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, content) of files; content is null where tasks can open them by themselves."""
+    found = files(spark, path)
+    scheme = F.when(F.col("path").rlike("^[a-zA-Z0-9]+:"), F.substring_index("path", ":", 1)).otherwise("file")
+    return found.select("path", F.when(~scheme.isin(*_OPENED), F.col("content")).alias("content")) if _foreign(spark, path) else found.select("path", F.lit(None).cast("binary").alias("content"))
+
+
+def _foreign(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether Spark alone can open the paths; a path without a scheme is in the session's own store."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    return any((p.partition(":")[0] if ":" in p.split("/")[0] else own) not in _OPENED for p in ([path] if isinstance(path, str) else path))
+
+
+def _archive(path: str, content: bytes | None) -> zipfile.ZipFile:
+    return zipfile.ZipFile(io.BytesIO(content) if content is not None else _open(path))
+
+
+def zip_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, member, bytes, bad) of the files in archives, from their directories alone. An archive that can't be read is one row without a member that is bad."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    with _archive(path, content) as z:
+                        out += [(path, i.filename, i.file_size, False) for i in z.infolist() if not i.is_dir()]
+                except (zipfile.BadZipFile, OSError, ValueError):  # a seek before the first byte is a ValueError
+                    out.append((path, None, None, True))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "member", "bytes", "bad"])
+
+    return _archives(spark, path).mapInArrow(run, "path string, member string, bytes long, bad boolean")
+
+
+def read_zip(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = (".jsonl", ".json", ".txt"), key: str = "text", member: str | None = None) -> DataFrame:
+    """(path, pos, text): lines of JSON members, whole text members and texts of HTML or XML members of archives, by name; or of one member.
+
+    Members are dealt out, so a task reads one of them, wherever it is in its archive; lines of JSON members are read as a stream, whatever their size. Archives that can't be read have no rows
+    (``zip_members`` marks them). pos holds the place of the member in its archive and that of the text in the member.
+    """
+    wanted = F.lower("member").rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$") if member is None else F.col("member") == member
+    place = F.row_number().over(Window.partitionBy("path").orderBy("member")) - 1
+    listed = zip_members(spark, path).where(~F.col("bad") & wanted).withColumn("place", place)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.select("path", "member", "place").repartition(n, "path", "member")
+    if _foreign(spark, path):
+        dealt = dealt.join(_archives(spark, path), "path")
+    else:
+        dealt = dealt.withColumn("content", F.lit(None).cast("binary"))
+
+    def texts(z: zipfile.ZipFile, name: str) -> Iterator[str]:
+        with z.open(name) as opened:
+            if name.lower().endswith((".jsonl", ".json")):
+                for line in io.TextIOWrapper(opened, "utf-8", errors="replace"):
+                    try:
+                        value = json.loads(line)
+                    except ValueError:
+                        continue
+                    text = value if isinstance(value, str) else value.get(key) if isinstance(value, dict) else None
+                    if text:
+                        yield text
+            elif name.lower().endswith((".html", ".htm", ".xml")):
+                yield html_parts(decode_bytes(opened.read()))[0]
+            else:
+                yield decode_bytes(opened.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name, place, content in zip(*[batch.column(c).to_pylist() for c in ("path", "member", "place", "content")], strict=True):
+                out: list[str] = []
+                at, size = place << 40, 0
+                with _archive(path, content) as z:
+                    for text in texts(z, name):
+                        out.append(text)
+                        size += len(text)
+                        if len(out) == 1000 or size > 1 << 22:
+                            yield _batch(path, at, out)
+                            at, out, size = at + len(out), [], 0
+                yield _batch(path, at, out)
+
+    return dealt.select("path", "member", "place", "content").mapInArrow(run, "path string, pos long, text string")
 
 
 def with_position(rows: DataFrame) -> DataFrame:
@@ -247,7 +333,7 @@ def with_position(rows: DataFrame) -> DataFrame:
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = sizes.select("_p", before.alias("_first"))  # a row for each partition
-    return placed.withColumn("_p", part).join(F.broadcast(firsts), "_p").withColumn("input_pos", F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_first")
+    return placed.withColumn("_p", part).join(firsts, "_p").withColumn("input_pos", F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_first")
 
 
 def keep_lines(text: Column, strip_urls: bool = False, script_class: str | None = None) -> Column:
@@ -268,11 +354,17 @@ def keep_lines(text: Column, strip_urls: bool = False, script_class: str | None
 READERS = {"jsonl": read_jsonl, "txt": read_lines, "parquet": read_parquet_text, "html": read_html, "zip": read_zip, "json": read_json_documents}
 
 
-def units(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = ("jsonl", "json", "parquet", "zip", "txt", "html")) -> DataFrame:
-    """(path, kind, bytes) of the files that can be read, in no order; only the listing is read, not the files."""
+def units(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = ("jsonl", "json", "parquet", "zip", "txt", "html"), members: bool = False) -> DataFrame:
+    """(path, kind, bytes) of the files that can be read, in no order; only the listing is read, not the files.
+
+    With ``members`` archives are opened, for their directories alone, and stand as ``file.zip!member``, a row for each of their files; one that can't be read is ``file.zip!``.
+    """
     found = files(spark, path).select("path", "length")
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return found.select("path", kind.alias("kind"), F.col("length").alias("bytes")).where(F.col("kind").isin(*suffixes))
+    every = found.select("path", kind.alias("kind"), F.col("length").alias("bytes")).where(F.col("kind").isin(*suffixes))
+    if not members:
+        return every
+    return every.where(F.col("kind") != "zip").union(zip_members(spark, path).where(F.lower("path").endswith(".zip")).select(F.concat("path", F.lit("!"), F.coalesce("member", F.lit(""))), F.lit("zip"), "bytes"))
 
 
 def read_training_rows(spark: SparkSession, path: str | list[str], rank: int = 0, ranks: int = 1) -> DataFrame:
@@ -331,9 +423,9 @@ def read_sources(spark: SparkSession, *names: str) -> DataFrame:
 
 
 def sniff_json(spark: SparkSession, path: str) -> str:
-    """``array`` where the first visible character of the first file is ``[``, else ``jsonl``."""
-    first = files(spark, path).orderBy("path").select("content").first()
-    head = first[0][: 1 << 16].decode("utf-8", "replace").lstrip("\ufeff \t\r\n") if first else ""
+    """``array`` where the first visible character of the first file is ``[``, else ``jsonl``. Of that file 64 KB are read."""
+    found = [f[0] for f in store.listing(spark, path)]
+    head = store.read(spark, found[0]).decode("utf-8", "replace").lstrip("\ufeff \t\r\n") if found else ""
     return "array" if head.startswith("[") else "jsonl"
 
 
