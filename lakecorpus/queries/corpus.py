@@ -10,6 +10,7 @@ from lakecorpus.functions import markup
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
 from lakecorpus.operators import chunking, dedup, mixture, quality
+from lakecorpus.plans import units
 from lakecorpus.plans.clean import clean_corpus
 
 
@@ -109,6 +110,14 @@ def web_gate(spark, sf_dir):
     return quality.web_gate(docs(spark, sf_dir), WEB, normalize=N.tidy_web).select("doc_id", "reason", F.coalesce(F.length("clean_text"), F.lit(0)).cast("long").alias("clean_chars"))
 
 
+@query(f"""WITH gate AS ({QUERIES["web_gate"][1]}), k AS (SELECT reason, sha1({SQUASHED}) AS k FROM gate JOIN documents USING (doc_id)),
+c AS (SELECT reason, count(*) AS n FROM k WHERE reason <> '' GROUP BY reason UNION ALL SELECT 'kept', count(DISTINCT k) FROM k WHERE reason = '' UNION ALL SELECT 'duplicate', count(*) - count(DISTINCT k) FROM k WHERE reason = '')
+SELECT reason, n FROM c WHERE n > 0""")
+def web_units(spark, sf_dir):
+    """The web job over the files of documents as its units, all in one commit, nothing written: documents by reason, repeats of kept texts as duplicates."""
+    return units.clean_units(spark, [f"{sf_dir}/documents.parquet"], None, units.UnitJob(gate=WEB, normalize=N.tidy_web, near=False))
+
+
 @query("SELECT doc_id, md5(text) AS m FROM documents")
 def strip_furniture_lines(spark, sf_dir):
     stripped = quality.strip_furniture_lines(F.concat(F.lit("来源：test\n"), "text", F.lit("\n阅读原文")))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
-from lakecorpus.operators import boxes, evaluation, merges, packing, tokens, training_rows
+from lakecorpus.operators import boxes, evaluation, media, merges, packing, pooling, tokens, training_rows
 from lakecorpus.operators import conversations as C
+from lakecorpus.operators.dedup import checkpointed
 from lakecorpus.sources.readers import with_position
+from lakecorpus.streaming import detokenize
 from lakecorpus.streaming.ingest import history
 
 from .corpus import PROXY, SP, docs
@@ -25,6 +30,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _shared(spark) -> str:
+    """A folder that driver and executors share: that of checkpoints."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
+    return at.rstrip("/")
+
+
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -359,3 +374,53 @@ def pack_modal(spark, sf_dir):
     # an end token is a word, too
     last_word = F.floor(F.array_max("word_pos") / 2)
     return packs.select("pack", "num_samples", "alone", F.size("images").cast("long").alias("n_images"), F.size("ids").cast("long").alias("n"), F.md5(hexed.cast("binary")).alias("ids"), last_word.alias("last_word"))
+
+
+@query("""WITH e AS (SELECT label, least(greatest(vec_id // 100 - 1, 0), 3) AS segment, embedding, embedding[1] > 0 AS used FROM embeddings),
+x AS (SELECT label, segment, used, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k FROM e)
+SELECT label, segment, k, count(*) FILTER (used) AS n, round(coalesce(sum(v) FILTER (used), 0) / greatest(count(*) FILTER (used), 1), 6) AS mean FROM x GROUP BY label, segment, k""")
+def segment_pool(spark, sf_dir):
+    """Means of the embeddings of each label and segment of a hundred, the last segment open; those whose first element isn't positive are masked."""
+    e = _read(spark, sf_dir, "embeddings")
+    segment = pooling.clamped(F.expr("vec_id div 100") - 1, 4)
+    rows = e.select("label", segment.alias("segment"), F.col("embedding").alias("vector"), (F.get("embedding", F.lit(0)) > 0).alias("used"))
+    means = pooling.mean_pool(rows, "label", "segment", mask="used")
+    return means.select("label", "segment", "n", F.posexplode("vector").alias("k", "mean")).select("label", "segment", (F.col("k") + 1).cast("long").alias("k"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, replace(text, chr(10), ' <image> ') AS t, list_transform(string_split(text, chr(10))[2:], lambda x: length(x) % 5 + 1) AS c FROM documents),
+x AS (SELECT doc_id, c, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, c, regexp_extract_all(t, '<image>|[^ \t\r\n\f\x0b<]+|<|[ \t\r\n\f\x0b]+') AS w FROM d)),
+j AS (SELECT doc_id, i, tok, c, count(*) FILTER (tok = '<image>') OVER w AS j, sum(length(tok)) OVER w AS stop FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT doc_id, i, tok, stop, CASE WHEN tok = '<image>' THEN c[j] + 2 ELSE 1 END AS n FROM j WHERE regexp_matches(tok, '[^ \t\r\n\f\x0b]'))
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (tok = '<image>') AS BIGINT) AS n_media, CAST(coalesce(sum(n) FILTER (tok = '<image>'), 0) AS BIGINT) AS n_media_tokens,
+ md5(string_agg(repeat(CAST(stop - length(tok) AS VARCHAR) || '-' || CAST(stop AS VARCHAR) || ',', n), '' ORDER BY i)) AS places FROM r GROUP BY doc_id""")
+def media_offsets(spark, sf_dir):
+    """Each line end of a text is an image, with one patch and more for the length of the line behind it; the offsets of the tokens of the expanded text are taken back to the text as it was."""
+    counts = F.transform(F.slice(F.split("text", "\n", -1), 2, 1 << 30), lambda x: F.length(x) % 5 + 1)
+    texts = checkpointed(media.expand(docs(spark, sf_dir).select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit(" <image> ")).alias("text"), counts.alias("image_patches"))).select("doc_id", "expanded", "edits"))
+    annotated = checkpointed(media.annotate(media.tokenized(texts), texts))
+    spans = media.media_spans(annotated, texts).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_media"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_media_tokens"))
+    place = F.struct("pos", F.concat("start", F.lit("-"), "end", F.lit(",")).alias("s"))
+    whole = annotated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda s: s["s"]), "").cast("binary")).alias("places"))
+    none = F.lit(0).cast("long")
+    return whole.join(spans, "doc_id", "left").select("doc_id", "n_tokens", F.coalesce("n_media", none).alias("n_media"), F.coalesce("n_media_tokens", none).alias("n_media_tokens"), "places")
+
+
+@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS m FROM conversations GROUP BY conv_id")
+def decode_stream(spark, sf_dir):
+    """A stream of the bytes of all turns as ids, each turn in two halves, so that characters are cut; the stream's texts are joined."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    session = spark.newSession()  # with a state store of its own choice
+    session.conf.set(provider, detokenize.PROVIDER)
+    at = f"{_shared(spark)}/decode-{uuid.uuid4().hex}"
+    rows = session.read.parquet(f"{sf_dir}/conversations.parquet")
+    # a pattern, as a stream's path may be one file only by a pattern
+    stream = session.readStream.schema(rows.schema).parquet(f"{sf_dir}/conversations.parque[t]").where("text IS NOT NULL")
+    ids = training_rows.byte_ids(F.col("text"))
+    half = F.floor(F.size("b") / 2).cast("int")
+    halves = F.array(F.struct(F.lit(0).alias("k"), F.slice("b", F.lit(1), half).alias("ids")), F.struct(F.lit(1).alias("k"), F.slice("b", half + 1, F.size("b")).alias("ids")))
+    events = stream.select("conv_id", "turn", ids.alias("b")).select("conv_id", "turn", F.explode(halves).alias("h")).select("conv_id", (F.col("turn") * 2 + F.col("h.k")).alias("seq"), "h.ids")
+    told = detokenize.detokenize(events, "conv_id")
+    told.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    pieces = spark.read.schema(told.schema).parquet(f"{at}/out").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    return pieces.select("conv_id", F.md5(F.array_join(F.transform("p", lambda p: p["text"]), "").cast("binary")).alias("m"))

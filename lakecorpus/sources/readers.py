@@ -242,9 +242,9 @@ def _open(path: str):
     return store_.open_input_file("/" + at.lstrip("/") if scheme == "file" else at)
 
 
-def _archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _archives(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, content) of files; content is null where tasks can open them by themselves."""
-    found = files(spark, path)
+    found = files(spark, path, glob)
     scheme = F.when(F.col("path").rlike("^[a-zA-Z0-9]+:"), F.substring_index("path", ":", 1)).otherwise("file")
     return found.select("path", F.when(~scheme.isin(*_OPENED), F.col("content")).alias("content")) if _foreign(spark, path) else found.select("path", F.lit(None).cast("binary").alias("content"))
 
@@ -259,7 +259,7 @@ def _archive(path: str, content: bytes | None) -> zipfile.ZipFile:
     return zipfile.ZipFile(io.BytesIO(content) if content is not None else _open(path))
 
 
-def zip_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def zip_members(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, member, bytes, bad) of the files in archives, from their directories alone. An archive that can't be read is one row without a member that is bad."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def zip_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "member", "bytes", "bad"])
 
-    return _archives(spark, path).mapInArrow(run, "path string, member string, bytes long, bad boolean")
+    return _archives(spark, path, glob).mapInArrow(run, "path string, member string, bytes long, bad boolean")
 
 
 def read_zip(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = (".jsonl", ".json", ".txt"), key: str = "text", member: str | None = None) -> DataFrame:
@@ -364,7 +364,7 @@ def units(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...]
     every = found.select("path", kind.alias("kind"), F.col("length").alias("bytes")).where(F.col("kind").isin(*suffixes))
     if not members:
         return every
-    return every.where(F.col("kind") != "zip").union(zip_members(spark, path).where(F.lower("path").endswith(".zip")).select(F.concat("path", F.lit("!"), F.coalesce("member", F.lit(""))), F.lit("zip"), "bytes"))
+    return every.where(F.col("kind") != "zip").union(zip_members(spark, path, "*.[zZ][iI][pP]").select(F.concat("path", F.lit("!"), F.coalesce("member", F.lit(""))), F.lit("zip"), "bytes"))
 
 
 def read_training_rows(spark: SparkSession, path: str | list[str], rank: int = 0, ranks: int = 1) -> DataFrame:
