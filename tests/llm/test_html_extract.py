@@ -83,15 +83,20 @@ def test_what_is_never_closed_ends_with_its_block():
 def test_time_in_proportion_to_the_page():
     import time
 
-    for part in ('<a "', "<a x='", '<a x="', "<", "</", "<!--", "<p class=\"x>", "<nav>", "</p>", "<li>", "<script", "<svg>", "<b x='y\" ", "&", "<h1><li>"):
-        page = part * (1_000_000 // len(part))
-        t = time.process_time()
-        he.parse(page)
-        he.parse("<nav>" * 50_000 + page[:500_000])
-        assert time.process_time() - t < 6, part
-    t = time.process_time()
-    he.parse('<a "' * 250_000)
-    assert time.process_time() - t < 1
+    def took(page):
+        """The least of a few runs, so that other work on the machine doesn't count."""
+        best = float("inf")
+        for _ in range(2):
+            t = time.process_time()
+            he.parse(page)
+            best = min(best, time.process_time() - t)
+        return best
+
+    for part in ('<a "', "<a x='", '<a x="', "<", "</", "<!--", '<p class="x>', "<nav>", "</p>", "<li>", "<script", "<svg>", "<b x='y\" ", "&", "<h1><li>"):
+        small, large = (took(part * (n // len(part))) for n in (50_000, 300_000))
+        nested, deep = (took("<nav>" * (n // 10) + part * (n // 2 // len(part))) for n in (50_000, 300_000))
+        # six times the page: 36 times the time if it were quadratic
+        assert large < 15 * small + 0.1 and deep < 15 * nested + 0.1, part
 
 
 def test_odd_pages(spark):
