@@ -12,10 +12,11 @@ from lakecorpus.functions import textnorm as N
 from lakecorpus.operators import chunking, dedup, mixture, quality
 from lakecorpus.plans import units
 from lakecorpus.plans.clean import clean_corpus
+from lakecorpus.sources import readers
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SP = N.SPACE
@@ -124,11 +125,24 @@ def strip_furniture_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(stripped.cast("binary")).alias("m"))
 
 
-@query(rf"SELECT doc_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{N.URL}', ' ', 'g'), '{N.EMAIL}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^[{SP}]+|[{SP}]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS k FROM documents)")
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+#: The steps of the line normalizer; an ornament repeated is spelled out, as patterns of SQL have no back references.
+_RUNNING = _replaced(
+    "line", (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{e000}-\x{f8ff}]", ""), (N.URL, " "), (N.EMAIL, " "), (r"[\t\r\f\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "),
+    (N.LEADING_PAGE, ""), (N.PAGE_TOKEN, r" \1"), *[(f"[{c}]{{3,}}", c) for c in "★☆*#=_-—–·•|"], (" {2,}", " "), (f"^[{SP}]+|[{SP}]+$", ""),
+)
+
+
+@query(f"SELECT doc_id, k, {_RUNNING} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS k FROM documents)")
 def running_lines(spark, sf_dir):
+    """All lines of all texts through the line normalizer."""
     d = docs(spark, sf_dir).select("doc_id", F.posexplode(N.lines(F.col("text"))).alias("k", "line"))
-    t = F.regexp_replace(F.regexp_replace("line", N.URL, " "), N.EMAIL, " ")
-    return d.select("doc_id", "k", N.strip(F.regexp_replace(t, " {2,}", " ")).alias("line"))
+    return d.select("doc_id", "k", N.normalize_running_line(F.col("line")).alias("line"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(coalesce({STRIPPED}, '')) < 80 THEN 'too_short' ELSE 'script_impurity' END AS mongolian,

@@ -302,13 +302,18 @@ def normalized_rows(spark, sf_dir):
     return d.select("doc_id", F.size("mask").cast("long").alias("n"), total("word_pos").alias("positions"), total("morph_depth").alias("depths"))
 
 
-@query("""WITH d AS (SELECT doc_id // 8 AS batch, length(hex(encode(lang || source))) // 2 AS n FROM documents), m AS (SELECT batch, max(n) AS longest, count(*) AS n_rows, sum(n) AS n FROM d GROUP BY batch)
-SELECT batch, n_rows, CAST(longest * n_rows AS BIGINT) AS n_cells, CAST(longest * n_rows - n AS BIGINT) AS n_padding FROM m""")
+@query("""WITH d AS (SELECT doc_id, doc_id // 8 AS batch, lower(hex(encode(text))) AS h FROM documents), m AS (SELECT batch, CAST(max(length(h)) AS INTEGER) AS longest FROM d GROUP BY batch),
+r AS (SELECT batch, doc_id, longest, h, array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: CASE WHEN x = '0a' THEN 'zz' ELSE x END), '') AS l FROM d JOIN m USING (batch))
+SELECT batch, count(*) AS n_rows, CAST(sum(longest) // 2 AS BIGINT) AS n_cells, CAST(sum(longest - length(h)) // 2 AS BIGINT) AS n_padding, md5(string_agg(rpad(h, longest, '-'), '' ORDER BY doc_id)) AS ids,
+ md5(string_agg(rpad(l, longest, 'z'), '' ORDER BY doc_id)) AS labels FROM r GROUP BY batch""")
 def collated(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), training_rows.byte_ids(F.concat("lang", "source")).alias("ids")).withColumn("labels", F.col("ids"))
+    """Batches of eight texts as byte ids, padded to the longest of each; line feeds aren't learned from."""
+    d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), training_rows.byte_ids(F.col("text")).alias("ids"))
+    d = d.withColumn("labels", training_rows.labels(F.col("ids"), F.array(F.lit(10))))
     c = training_rows.collate(d, "batch", 256)
     cells = F.flatten("mask")
-    return c.select("batch", F.size("ids").cast("long").alias("n_rows"), F.size(cells).cast("long").alias("n_cells"), F.size(F.filter(cells, lambda x: x == 0)).cast("long").alias("n_padding"))
+    hexed = lambda rows, none, by: F.md5(F.array_join(F.transform(F.flatten(rows), lambda x: F.when(x == none, by).otherwise(F.lower(F.lpad(F.hex(x), 2, "0")))), "").cast("binary"))
+    return c.select("batch", F.size("ids").cast("long").alias("n_rows"), F.size(cells).cast("long").alias("n_cells"), F.size(F.filter(cells, lambda x: x == 0)).cast("long").alias("n_padding"), hexed("ids", 256, "--").alias("ids"), hexed("labels", training_rows.IGNORE, "zz").alias("labels"))
 
 
 @query("""WITH f AS (SELECT source AS path, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)) SELECT path, CAST(i % 4 AS INTEGER) AS rank, CAST((i // 4) % 2 AS INTEGER) AS worker FROM f""")

@@ -102,6 +102,12 @@ def files(spark: SparkSession, path: str | list[str], glob: str | None = None, r
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where their files have fewer splits than there are cores; as they are in all larger tables. For row functions that are dear beside a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], keys: tuple[str, ...] = ("text",), mark_bad: bool = False) -> DataFrame:
     """(path, text): the first non-empty of ``keys`` in each line; a line that is a bare JSON string is the text.
 
