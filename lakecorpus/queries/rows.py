@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions import textnorm as N
-from lakecorpus.operators import boxes, evaluation, media, merges, packing, pooling, tokens, training_rows
+from lakecorpus.operators import boxes, evaluation, media, merges, packing, pooling, preferences, tokens, training_rows
 from lakecorpus.operators import conversations as C
 from lakecorpus.operators.dedup import checkpointed
 from lakecorpus.sources.readers import with_position
@@ -424,3 +424,20 @@ def decode_stream(spark, sf_dir):
     told.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     pieces = spark.read.schema(told.schema).parquet(f"{at}/out").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
     return pieces.select("conv_id", F.md5(F.array_join(F.transform("p", lambda p: p["text"]), "").cast("binary")).alias("m"))
+
+
+@query(f"""WITH l AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT conv_id, string_agg({PART}, '' ORDER BY turn, role, text) AS context FROM conversations c WHERE turn < (SELECT turn FROM l WHERE l.conv_id = c.conv_id) GROUP BY conv_id),
+a AS (SELECT conv_id, text AS chosen, (SELECT p.text FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) AS rejected FROM conversations c JOIN l USING (conv_id, turn))
+SELECT conv_id, {_md5_of("context || '<|assistant|>' || chr(10) || chosen")} AS chosen, {_md5_of("context || '<|assistant|>' || chr(10) || rejected")} AS rejected, CAST(length(hex(encode(chosen))) // 2 + 1 AS BIGINT) - CAST(length(hex(encode(rejected))) // 2 + 1 AS BIGINT) AS longer
+FROM a JOIN c USING (conv_id) WHERE rejected IS NOT NULL""")
+def preference_turns(spark, sf_dir):
+    """The last answer of each conversation is preferred to the turn before it said again; both rows by digest, and by how many ids the first mask is longer."""
+    turns = _read(spark, sf_dir, "conversations")
+    last = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    placed = turns.join(last, "conv_id")
+    before = placed.where(F.col("turn") == F.col("last") - 1).select("conv_id", F.col("text").alias("rejected"))
+    answers = placed.where(F.col("turn") == F.col("last")).select("conv_id", F.col("text").alias("chosen")).join(before, "conv_id")
+    d = preferences.preference_examples(placed.where(F.col("turn") < F.col("last")).select("conv_id", "turn", "role", "text"), answers)
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("conv_id", _digest(F.col("chosen_ids")).alias("chosen"), _digest(F.col("rejected_ids")).alias("rejected"), (ones("chosen_mask") - ones("rejected_mask")).alias("longer"))
