@@ -1,6 +1,7 @@
 """A corpus from raw documents to tokens: quality, repeated lines, near duplicates, test items, encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs. Stages take the five columns of documents, any of which may be null, and
+leave out others; an empty table gives an empty one. Rows that are there twice are judged alike, unless a stage is about repeats. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject: null and empty texts fail the base rule. Null languages and sources are groups like others."""
     return keep_quality(_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; a document of which nothing is left goes, n_chars follows the text."""
+    """Takes repeated lines out of the texts; a document of which nothing is left goes, n_chars follows the text.
+
+    A null text has no lines and stays as it is. Rows of one doc_id and text are one document and treated alike; null ids come last.
+    """
     out = dedup_lines(_columns(docs))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,17 +41,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates, that of the least doc_id (null ids last). Texts without a word and null ones stay; of rows that are there twice one does."""
     return keep_one_of_each(_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain an item of the benchmark."""
+    """Drops the documents that contain an item of the benchmark; a null text contains none, an item without words is in none."""
     return drop_contaminated(_columns(docs), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with its columns other than the text."""
+    """The token ids of each document with doc_id, lang and source; a null text has none."""
     encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
