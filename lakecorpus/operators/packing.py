@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .dedup import checkpointed
 from .training_rows import IGNORE
@@ -216,31 +216,93 @@ def pad(rows: DataFrame, limit: int, pad_id: int) -> DataFrame:
     return out.drop("_n")
 
 
+class _Lists:
+    """A list column as values and offsets; values of structs are a list of arrays."""
+
+    def __init__(self, column: pa.Array):
+        self.type = column.type
+        at = column.offsets.to_numpy()
+        self.offsets = (at - at[0]).astype(np.int64)
+        values = column.values.slice(int(at[0]), int(at[-1] - at[0]))
+        self.struct = pa.types.is_struct(values.type)
+        self.values = [f.to_numpy(zero_copy_only=False) for f in values.flatten()] if self.struct else [values.to_numpy(zero_copy_only=False)]
+
+    def joined(self, later: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> pa.Array:
+        """Lists of packs: rows one behind the other, with one value of ``ends`` in front of each that isn't the first (``later``). ``firsts``: the first row of each pack."""
+        sizes = np.diff(self.offsets)
+        begin = np.r_[0, np.cumsum(sizes + later)]
+        at = np.repeat(begin[:-1] + later - self.offsets[:-1], sizes) + np.arange(self.offsets[-1])
+        out = []
+        for v in self.values:
+            new = np.empty(begin[-1], dtype=v.dtype)
+            new[at] = v
+            new[begin[:-1][later.astype(bool)]] = ends[later.astype(bool)]
+            out.append(pa.array(new))
+        made = pa.StructArray.from_arrays(out, fields=list(self.type.value_type)) if self.struct else out[0].cast(self.type.value_type)
+        return pa.ListArray.from_arrays(pa.array(begin[np.r_[firsts, len(sizes)]].astype(np.int32)), made)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], eos: int, tokens: list[str], media: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Packs from rows sorted by pack and place; a pack that goes on in the next batch waits for it."""
+
+    def packs(rows: pa.RecordBatch) -> pa.RecordBatch:
+        place = rows.column("place").to_numpy()
+        firsts = np.flatnonzero(place == 0)
+        later = (place > 0).astype(np.int64)
+        lists = {c: _Lists(rows.column(c)) for c in tokens}
+        ends = {"ids": np.full(len(place), eos), "labels": np.full(len(place), eos), "morph_depth": np.zeros(len(place), dtype=np.int64), "offsets": np.full(len(place), -1)}
+        if "word_pos" in lists:
+            w = lists["word_pos"]
+            sizes = np.diff(w.offsets)
+            most = np.full(len(sizes), -1)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                most[some] = np.maximum.reduceat(w.values[0], w.offsets[some])
+            own = most + 2  # the words of a text and an end token
+            before = np.cumsum(own) - own
+            before -= np.repeat(before[firsts], np.diff(np.r_[firsts, len(place)]))
+            w.values = [w.values[0] + np.repeat(before, sizes)]
+            ends["word_pos"] = before - 1
+        columns = {"pack": rows.column("pack").take(pa.array(firsts)), "num_samples": pa.array(np.diff(np.r_[firsts, len(place)])), "alone": rows.column("alone").take(pa.array(firsts))}
+        columns |= {c: lists[c].joined(later, ends[c], firsts) for c in tokens} | {c: rows.column(c).take(pa.array(firsts)) for c in media}
+        return pa.RecordBatch.from_arrays([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        at = np.flatnonzero(place == 0)
+        if len(at):
+            held.append(batch.slice(0, int(at[-1])))
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if rows.num_rows:
+                yield packs(rows.to_batches()[0])
+            held = [batch.slice(int(at[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if rows.num_rows:
+            yield packs(rows.to_batches()[0])
+
+
 def pack_samples(rows: DataFrame, limit: int, eos: int, pad_id: int | None = None, position: str = "doc_id", block: int = 1 << 20) -> DataFrame:
     """Packs of rows in the order of position: (pack, num_samples, alone, ids, labels, attention_mask, and what else ``trim`` names of the rows' columns).
 
     A text goes behind others with a supervised end token in between, whose word_pos goes on from theirs, with depth 0 and offsets of -1; the words of the next text are counted on from there. A row with
     an image or video closes the pack before it and is one of its own, with its media; packs of texts have none. Rows are cut to the limit first; those without ids
-    (null, too) are left out. With ``pad_id`` packs are filled up to the limit. Positions are unique.
+    (null, too) are left out; null lists are empty. With ``pad_id`` packs are filled up to the limit. Positions are unique.
     """
     named = [c for c in (*_OF_TOKENS, *_OF_MEDIA, *[m for ms in _OF_MEDIA.values() for m in ms]) if c in rows.columns and c != "attention_mask"]
+    tokens = [c for c in ("ids", "labels", *_OF_TOKENS) if c in ("ids", "labels") or c in named]
+    media = [c for c in named if c not in tokens]
     d = trim(rows.select(F.col(position).alias("_position"), "ids", "labels", *named).where(F.size("ids") > 0), limit).where(F.size("ids") > 0)
     places = next_fit(d.select("_position", F.size("ids").alias("size"), "alone"), PackConfig(limit, 1, block=block), "_position")
-    joined = d.join(places, "_position")
-    tokens = [c for c in ("ids", "labels", *_OF_TOKENS) if c in d.columns]
-    if "word_pos" in d.columns:
-        before = Window.partitionBy("pack").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        # the words of the texts before, and an end token's for each
-        joined = joined.withColumn("_words", F.coalesce(F.sum(F.coalesce(F.array_max("word_pos") + 1, F.lit(0)) + 1).over(before), F.lit(0)).cast("int"))
-        joined = joined.withColumn("word_pos", F.transform("word_pos", lambda p: p + F.col("_words")))
-    joint = {"ids": F.lit(eos), "labels": F.lit(eos), "word_pos": F.col("_words") - 1 if "word_pos" in d.columns else None, "morph_depth": F.lit(0), "offsets": F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))}
-    for c in tokens:
-        kind = d.schema[c].dataType
-        joined = joined.withColumn(c, F.when(F.col("place") > 0, F.concat(F.array(joint[c]).cast(kind), F.col(c))).otherwise(F.col(c)))
-    media = [c for c in named if c not in tokens]
-    # a pack has ``limit`` tokens at most, so as many rows
-    one = F.array_sort(F.collect_list(F.struct("place", *tokens)))
-    out = joined.groupBy("pack").agg(one.alias("_rows"), F.count(F.lit(1)).alias("num_samples"), F.max("alone").alias("alone"), *[F.first(F.when(F.col("alone"), F.col(c)), ignorenulls=True).alias(c) for c in media])
-    made = out.select("pack", "num_samples", "alone", *[F.flatten(F.col(f"_rows.{c}")).alias(c) for c in tokens], *[F.coalesce(c, F.array().cast(d.schema[c].dataType)).alias(c) for c in media])
+    empty = {c: F.array().cast(d.schema[c].dataType) for c in (*tokens, *media)}
+    whole = [F.coalesce(c, empty[c]).alias(c) for c in tokens] + [F.when(F.col("alone"), F.coalesce(c, empty[c])).otherwise(empty[c]).alias(c) for c in media]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = d.join(places, "_position").select("pack", "place", "alone", *whole).repartition(n, "pack").sortWithinPartitions("pack", "place")
+    out = dealt.select("pack", F.col("pack").alias("num_samples"), "alone", *tokens, *media).schema
+    arrow = to_arrow_schema(out)
+    made = dealt.mapInArrow(lambda b: _assemble(b, eos, tokens, media, arrow), out)
     made = made.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("ids")))
     return made if pad_id is None else pad(made, limit, pad_id)
