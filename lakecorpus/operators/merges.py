@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import checkpointed
+from lakecorpus.sources.store import Rolling
 
 #: Brackets of a symbol, and what stands between two that no merge may join: noncharacters, which texts don't interchange. In words they count as U+FFFD.
 OPEN, CLOSE, BAR = "﷐", "﷑", "﷒"
@@ -75,12 +75,13 @@ def learn_merges(counts: DataFrame, config: MergeConfig = MergeConfig()) -> tupl
     """Merges (rank, left, right, merged, n) in the order of learning, and the words (word, n, symbols) as they are left.
 
     ``counts`` has word and n, and barred, an array of places that no merge may cross, if it has that. The commonest pair is merged first, ties by left and right, until
-    ``merges`` are learned or no pair is there ``least`` times. Null words don't count. No words give no merges.
+    ``merges`` are learned or no pair is there ``least`` times. Null words don't count. No words give no merges. Words and counts of a round are written to the shared folder and those of the round before deleted; the last words stay there for who reads them.
     """
     spark = counts.sparkSession
     barred = F.col("barred") if "barred" in counts.columns else None
-    words = checkpointed(counts.where(F.col("word").isNotNull()).select("word", "n", symbols(F.col("word"), barred).alias("symbols")))
-    table = checkpointed(pairs(words, "n").groupBy("left", "right").agg(F.sum("n").alias("n")))
+    kept, counted = Rolling(spark, "merge-words"), Rolling(spark, "merge-pairs")
+    words = kept.write(counts.where(F.col("word").isNotNull()).select("word", "n", symbols(F.col("word"), barred).alias("symbols")))
+    table = counted.write(pairs(words, "n").groupBy("left", "right").agg(F.sum("n").alias("n")))
     learned: list[tuple[int, str, str, str, int]] = []
     made: set[str] = set()
     while len(learned) < config.merges:
@@ -97,11 +98,12 @@ def learn_merges(counts: DataFrame, config: MergeConfig = MergeConfig()) -> tupl
             break
         after = words.withColumn("_after", _merged(F.col("symbols"), batch))
         # the words before, where they change, are kept for one round
-        after = checkpointed(after.select("word", "n", F.col("_after").alias("symbols"), F.when(F.col("_after") != F.col("symbols"), F.col("symbols")).alias("_before")))
+        after = kept.write(after.select("word", "n", F.col("_after").alias("symbols"), F.when(F.col("_after") != F.col("symbols"), F.col("symbols")).alias("_before")))
         changed = after.where(F.col("_before").isNotNull())
         gone = pairs(changed.select("n", F.col("_before").alias("symbols")), "n").select("left", "right", (-F.col("n")).alias("n"))
         change = gone.union(pairs(changed, "n").select("left", "right", "n")).groupBy("left", "right").agg(F.sum("n").alias("n"))
-        table = checkpointed(table.union(change).groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
+        table = counted.write(table.union(change).groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
         words = after.drop("_before")
+    counted.drop()
     schema = "rank int, left string, right string, merged string, n long"
     return spark.createDataFrame(learned, schema), words

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lakecorpus.functions import textnorm as N
 from lakecorpus.operators import boxes, evaluation, media, merges, packing, pooling, preferences, tokens, training_rows
 from lakecorpus.operators import conversations as C
 from lakecorpus.operators.dedup import checkpointed
+from lakecorpus.sources import store
 from lakecorpus.sources.readers import with_position
 from lakecorpus.streaming import detokenize
 from lakecorpus.streaming.ingest import history
@@ -30,16 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(spark) -> str:
-    """A folder that driver and executors share: that of checkpoints."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
-    return at.rstrip("/")
-
-
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -412,7 +402,7 @@ def decode_stream(spark, sf_dir):
     provider = "spark.sql.streaming.stateStore.providerClass"
     session = spark.newSession()  # with a state store of its own choice
     session.conf.set(provider, detokenize.PROVIDER)
-    at = f"{_shared(spark)}/decode-{uuid.uuid4().hex}"
+    at = f"{store.shared(spark)}/decode-{uuid.uuid4().hex}"
     rows = session.read.parquet(f"{sf_dir}/conversations.parquet")
     # a pattern, as a stream's path may be one file only by a pattern
     stream = session.readStream.schema(rows.schema).parquet(f"{sf_dir}/conversations.parque[t]").where("text IS NOT NULL")

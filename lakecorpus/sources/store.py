@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -63,3 +66,31 @@ def write_whole(spark: SparkSession, path: str, text: str) -> None:
     store.delete(at, False)
     if not store.rename(early, at):
         raise OSError(f"cannot rename to {path}")
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of checkpoints. Only on one machine a temporary one stands in where the session has none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lakecorpus-")
+    return at.rstrip("/")
+
+
+class Rolling:
+    """A table that each round of a loop writes anew: it survives lost executors, and the one of the round before goes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.path = spark, f"{shared(spark)}/{name}-{uuid.uuid4().hex}", None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if self.path:
+            delete(self.spark, self.path)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.at)
