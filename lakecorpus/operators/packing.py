@@ -144,7 +144,8 @@ def next_fit(rows: DataFrame, config: PackConfig, position: str = "position") ->
     if config.limit <= 0:
         raise ValueError("the limit must be positive")
     alone = F.coalesce(F.col("alone"), F.lit(False)) if "alone" in rows.columns else F.lit(False)
-    sizes = rows.select(F.col(position), F.col("size").cast("long").alias("size"), alone.alias("alone"))
+    # sizes may be dear to tell; a range sort would ask for them twice
+    sizes = checkpointed(rows.select(F.col(position), F.col("size").cast("long").alias("size"), alone.alias("alone")))
     placed = checkpointed(sizes.orderBy(position).withColumn("_at", F.monotonically_increasing_id()))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
