@@ -52,6 +52,7 @@ class ProgressLog(StreamingQueryListener):
         _quietly(lambda: self.rows.extend(history_lines(spark, folder)))
         self.last: dict = {}
         self._names: dict[str, str | None] = {}
+        self._ended: dict[str, str] = {}  # runs that are over, as their last progress may come later
         self.report("starting")
 
     def report(self, state: str, **facts) -> None:
@@ -72,7 +73,7 @@ class ProgressLog(StreamingQueryListener):
             return
         self.last = plain({"batch": p.batchId, "query": str(p.id), "name": p.name, "input_rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "durations_ms": dict(p.durationMs)})
         self.rows.append(json.dumps({"t": time.time(), **self.last}))
-        self.report("running")
+        self.report(self._ended.get(str(p.runId), "running"))
         _quietly(lambda: store.write_whole(self.spark, f"{self.folder}/history.jsonl", "".join(r + "\n" for r in self.rows)))
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
@@ -80,7 +81,8 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         if self._mine(event.id):
-            self.report("failed" if event.exception else "finished", error=event.exception)
+            self._ended[str(event.runId)] = state = "failed" if event.exception else "finished"
+            self.report(state, error=event.exception)
 
 
 def history_lines(spark: SparkSession, folder: str) -> list[str]:

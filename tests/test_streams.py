@@ -100,8 +100,9 @@ def test_stop_ends_a_stream_after_its_batch(spark, tmp_path):
         assert not stopped and sorted(first + rest) == list(range(5))
         import time
 
-        for _ in range(50):
-            if (S.read_status(spark, monitor) or {}).get("batch") == 4 and S.read_status(spark, monitor)["state"] == "finished":
+        for _ in range(300):  # reports come some time after what they are about
+            now = S.read_status(spark, monitor) or {}
+            if now.get("batch") == 4 and now["state"] == "finished" and len(S.read_history(spark, monitor)) == 3:
                 break
             time.sleep(0.2)
     finally:
