@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lakecorpus.functions.batches import lists_of, parts
+
 from .training_rows import IGNORE
 
 #: The traditional script with its marks, its punctuation (which is no part of words), and the spaces (fixed values).
@@ -39,12 +42,16 @@ def spans(text: str | None, pattern: re.Pattern) -> list[tuple[str, str, int, in
 def segment(text: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
     """The spans of a text by track, as an array of (lang, text, start, end). They join to the text."""
 
-    @F.pandas_udf(ArrayType(SPAN))
-    def run(texts):
-        import pandas as pd
+    schema = pa.struct([("lang", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
+    @F.arrow_udf(ArrayType(SPAN))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pattern = span_pattern(specials)
-        return pd.Series([[dict(zip(("lang", "text", "start", "end"), s, strict=True)) for s in spans(t, pattern)] for t in texts])
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                each = [spans(t, pattern) for t in batch.slice(a, b - a).to_pylist()]
+                columns = list(zip(*(s for x in each for s in x), strict=True)) or [()] * 4
+                yield lists_of([len(x) for x in each], columns, schema)
 
     return run(text)
 
