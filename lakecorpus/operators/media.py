@@ -6,10 +6,18 @@ before them, so tokens of any tokenizer are mapped by their ends alone.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakecorpus.functions.batches import list_places, lists_of, parts
+
 KINDS = ("image", "video")
 #: An edit: kind, number among its kind, patches, and both stretches.
 EDIT = "array<struct<kind:string,index:int,patches:int,start:int,end:int,out_start:int,out_end:int>>"
@@ -96,11 +104,103 @@ def media_spans(annotated: DataFrame, edits: DataFrame, row: str = "doc_id", pos
     return both.select(row, "kind", "index", at.alias("start"), "end")
 
 
+#: Marks, words and white space of expanded texts.
+MARKS = r"<(?:image|video)_(?:start|patch|end)>|[^ \t\r\n\f\x0b<]+|<|[ \t\r\n\f\x0b]+"
+_WORD = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_ANNOTATED = pa.struct([*_WORD, ("image_index", pa.int32()), ("video_index", pa.int32())])
+_PLACED = pa.struct([("kind", pa.string()), ("index", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    each = [[(m[0], m.start(), m.end()) for m in re.finditer(MARKS, t or "") if m[0][0] not in " \t\r\n\f\x0b"] for t in texts.to_pylist()]
+    return lists_of([len(x) for x in each], list(zip(*(w for x in each for w in x), strict=True)) or [()] * 3, _WORD)
+
+
+def _numbers(values: pa.Array, name: str) -> np.ndarray:
+    return pc.fill_null(pc.struct_field(values, name), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _text_is(values: pa.Array, name: str, *some: str) -> np.ndarray:
+    return pc.is_in(pc.struct_field(values, name), value_set=pa.array(some)).to_numpy(zero_copy_only=False)
+
+
+def _annotated(tokens: pa.Array, edits: pa.Array) -> pa.Array:
+    (t_at, t), (e_at, e) = list_places(tokens), list_places(edits)
+    row, e_row = (np.repeat(np.arange(len(at) - 1), np.diff(at)) for at in (t_at, e_at))
+    start, end, out_start, out_end = (_numbers(e, n) for n in ("start", "end", "out_start", "out_end"))
+    order = (e_row << 33) + out_start
+
+    def last(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last edit of the row that begins before a place, and whether there is one."""
+        k = np.searchsorted(order, (row << 33) + at, side="left") - 1
+        there = (at >= 0) & (k >= e_at[row])
+        return np.where(there, k, 0), there
+
+    def back(at: np.ndarray) -> np.ndarray:
+        if not len(e):
+            return at
+        k, there = last(at)
+        return np.where(there, np.where(at <= out_end[k], end[k], at - out_end[k] + end[k]), at)
+
+    ends = {n: _numbers(t, n) for n in ("start", "end")}
+    moved = {n: back(at) for n, at in ends.items()}
+    index = {}
+    for kind in KINDS:
+        mine = np.zeros(len(t), dtype=bool)
+        if len(e):
+            k, there = last(ends["end"])
+            mine = there & (ends["end"] <= out_end[k]) & _text_is(e, "kind", kind)[k] & _text_is(t, "token", *[f"<{kind}_{p}>" for p in ("start", "patch", "end")])
+            moved = {"start": np.where(mine, start[k], moved["start"]), "end": np.where(mine, end[k], moved["end"])}
+        numbers = _numbers(e, "index")[k] if len(e) else np.zeros(len(t), dtype=np.int64)
+        index[kind] = pa.array(numbers, type=pa.int32(), mask=~mine)
+    return lists_of(np.diff(t_at), [pc.struct_field(t, "token"), moved["start"], moved["end"], index["image"], index["video"]], _ANNOTATED)
+
+
+def _placed(tokens: pa.Array, edits: pa.Array) -> pa.Array:
+    (t_at, t), (e_at, e) = list_places(tokens), list_places(edits)
+    row = np.repeat(np.arange(len(t_at) - 1), np.diff(t_at))
+    place = np.arange(len(t)) - t_at[row]
+    first, behind, patches = np.full(len(e), np.iinfo(np.int64).max), np.zeros(len(e), dtype=np.int64), np.zeros(len(e), dtype=np.int64)
+    fits = True
+    for kind in KINDS:
+        of_kind = _text_is(e, "kind", kind) if len(e) else np.zeros(0, dtype=bool)
+        ids, before = np.flatnonzero(of_kind), np.r_[0, np.cumsum(of_kind)]
+        index = _numbers(t, f"{kind}_index")
+        some = np.flatnonzero(index >= 0)
+        at = before[e_at[row[some]]] + index[some]
+        fits = fits and bool((at < before[e_at[row[some] + 1]]).all())
+        if fits:
+            mine = ids[at]
+            np.minimum.at(first, mine, place[some])
+            np.maximum.at(behind, mine, place[some] + 1)
+            patches += np.bincount(mine[_text_is(t, "token", f"<{kind}_patch>")[some]], minlength=len(e)) if len(e) else 0
+    due = _numbers(e, "patches")
+    if not fits or ((patches != due) | (behind - first != due + 2)).any():
+        raise ValueError("the tokens of a medium don't match its placeholder")
+    return lists_of(np.diff(e_at), [pc.struct_field(e, "kind"), pc.struct_field(e, "index"), first, behind], _PLACED)
+
+
+def in_rows(text: Column, edits: Column) -> Column:
+    """What ``annotate`` and ``media_spans`` make of the tokens of ``tokenized``, in the text's own row: no token leaves its row, so nothing is shuffled.
+
+    A struct of tokens (token, start, end, image_index, video_index) in order, and spans (kind, index, start, end), one for each edit.
+    """
+
+    @F.arrow_udf("tokens array<struct<token:string,start:int,end:int,image_index:int,video_index:int>>, spans array<struct<kind:string,index:int,start:long,end:long>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for t, e in batches:
+            for a, b in parts(t) if len(t) else ((0, 0),):
+                mine = e.slice(a, b - a)
+                tokens = _annotated(_words(t.slice(a, b - a)), mine)
+                yield pa.StructArray.from_arrays([tokens, _placed(tokens, mine)], names=["tokens", "spans"])
+
+    return run(text, edits)
+
+
 def tokenized(texts: DataFrame, row: str = "doc_id", text: str = "expanded") -> DataFrame:
     """(row, pos, token, start, end) of marks and words between spaces: a plain tokenizer of expanded texts, for tests and counts."""
-    marks = r"<(?:image|video)_(?:start|patch|end)>|[^ \t\r\n\f\x0b<]+|<|[ \t\r\n\f\x0b]+"
-    parts = texts.select(row, F.regexp_extract_all(text, F.lit(marks), F.lit(0)).alias("t"))
-    each = parts.select(row, F.posexplode("t").alias("_i", "token"))
+    found = texts.select(row, F.regexp_extract_all(text, F.lit(MARKS), F.lit(0)).alias("t"))
+    each = found.select(row, F.posexplode("t").alias("_i", "token"))
     w = Window.partitionBy(row).orderBy("_i")
     ends = each.withColumn("end", F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     words = ends.withColumn("start", (F.col("end") - F.length("token")).cast("int")).where(F.col("token").rlike(r"[^ \t\r\n\f\x0b]"))
