@@ -58,13 +58,13 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
 def quality_reason(text: Column, config: QualityConfig = QualityConfig()) -> Column:
     """The general gate. Null is empty; rules follow in a fixed order."""
     t = F.coalesce(text, F.lit(""))
-    rules = [("too_short", F.length(N.strip(t)) < config.min_chars)]
+    rules = [("too_short", M.text_counts(t)["n_stripped"] < config.min_chars)]
     if config.script:
         rules.append(("script_impurity", M.script_ratio(t, config.script) < config.min_script_ratio))
     rules += [
         ("repeated_lines", M.repeated_line_fraction(t) > config.max_repeated_lines),
         ("symbol_spam", M.symbol_to_word_ratio(t) > config.max_symbols),
-        ("word_len", M.bound(M.mean_word_length(t), lambda n: (n < config.min_word_length) | (n > config.max_word_length))),
+        ("word_len", (M.mean_word_length(t) < config.min_word_length) | (M.mean_word_length(t) > config.max_word_length)),
         ("boilerplate", contains_any(t, config.furniture)),
     ]
     return first_reason(*rules)
@@ -148,7 +148,7 @@ def running_text_reason(text: Column, config: RunningTextConfig = RunningTextCon
     t = F.coalesce(text, F.lit(""))
     seen = M.visible(t)
     return first_reason(
-        ("too_short", F.length(N.strip(t)) < config.min_chars),
+        ("too_short", M.text_counts(t)["n_stripped"] < config.min_chars),
         ("pua", t.rlike(r"[\x{e000}-\x{f8ff}]")),
         ("control", t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")),
         ("empty", seen == 0),

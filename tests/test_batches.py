@@ -1,6 +1,8 @@
 import pyarrow as pa
+import pytest
+from lakecorpus.functions import metrics as M
 from lakecorpus.functions.batches import list_places, lists_of, parts
-from lakecorpus.operators import tokens
+from lakecorpus.operators import media, tokens
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,31 @@ def test_spans_of_texts_over_several_parts(spark):
     d = spark.createDataFrame([(k, None if k == 3 else f"w{k} " * 30_000) for k in range(5)], "k long, text string").coalesce(1)
     got = {r.k: r.n for r in d.select("k", F.size(tokens.segment(F.col("text"))).alias("n")).collect()}
     assert got == {0: 60_000, 1: 60_000, 2: 60_000, 3: 0, 4: 60_000}
+
+
+def test_media_in_their_rows_are_as_in_tables_of_tokens(spark):
+    rows = [(1, "a <image> b<video>c", [2], [1]), (2, "no media", None, []), (3, "<image><image>", [1, None], None), (4, "字<video>é", [], [3]), (5, "", [], []), (6, "x <images> <image", [], []), (7, "w " * 300 + "<image>" + " v" * 9, [5], []), (8, None, None, None)]
+    texts = media.expand(spark.createDataFrame(rows, "doc_id long, text string, image_patches array<int>, video_patches array<int>")).coalesce(1)
+    tokens_ = media.annotate(media.tokenized(texts), texts)
+    d = texts.select("doc_id", media.in_rows(F.col("expanded"), F.col("edits")).alias("x"))
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    mine = {(r.doc_id, r.pos, *r.col) for r in d.select("doc_id", F.posexplode("x.tokens")).collect()}
+    assert mine == {(r.doc_id, r.pos, r.token, r.start, r.end, r.image_index, r.video_index) for r in tokens_.collect()}
+    spans = {(r.doc_id, *r.x) for r in d.select("doc_id", F.explode("x.spans").alias("x")).collect()}
+    assert spans == {tuple(r) for r in media.media_spans(tokens_, texts).collect()}
+    edit = pa.array([[{"kind": "image", "index": 0, "patches": 1, "start": 0, "end": 7, "out_start": 0, "out_end": 34}]])
+    for text in ("<image_start><image_patch><image_end>", "<image_start><image_end>"):
+        with pytest.raises(ValueError, match="don't match"):
+            media._placed(media._annotated(media._words(pa.array([text])), edit.slice(0, 1) if "patch" not in text else pa.array([[]], type=edit.type)), edit)
+
+
+def test_counts_of_texts_make_no_regular_expressions(spark):
+    texts = ["", None, " 　 a1 b2 c3 d4 e5  ", "中文 abc #|# \n\nx\n x \n", "a中 b 12 ᠎", "\U0001f600 \U00010400x", "\x1c\x1da"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)
+    columns = {"n": M.token_count(F.col("text")), "r": M.repeated_line_fraction(F.col("text")), "s": M.symbol_to_word_ratio(F.col("text")), "w": M.mean_word_length(F.col("text")), "p": M.token_proxy(F.col("text")), "v": M.visible(F.col("text"))}
+    made = d.select("k", *[c.alias(n) for n, c in columns.items()])
+    assert "regexp" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.k: tuple(r)[1:] for r in made.collect()}
+    assert got[0] == (0, 0.0, 1.0, None, 1, 0) and got[1] == (None, None, 1.0, None, 1, None)
+    assert got[2] == (5, 0.0, 0.0, 2.0, 5, 10) and got[3] == (6, 1 / 3, 3 / 6, None, 5, 10)
+    assert got[4][0] == 5 and got[5][0] == 2 and got[6][0] == 1
