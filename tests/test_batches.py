@@ -2,7 +2,7 @@ import pyarrow as pa
 import pytest
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions.batches import list_places, lists_of, parts
-from lakecorpus.operators import media, tokens
+from lakecorpus.operators import media, mixture, tokens
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,13 @@ def test_counts_of_texts_make_no_regular_expressions(spark):
     assert got[0] == (0, 0.0, 1.0, None, 1, 0) and got[1] == (None, None, 1.0, None, 1, None)
     assert got[2] == (5, 0.0, 0.0, 2.0, 5, 10) and got[3] == (6, 1 / 3, 3 / 6, None, 5, 10)
     assert got[4][0] == 5 and got[5][0] == 2 and got[6][0] == 1
+
+
+def test_places_of_a_mixture_are_ranked_without_texts(spark):
+    rows = [(s, p, "x y " * n) for s in ("a", "b", None) for n, p in enumerate([None, 1, 2, 3, 4, 5], 1)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    out = mixture.measure(docs, sample=3)
+    assert {(r.source, r.n_docs, r.n_chars, r.sample_tokens, r.sample_chars) for r in out.collect()} == {(s, 6, 84, 12, 24) for s in ("a", "b", None)}
+    plan = [x.lstrip(" :+-") for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    below = [next(x for x in plan[k:] if x.startswith(("Project", "Relation", "LogicalRDD"))) for k, x in enumerate(plan) if x.startswith("Window")]
+    assert below and not any(" text#" in x for x in below)
