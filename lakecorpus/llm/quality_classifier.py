@@ -31,12 +31,13 @@ PART = 1 << 22
 
 @dataclass(frozen=True)
 class RankingConfig:
-    #: Labelled rows that are learned from at most (in expectation: ids are drawn by hash); the bound of the sample.
-    most_labelled: int = 20_000
+    #: Labelled rows that are learned from at most (in expectation: ids are drawn by hash); all of them by default.
+    most_labelled: int | None = None
     #: Documents of a block, in which all pairs count.
     block: int = 256
-    #: Tasks that a step is dealt to.
+    #: Tasks that a step is dealt to at least, and rows of a task.
     parts: int = 16
+    rows: int = 50_000
     steps: int = 25
     #: Weight of the squared coefficients, as a share of the pairs.
     ridge: float = 1e-4
@@ -157,14 +158,15 @@ def _step_of(batches: Iterator[pa.RecordBatch], model: Ranking, block: int) -> I
 
 
 def train(labelled: DataFrame, config: RankingConfig = RankingConfig()) -> Ranking | None:
-    """The ranking learned from rows (key, features, good), of a bounded sample. None where there aren't both good and bad documents.
+    """The ranking learned from all rows (key, features, good). None where there aren't both good and bad documents.
 
     Rows lie in blocks in the order of the hash of key, so a block has its share of both; rows of a null key, features or good are left out.
     """
     rows = labelled.where(F.col("key").isNotNull() & F.col("features").isNotNull() & F.col("good").isNotNull())
     order = F.xxhash64(F.col("key"), F.lit(1))
-    dealt = rows.select("features", "good", order.alias("h")).repartition(config.parts, "h").sortWithinPartitions("h", "good", "features")
-    dealt = cut(dealt, "ranking-sample")
+    kept = cut(rows.select("features", "good", order.alias("h")), "labelled")
+    parts = max(config.parts, -(-kept.count() // config.rows))
+    dealt = cut(kept.repartition(parts, "h").sortWithinPartitions("h", "good", "features"), "ranking-rows")
     # moments of each feature: an array has a fixed number of them
     each = dealt.select("good", F.posexplode("features").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"), F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("n_good")).orderBy("k").collect()
     if not each or each[0].n_good in (0, each[0].n):
@@ -184,10 +186,39 @@ def train(labelled: DataFrame, config: RankingConfig = RankingConfig()) -> Ranki
             break
     bad, n = each[0].n - each[0].n_good, each[0].n
     level = (bad - 0.5) / max(n - 1, 1)
-    at = scored(dealt, model).agg(F.percentile("latent", F.lit(min(max(level, 0.0), 1.0)))).first()[0]
+    at = quantile(scored(dealt, model).select("latent"), min(max(level, 0.0), 1.0))
     return Ranking(model.mean, model.scale, model.weights, at)
 
 
+#: Bins of a histogram, and the values that are few enough to be looked at one by one.
+BINS, FEW = 4096, 10_000
+
+
+def _ordered(values: DataFrame, place: int) -> float:
+    """The value at a place, from 0, in the order of all: histograms narrow the range down until few values are left in it. No task holds more than a histogram or those few."""
+    low, high, n = values.agg(F.min("latent"), F.max("latent"), F.count("latent")).first()
+    while n > FEW and low < high:
+        width = (high - low) / BINS
+        k = F.least(F.floor((F.col("latent") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+        bins = values.where(F.col("latent").between(low, high)).groupBy(k.alias("k")).agg(F.min("latent").alias("low"), F.max("latent").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("k").collect()
+        for b in bins:
+            if place < b.n:
+                break
+            place -= b.n
+        low, high, n = b.low, b.high, b.n
+    if low == high:
+        return low
+    return sorted(r.latent for r in values.where(F.col("latent").between(low, high)).collect())[place]
+
+
+def quantile(values: DataFrame, level: float) -> float:
+    """The exact quantile of latent, between the two values next to it as ``percentile`` has it, over all rows."""
+    at = level * (values.count() - 1)
+    below = math.floor(at)
+    a, b = _ordered(values, below), _ordered(values, math.ceil(at))
+    return a if a == b else (below + 1 - at) * a + (at - below) * b
+
+
 def scored(rows: DataFrame, model: Ranking) -> DataFrame:
     """Adds latent, the latent score, to rows with features."""
     parts = [(F.element_at("features", k + 1) - float(m)) / float(s) * float(w) for k, (m, s, w) in enumerate(zip(model.mean, model.scale, model.weights, strict=True))]
@@ -216,12 +247,12 @@ def held_out(doc_id: Column) -> Column:
 def sample_labelled(docs: DataFrame, labels: DataFrame, config: RankingConfig = RankingConfig()) -> DataFrame:
     """(key, features, good) of documents (doc_id, text) with a label (doc_id, quality), those of ids that are held out left out.
 
-    Where there are more labels than the bound, ids are drawn by hash, from both tables, before any text is looked at; only features are shuffled. A document with two labels is there twice.
+    All are learned from, unless ``most_labelled`` asks for fewer: then ids are drawn by hash, from both tables, before any text is looked at. Only features are shuffled. A document with two labels is there twice.
     Quality 1 is good, any other bad; null labels don't count.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("good"))
-    n = known.count()
-    bound = 1 << 30 if n <= config.most_labelled else int((1 << 30) * config.most_labelled / n)
+    n = known.count() if config.most_labelled is not None else 0
+    bound = 1 << 30 if config.most_labelled is None or n <= config.most_labelled else int((1 << 30) * config.most_labelled / n)
     drawn = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < bound
     texts = docs.where(~held_out(F.col("doc_id")) & drawn("doc_id")).select(F.col("doc_id").alias("key"), "text")
     return features(texts).join(known.where(drawn("key")), "key").select("key", "features", "good")

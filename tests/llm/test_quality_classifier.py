@@ -114,3 +114,19 @@ def test_sample_is_bounded_and_ids_cannot_leak(spark, docs_of):
     moved = docs.withColumn("doc_id", F.col("doc_id") + 7).withColumn("lang", F.lit("xx"))
     a, b = (sorted(r.score for r in qc.classify(d, model).collect()) for d in (docs, moved))
     assert a == b
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    assert qc.RankingConfig().most_labelled is None
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("some words.").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert qc.sample_labelled(docs, labels).count() == labels.where(~qc.held_out(F.col("doc_id"))).count() > 20_000
+
+
+def test_quantile_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(qc, "FEW", 20)
+    monkeypatch.setattr(qc, "BINS", 8)
+    values = spark.range(3_000).select((F.pow(F.col("id") % 997, 3) / 7).alias("latent"))
+    for level in (0.0, 0.1234, 0.5, 1.0):
+        assert qc.quantile(values, level) == pytest.approx(values.agg(F.percentile("latent", F.lit(level))).first()[0], rel=1e-12)
+    assert qc.quantile(values.select(F.lit(2.0).alias("latent")), 0.3) == 2.0
