@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.batches import lists_of, parts
+from lakecorpus.functions.batches import lists_from, lists_of, parts
 
 from .training_rows import IGNORE
 
@@ -56,6 +57,24 @@ def segment(text: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
     return run(text)
 
 
+def character_ids(text: Column, ids: dict[str, int], other: int) -> Column:
+    """An id for each character: that of ``ids``, else ``other``. No part of a lambda."""
+    table = np.full(max(map(ord, ids), default=0) + 2, other, dtype=np.int32)
+    for c, i in ids.items():
+        table[ord(c)] = i
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                some = batch.slice(a, b - a)
+                each = [t or "" for t in some.to_pylist()]
+                codes = np.frombuffer("".join(each).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                yield lists_from(np.array([len(t) for t in each], dtype=np.int64), table[np.minimum(codes, len(table) - 1)], some.is_null())
+
+    return run(text)
+
+
 def track(piece: Column) -> Column:
     """``general`` for a piece with a letter or number, else ``general_punct``."""
     return F.when(piece.rlike(r"[\p{L}\p{N}]"), "general").otherwise("general_punct")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lakecorpus.functions.batches import list_places, lists_from, parts, utf8_bytes
+
 IGNORE = -100
 #: Tokens that are never supervised (fixed values).
 IGNORED_TOKENS = (
@@ -18,9 +23,36 @@ IGNORED_TOKENS = (
 
 
 def byte_ids(text: Column, first: int = 0) -> Column:
-    """The byte fallback: an id for each byte of the text's UTF-8, counted from ``first``."""
-    pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + first)
+    """The byte fallback: an id for each byte of the text's UTF-8, counted from ``first``. No part of a lambda."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                texts = batch.slice(a, b - a)
+                sizes, data = utf8_bytes(texts)
+                yield lists_from(sizes, data.astype(np.int32) + np.int32(first), texts.is_null())
+
+    return run(text)
+
+
+def bytes_of(ids: Column) -> Column:
+    """The bytes among ids as a binary value; other ids and nulls are left out. No part of a lambda."""
+
+    @F.arrow_udf(BinaryType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                lists = batch.slice(a, b - a)
+                at, flat = list_places(lists)
+                values = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+                kept = (values >= 0) & (values < 256)
+                ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][at].astype(np.int32)
+                data = pa.py_buffer(values[kept].astype(np.uint8).tobytes())
+                made = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data])
+                yield pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), made)
+
+    return run(ids)
 
 
 def byte_tokens() -> list[str]:
@@ -221,6 +253,51 @@ def positions_from_boundaries(tokens: DataFrame, word_id: int, morpheme_id: int,
     return d.withColumns({"word_pos": at, "morph_depth": deep}).drop("_opens", "_resets", "_deeper", "_content", "_words", "_run", "_early", "_depth")
 
 
+_TRACKS = StructType([StructField(n, ArrayType(IntegerType())) for n in ("word_pos", "morph_depth")])
+
+
+def _tracks(at: np.ndarray, ids: pa.Array, word_id: int, morpheme_id: int, specials: tuple[int, int], max_depth: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """word_pos and morph_depth of all ids, of which rows begin at ``at[:-1]``; as in ``positions_from_boundaries``."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    token = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    special = known & (token >= specials[0]) & (token < specials[1])
+    opens, deeper = special & (token == word_id), special & (token == morpheme_id)
+    resets, content = special & ~deeper, known & ~special
+    sizes = np.diff(at)
+    place = np.arange(len(token))
+    begin = np.repeat(at[:-1], sizes)
+
+    def counted(flags: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """How many are set from the place ``since`` on, up to and with each."""
+        before = np.r_[0, np.cumsum(flags, dtype=np.int64)]
+        return before[1:] - before[since]
+
+    words = counted(opens, begin)
+    early = counted(content & (words == 0), begin) > 0
+    run = np.maximum(np.maximum.accumulate(np.where(resets, place, 0)), begin) if len(token) else place
+    outside = (words == 0) & ~early
+    depth = counted(deeper, run) - np.where((words == 0) & early, counted(deeper & outside, run), 0)
+    depth[resets] = 0
+    if max_depth is not None and max_depth > 0:
+        np.minimum(depth, max_depth - 1, out=depth)
+    return np.maximum(words - 1 + early, 0).astype(np.int32), depth.astype(np.int32)
+
+
+def boundary_tracks(ids: Column, word_id: int, morpheme_id: int, specials: tuple[int, int] = (0, 256), max_depth: int | None = None) -> Column:
+    """``positions_from_boundaries`` of an array of ids, as a struct of the arrays word_pos and morph_depth: within the row, so nothing is exploded or shuffled. No part of a lambda."""
+
+    @F.arrow_udf(_TRACKS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                lists = batch.slice(a, b - a)
+                at, flat = list_places(lists)
+                made = _tracks(at, flat, word_id, morpheme_id, specials, max_depth)
+                yield pa.StructArray.from_arrays([lists_from(np.diff(at), x, lists.is_null()) for x in made], names=_TRACKS.names)
+
+    return run(ids)
+
+
 def span_cutoff(n: Column, spans: Column, limit: int) -> Column:
     """Where a row of n tokens is cut so that no span (start, end) is cut through: at the limit, or at the start of the span across it. Spans don't overlap."""
     across = F.get(F.filter(spans, lambda s: (s["start"] < limit) & (s["end"] > limit)), 0)["start"]

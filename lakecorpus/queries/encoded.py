@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakecorpus.functions import batches
 from lakecorpus.functions import metrics as M
 from lakecorpus.operators import gate, lookups, quality, reports, tokens, training_rows
 from lakecorpus.streaming import ranks
@@ -259,11 +262,27 @@ a AS (SELECT *, sum((id = 17)::INT) OVER w AS words, sum((id IN (5, 17))::INT) O
 b AS (SELECT *, sum(CASE WHEN id = 18 AND NOT (words = 0 AND early = 0) THEN 1 ELSE 0 END) OVER r AS counted, sum((id = 18)::INT) OVER r AS everything FROM a WINDOW r AS (PARTITION BY doc_id, run ORDER BY pos ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, CAST(sum(greatest(words - 1 + early, 0) * (pos % 97)) AS BIGINT) AS word_sum, CAST(sum(CASE WHEN id IN (5, 17) THEN 0 ELSE least(CASE WHEN words = 0 AND early = 0 THEN everything ELSE CASE WHEN words = 0 THEN counted ELSE everything END END, 3) END * (pos % 89)) AS BIGINT) AS depth_sum FROM b GROUP BY doc_id""")
 def boundary_positions(spark, sf_dir):
-    c = F.col("c")
-    code = F.when(c == " ", 17).when(c == "e", 18).when(~c.rlike("[A-Za-z]"), 5).otherwise(300)
-    t = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "c")).select("doc_id", "pos", code.alias("id"))
-    d = training_rows.positions_from_boundaries(t, 17, 18, max_depth=4)
-    return d.groupBy("doc_id").agg(F.sum(F.col("word_pos").cast("long") * (F.col("pos") % 97)).alias("word_sum"), F.sum(F.col("morph_depth").cast("long") * (F.col("pos") % 89)).alias("depth_sum"))
+    known = dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 300) | {" ": 17, "e": 18}
+    d = docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", tokens.character_ids(F.col("text"), known, 5).alias("ids"))
+    d = d.select("doc_id", training_rows.boundary_tracks(F.col("ids"), 17, 18, max_depth=4).alias("p"))
+    return d.select("doc_id", _place_sums(97)(F.col("p.word_pos")).alias("word_sum"), _place_sums(89)(F.col("p.morph_depth")).alias("depth_sum"))
+
+
+def _place_sums(m: int):
+    """The sum of a list's values, each times its place modulo m."""
+
+    @F.arrow_udf("long")
+    def run(lists: pa.Array) -> pa.Array:
+        at, flat = batches.list_places(lists)
+        sums = np.zeros(len(lists), dtype=np.int64)
+        for a, b in batches.parts(lists):
+            low, high = int(at[a]), int(at[b])
+            place = np.arange(low, high) - np.repeat(at[a:b], np.diff(at[a : b + 1]))
+            total = np.r_[0, np.cumsum(flat.slice(low, high - low).to_numpy(zero_copy_only=False) * (place % m))]
+            sums[a:b] = np.diff(total[at[a : b + 1] - low])
+        return pa.array(sums)
+
+    return run
 
 
 #: Words and white space as tokens with their true offsets, less every fourth: a word goes on where nothing is left out.
