@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.metrics import bound, count_of, script_class
+from lakecorpus.functions.batches import list_places
+from lakecorpus.functions.metrics import count_of, script_class
 
 from .dedup import checkpointed
 from .evaluation import crossed_boundaries
@@ -76,16 +81,32 @@ def first_failures(pairs: DataFrame, first: int = 10, position: str = "doc_id")
     return pairs.where(~F.col("text").eqNullSafe(F.col("decoded"))).orderBy(position).limit(first)
 
 
-def offset_report(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, tokens_checked, invalid_offsets, non_monotonic) of rows (n_chars, tokens array of (start, end)). Tokens at (-1, -1) don't count."""
-    real = F.filter("tokens", lambda t: ~((t["start"] == -1) & (t["end"] == -1)))
+_OFFSET_COUNTS = StructType([StructField(n, LongType()) for n in ("n", "bad", "back")])
+
 
-    def counts(ts: Column) -> Column:
-        bad = F.size(F.filter(ts, lambda t: (t["start"] < 0) | (t["end"] < t["start"]) | (t["end"] > F.col("n_chars"))))
-        back = F.size(F.filter(ts, lambda t, i: t["start"] < F.coalesce(F.get(ts, i - 1)["start"], F.lit(-1))))
-        return F.struct(F.size(ts).alias("n"), bad.alias("bad"), back.alias("back"))
+@F.arrow_udf(_OFFSET_COUNTS)
+def _offset_counts(rows: pa.Array, n_chars: pa.Array) -> pa.Array:
+    """Of each row's tokens those with offsets, those of them that are out of bounds, and those that start before the one before them."""
+    at, flat = list_places(rows)
+    start, end = (pc.struct_field(flat, f) for f in ("start", "end"))
+    # what is null is no number: it is in no bounds and out of none
+    number = lambda x: pc.fill_null(pc.cast(x, pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    start, end, sizes = number(start), number(end), number(n_chars)
+    owner = np.repeat(np.arange(len(rows)), np.diff(at))
+    nowhere = lambda x: (x == -1) | np.isnan(x)
+    real = ~(nowhere(start) & nowhere(end))
+    start, end, owner = start[real], end[real], owner[real]
+    bad = (start < 0) | (end < start) | (end > sizes[owner])
+    first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+    before = np.where(first, -1, np.r_[-1, start[:-1]][: len(start)])
+    back = start < np.where(np.isnan(before), -1, before)
+    of = lambda w=None: np.bincount(owner, w, minlength=len(rows)).astype(np.int64)
+    return pa.StructArray.from_arrays([pa.array(x) for x in (of(), of(bad), of(back))], names=_OFFSET_COUNTS.names)
 
-    d = rows.select(*keys, bound(real, counts).alias("c")).groupBy(*keys)
+
+def offset_report(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tokens_checked, invalid_offsets, non_monotonic) of rows (n_chars, tokens array of (start, end)). Tokens at (-1, -1) don't count."""
+    d = rows.select(*keys, _offset_counts("tokens", "n_chars").alias("c")).groupBy(*keys)
     total = lambda c: F.coalesce(F.sum(f"c.{c}"), F.lit(0)).cast("long")
     return d.agg(total("n").alias("tokens_checked"), total("bad").alias("invalid_offsets"), total("back").alias("non_monotonic"))
 
