@@ -88,16 +88,21 @@ class WebConfig:
     strip_furniture: bool = True
 
 
+#: Without one of these characters a text is no promotion, and without one of these or the words no line is furniture; one look spares all patterns.
+_HAN = r"[\x{4e00}-\x{9fff}]"
+_MAYBE_FURNITURE = rf"{_HAN}|All Rights Reserved|play\s+stop"
+
+
 def is_spam(text: Column) -> Column:
     """A gambling promotion, or a contact next to a solicitation."""
-    return text.rlike(GAMBLING) | (text.rlike(CONTACT) & text.rlike(SOLICITATION))
+    return text.rlike(_HAN) & (text.rlike(GAMBLING) | (text.rlike(SOLICITATION) & text.rlike(CONTACT)))
 
 
 def strip_furniture_lines(text: Column) -> Column:
     """Without lines of page furniture; blank lines stay, at most one at a time."""
     pattern = "|".join(FURNITURE_LINES)
-    kept = F.filter(N.lines(text), lambda x: ~((N.strip(x) != "") & x.rlike(pattern)))
-    return N.strip(N.limit_blank_lines(N.join_lines(kept)))
+    kept = F.filter(N.lines(text), lambda x: ~(x.rlike(_MAYBE_FURNITURE) & (N.strip(x) != "") & x.rlike(pattern)))
+    return N.strip(N.limit_blank_lines(F.when(text.rlike(_MAYBE_FURNITURE), N.join_lines(kept)).otherwise(text)))
 
 
 def web_gate(docs: DataFrame, config: WebConfig = WebConfig(), normalize=N.normalize_web) -> DataFrame:
