@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.batches import list_places, lists_from, parts, utf8_bytes
+from lakecorpus.functions.batches import cell_places, list_places, lists_from, parts, utf8_bytes
 
 IGNORE = -100
 #: Tokens that are never supervised (fixed values).
@@ -55,6 +56,38 @@ def bytes_of(ids: Column) -> Column:
     return run(ids)
 
 
+def hex_text(ids: Column, marks: dict[int, str]) -> Column:
+    """Ids as text, two characters each: bytes in hex, other ids as ``marks`` has them; those that it lacks are left out, and so are nulls. Lists of lists are read one behind the other. No part of a lambda."""
+    low, high = min([0, *marks]) - 1, max([255, *marks]) + 1
+    table = np.zeros(high - low + 1, dtype="S2")
+    for i, mark in ({b: f"{b:02x}" for b in range(256)} | marks).items():
+        table[i - low] = mark.encode("ascii")
+
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                lists = batch.slice(a, b - a)
+                at, flat = cell_places(lists)
+                pairs = table[np.clip(flat.fill_null(low).to_numpy(zero_copy_only=False), low, high) - low]
+                kept = pairs != b""
+                ends = 2 * np.r_[0, np.cumsum(kept, dtype=np.int64)][at]
+                made = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(pairs[kept].tobytes()))
+                yield pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), made)
+
+    return run(ids)
+
+
+@F.arrow_udf(LongType())
+def total(lists: pa.Array) -> pa.Array:
+    """The sum of a list's numbers, or of those of its lists."""
+    sums = []
+    for a, b in parts(lists):
+        at, flat = cell_places(lists.slice(a, b - a))
+        sums.append(np.diff(np.r_[0, np.cumsum(flat.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)][at]))
+    return pa.array(np.concatenate([*sums, np.zeros(0, dtype=np.int64)]))
+
+
 def byte_tokens() -> list[str]:
     return [f"<0x{b:02X}>" for b in range(256)]
 
@@ -131,46 +164,107 @@ def word_positions(tokens: DataFrame, row: str = "doc_id", position: str = "pos"
     return d.withColumn("word_pos", F.greatest(F.col("_n") - 1, F.lit(0)).cast("int")).withColumn("morph_depth", depth.cast("int")).drop("_word", "_b", "_new", "_n")
 
 
-def _packs(batches: Iterator[pa.RecordBatch], limit: int, eos: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("pack_group", pa.int64()), ("pack", pa.int64()), ("ids", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("num_samples", pa.int32())])
-    group, pack, ids, labs, n, out = None, 0, [], [], 0, []
+#: Tokens that are written out together, at least.
+_OUT = 1 << 18
+#: Tokens of a block of packs.
+BLOCK = 1 << 22
 
-    def row():
-        return {"pack_group": group, "pack": pack, "ids": ids, "labels": labs, "num_samples": n}
 
+def _packs(batches: Iterator[pa.RecordBatch], limit: int, eos: int) -> Iterator[pa.RecordBatch]:
+    """Packs of rows sorted by group, block and position. A block begins with a pack of its own, whose number it has as ``first``."""
+    schema = pa.schema([("pack_group", pa.int64()), ("pack", pa.int64()), ("ids", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("num_samples", pa.int32())])
+    end = np.array([eos], dtype=np.int32)
+    block, pack, size, n = None, 0, 0, 0
+    cells: dict[str, list[np.ndarray]] = {"ids": [], "labels": []}
+    done: list[tuple[int, int, int, int, int]] = []  # group, pack, ids, labels, samples
+    before = {"ids": 0, "labels": 0}
+
+    def close() -> None:
+        now = {c: sum(map(len, x)) for c, x in cells.items()}
+        done.append((block[0], pack, now["ids"] - before["ids"], now["labels"] - before["labels"], n))
+        before.update(now)
+
+    def out() -> pa.RecordBatch:
+        group, packs, long, labelled, samples = np.array(done, dtype=np.int64).reshape(-1, 5).T
+        lists = [lists_from(k, np.concatenate([*cells[c], np.zeros(0, dtype=np.int32)])) for c, k in (("ids", long), ("labels", labelled))]
+        made = pa.RecordBatch.from_arrays([pa.array(group), pa.array(packs), *lists, pa.array(samples.astype(np.int32))], schema=schema)
+        done.clear()
+        for c in cells:
+            cells[c], before[c] = [], 0
+        return made
+
+    written = 0
     for batch in batches:
-        for g, i, lab in zip(*(batch.column(c).to_pylist() for c in ("pack_group", "ids", "labels")), strict=True):
-            i, lab = i[:limit], lab[:limit]
-            if not i:
+        values = {c: list_places(batch.column(c)) for c in ("ids", "labels")}
+        flat = {c: v.to_numpy(zero_copy_only=False) for c, (_, v) in values.items()}
+        at = {c: a.tolist() for c, (a, _) in values.items()}
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pack_group", "first")), strict=True)):
+            row = {c: flat[c][at[c][k] : min(at[c][k + 1], at[c][k] + limit)] for c in cells}
+            m = len(row["ids"])
+            if not m:
                 continue
-            if g != group:
-                if ids:
-                    out.append(row())
-                group, pack, ids, labs, n = g, 0, [], [], 0
-            elif ids and len(ids) + 1 + len(i) > limit:
-                out.append(row())
-                pack, ids, labs, n = pack + 1, [], [], 0
-            ids, labs = ([*ids, eos, *i], [*labs, eos, *lab]) if ids else (i, lab)
+            if key != block or size + 1 + m > limit:
+                if n:
+                    close()
+                    if written > _OUT:
+                        yield out()
+                        written = 0
+                block, pack, size, n = key, pack + 1 if key == block else key[1], 0, 0
+            for c in cells:
+                cells[c] += [end, row[c].astype(np.int32)] if n else [row[c].astype(np.int32)]
+            size += m + (n > 0)
+            written += m
             n += 1
-        if len(out) >= 500:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-            out = []
-    if ids:
-        out.append(row())
-    yield pa.RecordBatch.from_pylist(out, schema=schema)
+    if n:
+        close()
+    yield out()
 
 
-def pack_rows(rows: DataFrame, limit: int, eos: int, groups: int = 64, position: str = "doc_id") -> DataFrame:
+def _block_starts(batches: Iterator[pa.RecordBatch], limit: int, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(grp, position, first) of the packs that begin blocks: the first of each group, then each that comes ``block`` tokens or more behind the last."""
+    group, shard, size, since = None, 0, 0, 0
+    for batch in batches:
+        chosen, firsts = [], []
+        for k, (g, n) in enumerate(zip(batch.column("grp").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+            fresh = g != group
+            if fresh:
+                group, shard, size, since = g, 0, 0, 0
+            elif size + 1 + n > limit:
+                shard, size = shard + 1, 0
+                fresh = since >= block
+            if fresh:
+                chosen.append(k)
+                firsts.append(shard)
+                since = 0
+            size += n + (size > 0)
+            since += n
+        rows = batch.take(pa.array(chosen, type=pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("grp"), rows.column("position"), pa.array(firsts, type=pa.int64())], schema=schema)
+
+
+def pack_rows(rows: DataFrame, limit: int, eos: int, groups: int = 64, position: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Next-fit packing of rows (ids, labels) with a supervised end token between samples.
 
-    Rows are dealt to ``groups`` by a hash of their position, and each group is packed in order by one streaming task; one group
-    gives the single pass. Rows over the limit are cut; empty ones are left out.
+    Rows are dealt to ``groups`` by a hash of their position, and each group is packed in order; one group gives the single pass. Rows over the
+    limit are cut; empty ones are left out. A group's sizes, without its tokens, pass through one task, which tells the packs that begin blocks of some ``block`` tokens; the rows are then
+    dealt out and packed block by block, so a task reads blocks, however large a group is.
     """
     if limit <= 0:
         raise ValueError("the limit must be positive")
-    d = rows.withColumn("pack_group", F.pmod(F.xxhash64(position), F.lit(groups)).cast("long"))
-    d = d.repartition(groups, "pack_group").sortWithinPartitions("pack_group", position).select("pack_group", "ids", "labels")
-    return d.mapInArrow(lambda b: _packs(b, limit, eos), "pack_group long, pack long, ids array<int>, labels array<int>, num_samples int")
+    shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.withColumn("pack_group", F.pmod(F.xxhash64(position), F.lit(groups)).cast("long")).where(F.size("ids") > 0)
+    sizes = d.select(F.col("pack_group").alias("grp"), F.col(position).alias("position"), F.least(F.size("ids"), F.lit(limit)).cast("long").alias("size"))
+    sizes = sizes.repartition(min(groups, shuffled), "grp").sortWithinPartitions("grp", "position")
+    schema = sizes.select("grp", "position").schema.add("first", "long")
+    arrow = to_arrow_schema(schema)
+    # a row for each ``block`` tokens, as the bounds of a range sort
+    starts = sizes.mapInArrow(lambda b: _block_starts(b, limit, block, arrow), schema).collect()
+    bounds = rows.sparkSession.createDataFrame(starts, schema).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("position", "first"))).alias("_bounds"))
+    n = max(1, min(max(shuffled, groups, len(starts) // 4), len(starts)))
+    last = F.array_max(F.filter("_bounds", lambda x: F.struct(x["position"]) <= F.struct(F.col(position).alias("position"))))
+    dealt = d.join(F.broadcast(bounds), d["pack_group"] == bounds["grp"]).withColumn("first", last["first"])
+    dealt = dealt.repartition(n, "pack_group", "first").sortWithinPartitions("pack_group", "first", position).select("pack_group", "first", "ids", "labels")
+    return dealt.mapInArrow(lambda b: _packs(b, limit, eos), "pack_group long, pack long, ids array<int>, labels array<int>, num_samples int")
 
 
 def _next_fit(batches: Iterator[pa.RecordBatch], budget: int, joint: int) -> Iterator[pa.RecordBatch]:
@@ -333,14 +427,56 @@ def normalize_rows(rows: DataFrame, limit: int) -> DataFrame:
     return d.withColumn("_limit", fits).withColumns({c: F.slice(c, F.lit(1), F.col("_limit")) for c in ("ids", *default)}).drop("_limit")
 
 
+def _collated(batches: Iterator[pa.RecordBatch], pad_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Padded batches from rows (batch, ids, labels) sorted by batch; one batch is held at a time."""
+    key = schema.names[0]
+    fills = {"ids": pad_id, "labels": IGNORE}
+
+    def padded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        sizes = pc.list_value_length(rows.column("ids"))
+        none = sizes.is_null().to_numpy(zero_copy_only=False)
+        n = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        longest = int(n.max())
+        real = np.flatnonzero(~none)
+
+        def grid(column: str | None) -> pa.ListArray:
+            """A list of ``longest`` cells for each row that isn't null: its values, and fills behind them."""
+            cells = np.full((len(real), longest), fills.get(column, 0), dtype=schema.field(column or "mask").type.value_type.value_type.to_pandas_dtype())
+            inside = np.arange(longest) < n[real, None]
+            cells[inside] = 1 if column is None else rows.column(column).filter(pa.array(~none)).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.where(none, 0, longest))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(cells.ravel()), mask=pa.array(none))
+            return pa.ListArray.from_arrays(pa.array([0, len(n)], type=pa.int32()), lists)
+
+        columns = [rows.column(key).slice(0, 1), grid("ids"), grid("labels"), grid(None)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    for rows in batches:
+        keys = rows.column(key).to_pylist()
+        at = 0
+        for k in range(len(keys)):
+            if (held or k > at) and keys[k] != (keys[k - 1] if k else held[-1].column(key)[-1].as_py()):
+                held.append(rows.slice(at, k - at))
+                yield padded(held)
+                held, at = [], k
+        if at < len(keys):
+            held.append(rows.slice(at))
+    if held:
+        yield padded(held)
+
+
 def collate(rows: DataFrame, batch: str, pad_id: int, position: str = "doc_id") -> DataFrame:
-    """(batch, ids, labels, mask): the rows of each batch in order, padded to its longest. A batch is small by its purpose."""
-    longest = rows.groupBy(batch).agg(F.max(F.size("ids")).alias("_longest"))
-    d = rows.join(longest, batch)
-    n = F.col("_longest")
-    padded = F.struct(F.col(position).alias("at"), pad(F.col("ids"), n, pad_id).alias("ids"), pad(F.col("labels"), n, IGNORE).alias("labels"), pad(F.array_repeat(F.lit(1), F.size("ids")), n, 0).alias("mask"))
-    d = d.groupBy(batch).agg(F.array_sort(F.collect_list(padded)).alias("r"))
-    return d.select(batch, *[F.col("r")[c].alias(c) for c in ("ids", "labels", "mask")])
+    """(batch, ids, labels, mask): the rows of each batch in order, padded to its longest; a null row stays null. A batch is small by its purpose.
+
+    Rows cross the shuffle as they are and are padded behind it. Ids and labels of a row are as many.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.select(F.col(batch), F.col(position).alias("_at"), "ids", "labels").repartition(n, batch).sortWithinPartitions(batch, "_at")
+    schema = StructType([d.schema[batch]] + [StructField(c, ArrayType(d.schema[c].dataType)) for c in ("ids", "labels")] + [StructField("mask", ArrayType(ArrayType(IntegerType())))])
+    arrow = to_arrow_schema(schema)
+    return d.drop("_at").mapInArrow(lambda b: _collated(b, pad_id, arrow), schema)
 
 
 def pad(ids: Column, length: Column, value: int) -> Column:

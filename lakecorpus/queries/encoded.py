@@ -330,9 +330,11 @@ def collated(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), training_rows.byte_ids(F.col("text")).alias("ids"))
     d = d.withColumn("labels", training_rows.labels(F.col("ids"), F.array(F.lit(10))))
     c = training_rows.collate(d, "batch", 256)
-    cells = F.flatten("mask")
-    hexed = lambda rows, none, by: F.md5(F.array_join(F.transform(F.flatten(rows), lambda x: F.when(x == none, by).otherwise(F.lower(F.lpad(F.hex(x), 2, "0")))), "").cast("binary"))
-    return c.select("batch", F.size("ids").cast("long").alias("n_rows"), F.size(cells).cast("long").alias("n_cells"), F.size(F.filter(cells, lambda x: x == 0)).cast("long").alias("n_padding"), hexed("ids", 256, "--").alias("ids"), hexed("labels", training_rows.IGNORE, "zz").alias("labels"))
+    # null rows are counted, and have no cells
+    n_real, longest = F.size(F.filter("ids", lambda x: x.isNotNull())), F.array_max(F.transform("ids", lambda x: F.when(x.isNotNull(), F.size(x))))
+    hexed = lambda name, marks: F.when(n_real > 0, F.md5(training_rows.hex_text(F.col(name), marks).cast("binary")))
+    cells, padding = F.size("ids").cast("long") * longest, n_real.cast("long") * longest - training_rows.total("mask")
+    return c.select("batch", F.size("ids").cast("long").alias("n_rows"), cells.alias("n_cells"), padding.alias("n_padding"), hexed("ids", {256: "--"}).alias("ids"), hexed("labels", {training_rows.IGNORE: "zz"}).alias("labels"))
 
 
 @query("""WITH f AS (SELECT source AS path, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)) SELECT path, CAST(i % 4 AS INTEGER) AS rank, CAST((i // 4) % 2 AS INTEGER) AS worker FROM f""")
