@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lakecorpus.functions.batches import parts
+
 from .dedup import checkpointed
 from .training_rows import IGNORE
 
@@ -269,7 +271,8 @@ def _assemble(batches: Iterator[pa.RecordBatch], eos: int, tokens: list[str], me
         return pa.RecordBatch.from_arrays([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
 
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    # what numpy makes of a batch is several times as large, so only a part of it is taken at once
+    for batch in (x.slice(a, b - a) for x in batches for a, b in parts(x.column("ids"))):
         place = batch.column("place").to_numpy()
         at = np.flatnonzero(place == 0)
         if len(at):
