@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.batches import cell_places, list_places, lists_from, parts, utf8_bytes
+from lakecorpus.functions.batches import list_places, lists_from, parts, utf8_bytes
 
 IGNORE = -100
 #: Tokens that are never supervised (fixed values).
@@ -56,20 +56,26 @@ def bytes_of(ids: Column) -> Column:
     return run(ids)
 
 
-def hex_text(ids: Column, marks: dict[int, str]) -> Column:
-    """Ids as text, two characters each: bytes in hex, other ids as ``marks`` has them; those that it lacks are left out, and so are nulls. Lists of lists are read one behind the other. No part of a lambda."""
+def hex_pairs(marks: dict[int, str]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives two characters for each id: bytes in hex, other ids as ``marks`` has them, nothing for those that it lacks."""
     low, high = min([0, *marks]) - 1, max([255, *marks]) + 1
     table = np.zeros(high - low + 1, dtype="S2")
     for i, mark in ({b: f"{b:02x}" for b in range(256)} | marks).items():
         table[i - low] = mark.encode("ascii")
+    return lambda ids: table[np.clip(ids, low, high) - low]
+
+
+def hex_text(ids: Column, marks: dict[int, str]) -> Column:
+    """Ids as text by ``hex_pairs``; nulls are left out. No part of a lambda."""
+    pairs_of, none = hex_pairs(marks), min([0, *marks]) - 1
 
     @F.arrow_udf(StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for a, b in parts(batch) if len(batch) else ((0, 0),):
                 lists = batch.slice(a, b - a)
-                at, flat = cell_places(lists)
-                pairs = table[np.clip(flat.fill_null(low).to_numpy(zero_copy_only=False), low, high) - low]
+                at, flat = list_places(lists)
+                pairs = pairs_of(flat.fill_null(none).to_numpy(zero_copy_only=False))
                 kept = pairs != b""
                 ends = 2 * np.r_[0, np.cumsum(kept, dtype=np.int64)][at]
                 made = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(pairs[kept].tobytes()))
@@ -78,16 +84,6 @@ def hex_text(ids: Column, marks: dict[int, str]) -> Column:
     return run(ids)
 
 
-@F.arrow_udf(LongType())
-def total(lists: pa.Array) -> pa.Array:
-    """The sum of a list's numbers, or of those of its lists."""
-    sums = []
-    for a, b in parts(lists):
-        at, flat = cell_places(lists.slice(a, b - a))
-        sums.append(np.diff(np.r_[0, np.cumsum(flat.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)][at]))
-    return pa.array(np.concatenate([*sums, np.zeros(0, dtype=np.int64)]))
-
-
 def byte_tokens() -> list[str]:
     return [f"<0x{b:02X}>" for b in range(256)]
 
@@ -467,16 +463,18 @@ def _collated(batches: Iterator[pa.RecordBatch], pad_id: int, schema: pa.Schema)
         yield padded(held)
 
 
-def collate(rows: DataFrame, batch: str, pad_id: int, position: str = "doc_id") -> DataFrame:
+def collate(rows: DataFrame, batch: str, pad_id: int, position: str = "doc_id", take: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, taken: StructType | None = None) -> DataFrame:
     """(batch, ids, labels, mask): the rows of each batch in order, padded to its longest; a null row stays null. A batch is small by its purpose.
 
-    Rows cross the shuffle as they are and are padded behind it. Ids and labels of a row are as many.
+    Rows cross the shuffle as they are and are padded behind it. Ids and labels of a row are as many. ``take`` is given each padded batch in the task that made it, as
+    a trainer is, and returns rows of the schema ``taken``; so padding, which can be most of a batch, needn't leave the task.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = rows.select(F.col(batch), F.col(position).alias("_at"), "ids", "labels").repartition(n, batch).sortWithinPartitions(batch, "_at")
     schema = StructType([d.schema[batch]] + [StructField(c, ArrayType(d.schema[c].dataType)) for c in ("ids", "labels")] + [StructField("mask", ArrayType(ArrayType(IntegerType())))])
     arrow = to_arrow_schema(schema)
-    return d.drop("_at").mapInArrow(lambda b: _collated(b, pad_id, arrow), schema)
+    made = lambda b: _collated(b, pad_id, arrow)
+    return d.drop("_at").mapInArrow(made, schema) if take is None else d.drop("_at").mapInArrow(lambda b: map(take, made(b)), taken)
 
 
 def pad(ids: Column, length: Column, value: int) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lakecorpus.functions import batches
@@ -329,12 +332,22 @@ def collated(spark, sf_dir):
     """Batches of eight texts as byte ids, padded to the longest of each; line feeds aren't learned from."""
     d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), training_rows.byte_ids(F.col("text")).alias("ids"))
     d = d.withColumn("labels", training_rows.labels(F.col("ids"), F.array(F.lit(10))))
-    c = training_rows.collate(d, "batch", 256)
-    # null rows are counted, and have no cells
-    n_real, longest = F.size(F.filter("ids", lambda x: x.isNotNull())), F.array_max(F.transform("ids", lambda x: F.when(x.isNotNull(), F.size(x))))
-    hexed = lambda name, marks: F.when(n_real > 0, F.md5(training_rows.hex_text(F.col(name), marks).cast("binary")))
-    cells, padding = F.size("ids").cast("long") * longest, n_real.cast("long") * longest - training_rows.total("mask")
-    return c.select("batch", F.size("ids").cast("long").alias("n_rows"), cells.alias("n_cells"), padding.alias("n_padding"), hexed("ids", {256: "--"}).alias("ids"), hexed("labels", {training_rows.IGNORE: "zz"}).alias("labels"))
+    return training_rows.collate(d, "batch", 256, take=_told, taken=_TOLD)
+
+
+_TOLD = StructType([StructField(n, StringType() if n in ("ids", "labels") else LongType()) for n in ("batch", "n_rows", "n_cells", "n_padding", "ids", "labels")])
+
+
+def _told(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Sizes and digests of one padded batch. Null rows are counted, and have no cells."""
+    ids, labels, mask = (batch.column(c).flatten() for c in ("ids", "labels", "mask"))
+    real = len(ids) - ids.null_count
+    longest = pc.max(pc.list_value_length(ids)).as_py()
+    md5 = lambda x, marks: hashlib.md5(training_rows.hex_pairs(marks)(x.flatten().to_numpy()).tobytes()).hexdigest() if real else None
+    cells = None if longest is None else longest * len(ids)
+    padding = None if longest is None else longest * real - int(mask.flatten().to_numpy().sum())
+    row = [batch.column("batch")[0].as_py(), len(ids), cells, padding, md5(ids, {256: "--"}), md5(labels, {training_rows.IGNORE: "zz"})]
+    return pa.RecordBatch.from_arrays([pa.array([x], type=pa.string() if isinstance(f.dataType, StringType) else pa.int64()) for x, f in zip(row, _TOLD, strict=True)], names=_TOLD.names)
 
 
 @query("""WITH f AS (SELECT source AS path, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)) SELECT path, CAST(i % 4 AS INTEGER) AS rank, CAST((i // 4) % 2 AS INTEGER) AS worker FROM f""")
