@@ -39,7 +39,8 @@ def clean_stream(docs: DataFrame, out: str, state: str, checkpoint: str, config:
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        passed = df.where(quality_reason(F.col("text"), config) == "")
+        # judged once: both kinds of deduplication read their documents more than once
+        passed = dedup.checkpointed(df.where(quality_reason(F.col("text"), config) == ""))
         if near:
             fresh = dedup.near_dedup(passed, threshold, min_terms, position)
         else:
