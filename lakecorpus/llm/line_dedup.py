@@ -64,10 +64,14 @@ def _codes(line: Column, ranks: Column) -> Column:
     return F.sort_array(coded)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(_doc, _th, text): the place of each document, and its text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_th"), "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line. (_doc, _th, _line) is its place; (_th, _line) tells its text, of which ``_text`` is the plain form."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_th"), "text")
-    return d.select("_doc", "_th", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("_line", "_text"))
+    return _placed(docs).select("_doc", "_th", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("_line", "_text"))
 
 
 def _needed(n: Column, t: float) -> Column:
@@ -99,8 +103,11 @@ def _band(n: Column, t: float) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: Column, t: float, tag: str) -> DataFrame:
     """Of pairs (a, b) of ids in ``sets``, the ids b with a pair of similarity t or more, judged on the whole lines."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    places = sets.select("id", "_th", "_line").join(ids, "id")
-    codes = _lines(docs).drop("_doc").join(places, ["_th", "_line"]).dropDuplicates(["id"]).select("id", _codes(F.col("_text"), ranks).alias("set"))
+    # lines are asked for by document, so only those that stand in a pair are taken out of their texts; a copy under another id is not asked
+    places = sets.join(ids, "id", "left_semi").groupBy("_doc", "_th").agg(F.collect_list(F.struct("_line", "id")).alias("_asked"))
+    texts = _placed(docs).join(places, ["_doc", "_th"]).select(F.split(_plain(F.col("text")), "\n", -1).alias("_split"), "_asked")
+    asked = texts.select("_split", F.explode("_asked").alias("_at")).select("_at.id", F.get("_split", F.col("_at._line")).alias("_text"))
+    codes = asked.dropDuplicates(["id"]).select("id", _codes(F.col("_text"), ranks).alias("set"))
     codes = cut(codes, f"{tag}-sets")
     both = pairs.join(codes.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").join(codes.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     shared = F.size(F.array_intersect("a_set", "b_set"))

@@ -1,5 +1,6 @@
 import random
 
+from lakecorpus.llm import line_dedup
 from lakecorpus.llm.line_dedup import dedup_lines
 
 
@@ -75,3 +76,15 @@ def test_odd_rows(odd_docs):
     assert [r.n_removed for r in rows if r.doc_id == 4] == [0, 0]
     assert [r.n_removed for r in rows if r.doc_id == 5] == [1]
     assert dedup_lines(odd_docs.limit(0)).count() == 0
+
+
+def test_verification_takes_only_lines_in_pairs(docs_of, monkeypatch):
+    """op10: all lines are made from the texts twice, for the ranks and for the codes; the two verifications take out only lines that stand in a pair."""
+    made = []
+    lines = line_dedup._lines
+    monkeypatch.setattr(line_dedup, "_lines", lambda docs: made.append(1) or lines(docs))
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, f"{a}\nalone here\n{b}"), (2, f"{b} more"), (3, f"{a}\nalone here\n{b}"), (None, f"{a} last\nother words"), (None, f"{a} last\nother words"), (4, "no like of it\n\n")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_removed) for r in dedup_lines(docs_of(rows)).collect())
+    assert got == [(False, 1, rows[0][1], 0), (False, 2, "", 1), (False, 3, "", 3), (False, 4, rows[5][1], 0), (True, 0, "other words", 1), (True, 0, "other words", 1)]
+    assert len(made) == 2
