@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, drop_cut, row
 
-_BITS = 16
+_BITS = 17
 #: Words are counted in so many buckets; a fixed size, so the table of ranks fits any driver.
 BUCKETS = 1 << _BITS
 _LAST = (1 << 63) - 1
@@ -57,11 +57,15 @@ def rarity_ranks(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(rank[b] - BUCKETS // 2) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
+def _hashes(line: Column) -> Column:
+    """The set of a line's words, as 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def _codes(line: Column, ranks: Column) -> Column:
-    """The set of a line's words as sorted codes. The code is a bijection of the word's 64-bit hash."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    coded = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), 64 - _BITS).bitwiseOR(F.shiftrightunsigned(h, _BITS)))
-    return F.sort_array(coded)
+    """The set of a line's words as sorted codes. The code is a bijection of the word's 64-bit hash. None is null, so plain numbers are sorted."""
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("bigint"))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h), 64 - _BITS).bitwiseOR(F.shiftrightunsigned(h, _BITS))))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -79,17 +83,21 @@ def _needed(n: Column, t: float) -> Column:
     return F.floor((n * round(t * 1000) + 999) / 1000).cast("int")
 
 
-def _alpha(n: Column, m: Column, t: float) -> Column:
-    """Least overlap of sets of n and m for a similarity of t."""
+def _enough(overlap: Column, both: Column, t: float) -> Column:
+    """Whether sets of ``both`` words together can have a similarity of t with so many in common, in whole numbers."""
     k = round(t * 1000)
-    return F.ceil((n + m) * k / (1000 + k) - 1e-9)
+    return overlap * (1000 + k) >= both * k
 
 
 def _plausible(a: str, b: str, t: float) -> Column:
-    """Length filter and bitmap bound: each bit in which the parities differ needs one code that one side lacks."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    short, long = F.least(n, m), F.greatest(n, m)
-    return (short >= _needed(long, t)) & (_apart(a, b) <= n + m - 2 * _alpha(n, m, t))
+    """Length filter and bitmap bound."""
+    n, m = F.col(f"{a}.n").cast("bigint"), F.col(f"{b}.n").cast("bigint")
+    return (F.least(n, m) * 1000 >= F.greatest(n, m) * round(t * 1000)) & _close(a, b, n + m, t)
+
+
+def _close(a: str, b: str, both: Column, t: float) -> Column:
+    """Bitmap bound: each bit in which the parities differ needs one code that one side lacks, so twice the overlap is at most the rest."""
+    return _enough(both - _apart(a, b), both * 2, t)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -100,14 +108,14 @@ def _band(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(1 / t)).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: Column, t: float, tag: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float, tag: str) -> DataFrame:
     """Of pairs (a, b) of ids in ``sets``, the ids b with a pair of similarity t or more, judged on the whole lines."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # lines are asked for by document, so only those that stand in a pair are taken out of their texts; a copy under another id is not asked
     places = sets.join(ids, "id", "left_semi").groupBy("_doc", "_th").agg(F.collect_list(F.struct("_line", "id")).alias("_asked"))
     texts = _placed(docs).join(places, ["_doc", "_th"]).select(F.split(_plain(F.col("text")), "\n", -1).alias("_split"), "_asked")
     asked = texts.select("_split", F.explode("_asked").alias("_at")).select("_at.id", F.get("_split", F.col("_at._line")).alias("_text"))
-    codes = asked.dropDuplicates(["id"]).select("id", _codes(F.col("_text"), ranks).alias("set"))
+    codes = asked.dropDuplicates(["id"]).select("id", _hashes(F.col("_text")).alias("set"))
     codes = cut(codes, f"{tag}-sets")
     both = pairs.join(codes.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").join(codes.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     shared = F.size(F.array_intersect("a_set", "b_set"))
@@ -121,7 +129,7 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     """(_doc, _th, removed): for each document with any, the indices of lines that an earlier line resembles."""
     t = config.similarity
     ranks = rarity_ranks(docs)
-    codes = _lines(docs).where(F.col("_text").rlike("[^ ]")).withColumn("c", _codes(F.col("_text"), ranks))
+    codes = _lines(docs).where(F.ltrim("_text") != "").withColumn("c", _codes(F.col("_text"), ranks))
     n = F.size("c")
 
     def parity(half: int) -> Column:
@@ -149,7 +157,7 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     best = met.select(F.col("b.id").alias("b"), F.least(*tried).alias("a")).where(F.col("a").isNotNull()).groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))
     best = best.select("b", F.explode(F.slice("a", 1, config.tried)).alias("a")).select("b", "a.id").withColumnRenamed("id", "a")
     leaders = cut(best, "leader-pairs")
-    settled = _verified(leaders, sets, docs, ranks, t, "leader")
+    settled = _verified(leaders, sets, docs, t, "leader")
 
     # second round: the others ask all earlier lines; what is settled only answers
     asked = sets.join(settled.withColumn("settled", F.lit(1)), "id", "left")
@@ -160,15 +168,15 @@ def repeated_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
     rest = lambda x: size(x) - F.shiftright(F.col(f"{x}.p").bitwiseAND(0xFFFFFFFF), 1)
     a, b = rows.alias("a"), rows.alias("b")
     short, long = F.least(size("a"), size("b")), F.greatest(size("a"), size("b"))
-    alpha = _alpha(size("a"), size("b"), t)
+    both = size("a") + size("b")
     # the length filter is never met by a line that doesn't ask: this keeps the condition in the join, so that both sides share one exchange
-    may = short * F.col("b.p").bitwiseAND(1) >= _needed(long, t)
+    may = short * F.col("b.p").bitwiseAND(1) * 1000 >= long * round(t * 1000)
     # positional filter: from the first code that a pair shares, enough must be left of both lines
-    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & (F.least(rest("a"), rest("b")) >= alpha) & (_apart("a", "b") <= size("a") + size("b") - 2 * alpha)
+    meets = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")) & may & _enough(F.least(rest("a"), rest("b")), both, t) & _close("a", "b", both, t)
     # a pair that shares the code before as well has met there
     meets = meets & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
     pairs = cut(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
-    found = _verified(pairs, sets, docs, ranks, t, "line")
+    found = _verified(pairs, sets, docs, t, "line")
     drop_cut(sets)
 
     gone = slim.join(settled.union(found).withColumn("like", F.lit(True)), "id", "left").where(F.col("like").isNotNull() | ~F.col("first"))

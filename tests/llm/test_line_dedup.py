@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
 from lakecorpus.llm import line_dedup
 from lakecorpus.llm.line_dedup import dedup_lines
 
@@ -88,3 +91,11 @@ def test_verification_takes_only_lines_in_pairs(docs_of, monkeypatch):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_removed) for r in dedup_lines(docs_of(rows)).collect())
     assert got == [(False, 1, rows[0][1], 0), (False, 2, "", 1), (False, 3, "", 3), (False, 4, rows[5][1], 0), (True, 0, "other words", 1), (True, 0, "other words", 1)]
     assert len(made) == 2
+
+
+def test_codes_are_sorted_as_plain_numbers(docs_of):
+    """op10: no code is null by its type, else Spark sorts boxed values; the ranks are whole and the codes stand in order."""
+    docs = docs_of([(1, "the rare the fox\nthe  fox "), (2, "the end")])
+    lines = line_dedup._lines(docs).select(line_dedup._codes(F.col("_text"), line_dedup.rarity_ranks(docs)).alias("c"))
+    assert lines.schema["c"].dataType == ArrayType(LongType(), containsNull=False)
+    assert all(r.c == sorted(set(r.c)) for r in lines.collect()) and sorted(len(r.c) for r in lines.collect()) == [2, 2, 3]
