@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.batches import list_places, lists_from, parts, utf8_bytes
+from lakecorpus.functions.batches import cut_lists, list_places, lists_from, parts, utf8_bytes
 
 IGNORE = -100
 #: Tokens that are never supervised (fixed values).
@@ -23,6 +23,11 @@ IGNORED_TOKENS = (
 )
 
 
+def byte_lists(texts: pa.Array, first: int = 0) -> pa.ListArray:
+    sizes, data = utf8_bytes(texts)
+    return lists_from(sizes, data.astype(np.int32) + np.int32(first), texts.is_null())
+
+
 def byte_ids(text: Column, first: int = 0) -> Column:
     """The byte fallback: an id for each byte of the text's UTF-8, counted from ``first``. No part of a lambda."""
 
@@ -30,13 +35,22 @@ def byte_ids(text: Column, first: int = 0) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for a, b in parts(batch) if len(batch) else ((0, 0),):
-                texts = batch.slice(a, b - a)
-                sizes, data = utf8_bytes(texts)
-                yield lists_from(sizes, data.astype(np.int32) + np.int32(first), texts.is_null())
+                yield byte_lists(batch.slice(a, b - a), first)
 
     return run(text)
 
 
+def byte_values(lists: pa.Array) -> pa.Array:
+    """As ``bytes_of``."""
+    at, flat = list_places(lists)
+    values = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+    kept = (values >= 0) & (values < 256)
+    ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][at].astype(np.int32)
+    data = pa.py_buffer(values[kept].astype(np.uint8).tobytes())
+    made = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data])
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), made)
+
+
 def bytes_of(ids: Column) -> Column:
     """The bytes among ids as a binary value; other ids and nulls are left out. No part of a lambda."""
 
@@ -44,14 +58,7 @@ def bytes_of(ids: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for a, b in parts(batch) if len(batch) else ((0, 0),):
-                lists = batch.slice(a, b - a)
-                at, flat = list_places(lists)
-                values = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-                kept = (values >= 0) & (values < 256)
-                ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][at].astype(np.int32)
-                data = pa.py_buffer(values[kept].astype(np.uint8).tobytes())
-                made = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data])
-                yield pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), made)
+                yield byte_values(batch.slice(a, b - a))
 
     return run(ids)
 
@@ -97,12 +104,42 @@ def supervised(row_labels: Column) -> Column:
     return F.exists(row_labels, lambda x: x != IGNORE)
 
 
+def n_supervised(labels: pa.Array) -> np.ndarray:
+    """How many tokens of each row are supervised; a null row has none."""
+    at, flat = list_places(labels)
+    before = np.r_[0, np.cumsum(flat.fill_null(IGNORE).to_numpy(zero_copy_only=False) != IGNORE, dtype=np.int64)]
+    return np.diff(before[at])
+
+
+def truncation_starts(labels: pa.Array, limit: int) -> np.ndarray:
+    """Where the kept part of each over-long row begins: it ends at the last supervised token, or with the row."""
+    at, flat = list_places(labels)
+    said = np.flatnonzero(flat.fill_null(IGNORE).to_numpy(zero_copy_only=False) != IGNORE)
+    last = np.r_[-1, said][np.searchsorted(said, at[1:])]  # in front of each row's end
+    sizes = np.diff(at)
+    end = np.where(last >= at[:-1], last + 1 - at[:-1], sizes)
+    return np.where(sizes <= limit, 0, np.maximum(end - limit, 0))
+
+
 def truncation_start(row_labels: Column, limit: int) -> Column:
-    """Where the kept part of an over-long row begins: it ends at the last supervised token, or with the row."""
-    n = F.size(row_labels)
-    last = n - F.array_position(F.transform(F.reverse(row_labels), lambda x: (x != IGNORE).cast("int")), 1)
-    end = F.when(supervised(row_labels), last + 1).otherwise(n)
-    return F.when(n <= limit, F.lit(0)).otherwise(F.greatest(F.lit(0), end - limit)).cast("int")
+    """``truncation_starts`` of a column. No part of a lambda."""
+
+    @F.arrow_udf(IntegerType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in parts(batch) if len(batch) else ((0, 0),):
+                lists = batch.slice(a, b - a)
+                yield pa.array(truncation_starts(lists, limit).astype(np.int32), mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+    return run(row_labels)
+
+
+def truncated(ids: pa.Array, labels: pa.Array, limit: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """``truncate`` of rows in Arrow."""
+    if limit <= 0:
+        raise ValueError("the limit must be positive")
+    start = truncation_starts(labels, limit)
+    return cut_lists(ids, start, limit), cut_lists(labels, start, limit)
 
 
 def truncate(rows: DataFrame, limit: int) -> DataFrame:

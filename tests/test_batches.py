@@ -1,8 +1,12 @@
+import random
+
+import duckdb
 import pyarrow as pa
 import pytest
 from lakecorpus.functions import metrics as M
 from lakecorpus.functions.batches import list_places, lists_of, parts
-from lakecorpus.operators import media, mixture, tokens
+from lakecorpus.operators import media, mixture, tokens, training_rows
+from lakecorpus.queries import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -66,3 +70,26 @@ def test_places_of_a_mixture_are_ranked_without_texts(spark):
     plan = [x.lstrip(" :+-") for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n")]
     below = [next(x for x in plan[k:] if x.startswith(("Project", "Relation", "LogicalRDD"))) for k, x in enumerate(plan) if x.startswith("Window")]
     assert below and not any(" text#" in x for x in below)
+
+
+def test_over_long_rows_are_cut_without_functions_of_each_token(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [[rng.choice([-100, -100, -100, 5, 6, None]) for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    d = spark.createDataFrame([(k, list(range(len(x))), x) for k, x in enumerate(rows)] + [(300, None, None)], "k long, ids array<int>, labels array<int>")
+    cut = training_rows.truncate(d, 4)
+    assert "lambda" not in cut._jdf.queryExecution().executedPlan().toString()
+    for r in cut.collect():
+        if r.k == 300:
+            assert r.ids is r.labels is None
+            continue
+        row = rows[r.k]
+        last = max((i for i, x in enumerate(row) if x not in (None, -100)), default=len(row) - 1)
+        s = max(0, last + 1 - 4) if len(row) > 4 else 0
+        assert (r.ids, r.labels) == (list(range(len(row)))[s : s + 4], row[s : s + 4])
+    texts = ["", None, "a b", " " * 700, "é" * 600, "x" * 400 + " " + "y" * 600, "w" * 900 + " z", "q " + "ü" * 150_000, " " + "k" * 600]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["truncate_rows"][0](spark, str(tmp_path))
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(db.sql(QUERIES["truncate_rows"][1]).fetchall())
