@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lakecorpus.functions.batches import lists_from, lists_of, parts
+from lakecorpus.functions.batches import cut_lists, list_places, lists_from, lists_of, parts, places
 
 from .training_rows import IGNORE
 
@@ -188,6 +188,38 @@ def ocr_rows(rows: DataFrame, patches: int, bos: int, start: int, patch: int, en
     return rows.where(F.size("target") > 0).withColumns({"ids": F.concat(prompt, said), "labels": F.concat(masked, said)})
 
 
+def ocr_lists(instructions: pa.Array, targets: pa.Array, patches: int, bos: int, start: int, patch: int, end: int, eos: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """``ocr_rows`` in Arrow: ids and labels of rows whose targets are not empty. A null instruction counts as empty."""
+    if patches < 1:
+        raise ValueError("an image has at least one patch")
+    image = np.array([bos, start, *[patch] * patches, end], dtype=np.int32)
+    (asked_at, asked), (said_at, said) = list_places(instructions), list_places(targets)
+    n_asked, n_said = np.diff(asked_at), np.diff(said_at)
+    sizes = len(image) + n_asked + n_said + 1
+    at = np.r_[0, np.cumsum(sizes)]
+    ids, labels = np.empty(at[-1], dtype=np.int32), np.full(at[-1], IGNORE, dtype=np.int32)
+    ids[at[:-1, None] + np.arange(len(image))] = image
+    ids[places(at[:-1] + len(image), n_asked)] = asked.to_numpy(zero_copy_only=False)
+    target = places(at[1:] - 1 - n_said, n_said)
+    for x in (ids, labels):
+        x[target] = said.to_numpy(zero_copy_only=False)
+        x[at[1:] - 1] = eos
+    return lists_from(sizes, ids), lists_from(sizes, labels)
+
+
+def split_ocr_lists(ids: pa.Array, labels: pa.Array, eos: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """``split_ocr_rows`` in Arrow: prompts and targets."""
+    at, flat = list_places(ids)
+    masked_at, marks = list_places(labels)
+    masked = np.diff(np.r_[0, np.cumsum(marks.to_numpy(zero_copy_only=False) == IGNORE, dtype=np.int64)][masked_at])
+    sizes = np.diff(at)
+    values = flat.to_numpy(zero_copy_only=False)
+    rest = np.maximum(sizes - masked, 0)
+    ended = np.zeros(len(sizes), dtype=bool)
+    ended[rest > 0] = values[at[1:][rest > 0] - 1] == eos
+    return cut_lists(ids, 0, masked), cut_lists(ids, masked, rest - ended)
+
+
 def split_ocr_rows(rows: DataFrame, eos: int) -> DataFrame:
     """The inverse: prompt, and target without its end token."""
     n = F.size(F.filter("labels", lambda x: x == IGNORE))

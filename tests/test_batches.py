@@ -93,3 +93,26 @@ def test_over_long_rows_are_cut_without_functions_of_each_token(spark, tmp_path)
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, out.collect())) == sorted(db.sql(QUERIES["truncate_rows"][1]).fetchall())
+
+
+def test_ocr_rows_are_built_and_split_within_parts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [([rng.randint(0, 255) for _ in range(rng.randint(0, 4))], [rng.choice([1, 2, 94]) for _ in range(rng.randint(1, 6))]) for _ in range(60)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, instruction array<int>, target array<int>").coalesce(1)
+    built = tokens.ocr_rows(d, 2, 90, 91, 92, 93, 94)
+    back = {r.k: r for r in tokens.split_ocr_rows(built.drop("target"), 94).collect()}
+    ids, labels = tokens.ocr_lists(*(pa.array([r[c] for r in rows], type=pa.list_(pa.int32())) for c in (0, 1)), 2, 90, 91, 92, 93, 94)
+    prompts, targets = tokens.split_ocr_lists(ids, labels, 94)
+    for k, x in enumerate(zip(*(c.to_pylist() for c in (ids, labels, prompts, targets)), strict=True)):
+        assert x == (back[k].ids, back[k].labels, back[k].prompt, back[k].target)
+    none = pa.array([[]], type=pa.list_(pa.int32()))
+    assert tokens.split_ocr_lists(pa.array([[7, 8]], type=pa.list_(pa.int32())), none, 94)[1].to_pylist() == [[7, 8]]
+    texts = [(0, "", "en"), (1, None, "en"), (2, "é x", None), (3, "ab" * 200_000, "fr"), (4, "z", ""), (5, "字\n", "zh")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["ocr_rows"][0](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array" not in plan and plan.count("MapInArrow") == 1  # no row's ids leave the pass
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ", ".join(out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(db.sql(f"SELECT {columns} FROM ({QUERIES['ocr_rows'][1]})").fetchall())
