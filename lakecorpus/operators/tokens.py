@@ -25,12 +25,20 @@ SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>", "<img>", "<image>", "<video>", "
 
 
 def span_pattern(specials: Iterable[str] = SPECIALS) -> re.Pattern:
-    """Spans as groups: special tokens (the longest first), words of the script with narrow spaces inside, spaces, all else."""
+    """Spans as groups: special tokens (the longest first), words of the script with narrow spaces inside, spaces, all else.
+
+    Characters with which none of the first three can begin are taken together, the others looked at one by one.
+    """
+    specials = list(specials)
     special = "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) or "(?!)"
     inner = f"(?<=[{SCRIPT}])\u202f(?=[{SCRIPT}])"
     word = f"(?:(?![{PUNCTUATION}])[{SCRIPT}]|{inner})"
     space = f"(?:(?!{inner})[{SPACES}])"
-    return re.compile(f"(?P<special>{special})|(?P<mn>(?:(?!{special}){word})+)|(?P<space>(?:(?!{special}){space})+)|(?P<general>(?:(?!{special}|{word}|{space}).)+)", re.S)
+    return re.compile(f"(?P<special>{special})|(?P<mn>(?:(?!{special}){word})+)|(?P<space>(?:(?!{special}){space})+)|(?P<general>(?:{plain_characters(specials)}+|(?!{special}|{word}|{space}).)+)", re.S)
+
+
+def plain_characters(specials: Iterable[str]) -> str:
+    return f"[^{SCRIPT}{SPACES}{''.join(sorted({re.escape(s[0]) for s in specials if s}))}]"
 
 
 SPAN = StructType([StructField("lang", StringType()), StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])

@@ -391,12 +391,24 @@ def dual_tokens(spark, sf_dir):
     from lakecorpus.operators import dual
 
     make = functools.partial(_dual, public_tokenizers.path("byte_bpe_50k.json"))
-    d = _mixed(spark, sf_dir).select("doc_id", dual.encode_column(F.col("text"), make).alias("t"))
-    d = d.select("doc_id", "t", dual.decode_column(F.transform("t", lambda x: x["id"]), make).alias("back"))
-    of = lambda track: F.size(F.filter("t", lambda x: x["track"] == track)).cast("long")
-    # a character of several bytes may lie in several tokens: what is covered is counted from each token's end
-    covered = F.aggregate("t", F.lit(0), lambda a, x: F.greatest(a, x["end"]))
-    return d.select("doc_id", of("mn").alias("n_mn"), of("space").alias("n_space"), covered.cast("long").alias("n_covered"), F.md5(F.col("back").cast("binary")).alias("m"))
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Texts are encoded, counted and decoded in the part that they come in: no token leaves the task. Of a null text nothing is known."""
+        tokenizer = dual.made(make)
+        texts = batch.column("text")
+        t = tokenizer.encode_texts([x or "" for x in texts.to_pylist()])
+        back = tokenizer.decode_lists(t.at, t.ids)
+        of = lambda track: np.diff(np.r_[0, np.cumsum(t.tracks == dual.TRACKS.index(track), dtype=np.int64)][t.at])
+        # a character of several bytes may lie in several tokens: what is covered is counted from each token's end
+        covered, some = np.zeros(len(texts), dtype=np.int64), np.diff(t.at) > 0
+        covered[some] = np.maximum(np.maximum.reduceat(t.ends, t.at[:-1][some]), 0) if some.any() else 0
+        none = texts.is_null().to_numpy(zero_copy_only=False)
+        md5 = pa.array([hashlib.md5(x.encode()).hexdigest() for x in back], type=pa.string(), mask=none)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, mask=none) for x in (of("mn"), of("space"), covered)), md5], names=["doc_id", *counts, "m"])
+
+    counts = ("n_mn", "n_space", "n_covered")
+    d = _mixed(spark, sf_dir).select("doc_id", "text")
+    return batches.in_parts(d, told, StructType([d.schema["doc_id"], *[StructField(c, LongType()) for c in counts], StructField("m", StringType())]))
 
 
 #: Bytes of texts as rows with faults that follow from their ids: an id or label out of range, offsets beyond the text, a missing depth, a negative position.

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -116,3 +117,44 @@ def test_ocr_rows_are_built_and_split_within_parts(spark, tmp_path):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     columns = ", ".join(out.columns)
     assert sorted(map(tuple, out.collect())) == sorted(db.sql(f"SELECT {columns} FROM ({QUERIES['ocr_rows'][1]})").fetchall())
+
+
+def test_spans_are_encoded_once_and_tokens_stay_in_the_task(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from lakecorpus.operators import dual
+    from lakecorpus.queries.encoded import _dual
+
+    t = _dual(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    pieces = ["a", "b", "<", "<bos>", "<im", " ", " ", " ", "ᠮ", "ᠣ", "ᠩ", "᠂", "\n", "é", "中", "1", ".", "\U0001f600", "▁", "the", "�"]
+    for n in range(60):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(0, 9))]
+        got = t.encode_texts(texts, n % 2 == 0, n % 3 == 0)
+        for a, b, text in zip(got.at[:-1], got.at[1:], texts, strict=True):
+            row = [(i, got.names[k].as_py(), dual.TRACKS[x], s, e) for i, k, x, s, e in zip(*(c[a:b].tolist() for c in (got.ids, got.surfaces, got.tracks, got.starts, got.ends)), strict=True)]
+            assert row == t.tokens(text, n % 2 == 0, n % 3 == 0)
+        assert t.decode_lists(got.at, got.ids) == [t.decode(got.ids[a:b].tolist()) for a, b in zip(got.at[:-1], got.at[1:], strict=True)]
+    ids = np.array([rng.choice([-1, 0, 5, 20, 200, 305, 24600, 30000, 200000]) for _ in range(400)], dtype=np.int32)
+    at = np.arange(0, 401, 8)
+    assert t.decode_lists(at, ids) == [t.decode(ids[a : a + 8].tolist()) for a in at[:-1]]
+    words = [f"w{k}x" for k in range(50)]
+    asked = []
+    encode = t.general.encode_many
+    t.general.encode_many = lambda some: asked.extend(some) or encode(some)
+    for _ in range(3):
+        t.encode_texts([" ".join(words)] * 20)
+    assert sorted(asked) == sorted(words)
+    rows = [(0, ""), (1, None), (2, "the que ᠮ é"), (3, "der  x\n" * 60_000), (4, "<bos> le")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["dual_tokens"][0](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in db.sql(QUERIES["dual_tokens"][1]).fetchall()}
+    for k in (0, 1, 3):  # the SQL counts words of the script and of no text else
+        assert got[k] == want[k]
+    assert got[2][1:] == want[2][1:]
+    assert got[4] == (0, 1, 8, hashlib.md5(b" le").hexdigest())  # special tokens decode to nothing
