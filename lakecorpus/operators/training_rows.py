@@ -197,6 +197,21 @@ def word_positions(tokens: DataFrame, row: str = "doc_id", position: str = "pos"
     return d.withColumn("word_pos", F.greatest(F.col("_n") - 1, F.lit(0)).cast("int")).withColumn("morph_depth", depth.cast("int")).drop("_word", "_b", "_new", "_n")
 
 
+def word_tracks(at: np.ndarray, track: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_positions`` of tokens in order, of which rows begin at ``at[:-1]``: word_pos and morph_depth within the rows. Tracks are numbers, those that aren't word tracks are negative."""
+    sizes = np.diff(at)
+    place = np.arange(len(track))
+    word = (track >= 0) & (start >= 0) & (end >= 0)
+    goes_on = np.zeros(len(track), dtype=bool)
+    goes_on[1:] = word[1:] & word[:-1] & (track[1:] == track[:-1]) & (end[:-1] == start[1:])
+    goes_on[at[:-1][sizes > 0]] = False
+    new = word & ~goes_on
+    words = np.r_[0, np.cumsum(new, dtype=np.int64)]
+    count = words[1:] - np.repeat(words[at[:-1]], sizes)
+    first = np.maximum.accumulate(np.where(new, place, 0)) if len(place) else place
+    return np.maximum(count - 1, 0).astype(np.int32), np.where(word, place - first, 0).astype(np.int32)
+
+
 #: Tokens that are written out together, at least.
 _OUT = 1 << 18
 #: Tokens of a block of packs.

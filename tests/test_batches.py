@@ -158,3 +158,25 @@ def test_spans_are_encoded_once_and_tokens_stay_in_the_task(spark, tmp_path):
         assert got[k] == want[k]
     assert got[2][1:] == want[2][1:]
     assert got[4] == (0, 1, 8, hashlib.md5(b" le").hexdigest())  # special tokens decode to nothing
+
+
+def test_word_positions_within_rows_are_those_of_token_tables(spark, tmp_path):
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = {d: [(rng.choice(["mn", "general", "x", "mn"]), *rng.choice([(k, k + 1), (k, k + 1), (k, k + 2), (-1, -1)])) for k in range(rng.randint(0, 14))] for d in range(80)}
+    table = spark.createDataFrame([(d, k, *t) for d, r in rows.items() for k, t in enumerate(r)], "doc_id long, pos long, track string, start long, end long")
+    want = [(r.word_pos, r.morph_depth) for r in training_rows.word_positions(table).orderBy("doc_id", "pos").collect()]
+    flat = [t for r in rows.values() for t in r]
+    columns = [np.array(c) for c in ([{"mn": 0, "general": 1}.get(t[0], -1) for t in flat], [t[1] for t in flat], [t[2] for t in flat])]
+    at = np.r_[0, np.cumsum([len(r) for r in rows.values()])]
+    assert [(a, b) for a, b in zip(*(x.tolist() for x in training_rows.word_tracks(at, *columns)), strict=True)] == want
+    assert [len(x) for x in training_rows.word_tracks(np.zeros(3, dtype=np.int64), *[np.zeros(0, dtype=np.int64)] * 3)] == [0, 0]
+    texts = ["", None, "ab", "cd é字x", " \n1a", "\U0001f600ab\U0001f600", "Ab c, " * 60_000, "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["word_positions"][0](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(db.sql(QUERIES["word_positions"][1]).fetchall())
